@@ -7,12 +7,14 @@ facts filed year to date, and most facts are filed again one year later as compa
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from ledgerspan.schemas import FACTS
 from ledgerspan.sources.company_facts import cik_text
+from ledgerspan.sources.tables import load_facts, scratch_path, shared_folder
 
 CUSTOMERS_PER_COMPANY = 50
 
@@ -142,6 +144,27 @@ def derive_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).select(*FACTS.fieldNames())
 
 
+_LOADED: dict[tuple[str, str, str], str] = {}
+
+
+def base_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The derived facts as a stored table, loaded once per application and input folder.
+
+    Queries read it the way views read a base table: tag, form and date filters reach the scan.
+    """
+    key = (spark.sparkContext.applicationId, shared_folder(spark), sf_dir)
+    if key in _LOADED:
+        try:
+            return spark.read.schema(FACTS).parquet(_LOADED[key])
+        except AnalysisException as missing:
+            if missing.getCondition() != "PATH_NOT_FOUND":
+                raise
+    path = scratch_path(spark, "base-facts")
+    table = load_facts(derive_facts(spark, sf_dir), path)
+    _LOADED[key] = path
+    return table
+
+
 def derive_companies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The company dimension: first customer name of the block as entity name."""
     customers = spark.read.parquet(f"{sf_dir}/customer.parquet")

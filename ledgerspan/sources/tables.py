@@ -10,16 +10,21 @@ from pyspark.sql import DataFrame, SparkSession
 from ledgerspan.schemas import FACTS
 
 
+_LOCAL_FOLDERS: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, as the cluster names it in spark.checkpoint.dir.
 
-    Only a session without that setting (a local one) gets a fresh temporary folder.
+    Only an application without that setting (a local one) gets a fresh temporary folder.
     """
     configured = spark.conf.get("spark.checkpoint.dir", "")
-    if not configured:
-        configured = tempfile.mkdtemp(prefix="ledgerspan-")
-        spark.conf.set("spark.checkpoint.dir", configured)
-    return configured.rstrip("/")
+    if configured:
+        return configured.rstrip("/")
+    application = spark.sparkContext.applicationId
+    if application not in _LOCAL_FOLDERS:
+        _LOCAL_FOLDERS[application] = tempfile.mkdtemp(prefix="ledgerspan-")
+    return _LOCAL_FOLDERS[application]
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -40,9 +45,8 @@ def stage(frame: DataFrame, path: str, cluster_by: tuple[str, ...] = ()) -> Data
 def load_facts(facts: DataFrame, path: str) -> DataFrame:
     """Full refresh of the base table: replaced as a whole, columns in declared order.
 
-    Rows are hash-spread on (cik, concept, period_end) rather than on cik, so that one very large
-    company fills many files; the sort inside files lets readers skip row groups by tag.
+    Rows stay in the partitions they come in, so no company and no fact with very many versions is
+    gathered in one task; the sort inside each file lets readers skip row groups by tag.
     """
-    keys = ("cik", "concept", "period_end")
-    spread = facts.select(*FACTS.fieldNames()).repartition(*keys)
-    return stage(spread, path, cluster_by=("concept", "cik", "period_end"))
+    return stage(facts.select(*FACTS.fieldNames()), path,
+                 cluster_by=("concept", "cik", "period_end"))
