@@ -23,7 +23,14 @@ def version_order(missing_date_wins: bool = False) -> Column:
 
 def latest_filed(facts: DataFrame, keys: list[str], payload: list[str],
                  missing_date_wins: bool = False) -> DataFrame:
-    """One row per key: the payload of its last filed version. NULL keys group together."""
-    chosen = F.max_by(F.struct(*payload), version_order(missing_date_wins))
+    """One row per key: the payload of its last filed version. NULL keys group together.
+
+    The aggregation sorts by its keys in the given order. Stored facts are sorted by tag, company
+    and period end, so keys given in that order meet presorted rows.
+    """
+    order = version_order(missing_date_wins)
+    if len(payload) == 1:
+        return facts.groupBy(*keys).agg(F.max_by(payload[0], order).alias(payload[0]))
+    chosen = F.max_by(F.struct(*payload), order)
     return (facts.groupBy(*keys).agg(chosen.alias("chosen"))
             .select(*keys, *[F.col(f"chosen.{name}").alias(name) for name in payload]))

@@ -28,7 +28,7 @@ def annual_facts(facts: DataFrame, settings: Settings = Settings()) -> DataFrame
     an annual one. The year is that of the period end; the filing's own tag is unreliable.
     """
     eligible = in_unit(facts, settings).filter(is_annual_filing() & spans_full_year(settings))
-    newest = latest_filed(eligible, ["cik", "concept", "period_end"], ["value"])
+    newest = latest_filed(eligible, ["concept", "cik", "period_end"], ["value"])
     return (newest.withColumn("fiscal_year", F.year("period_end"))
             .join(last_annual_year(facts), "cik")
             .filter(F.col("fiscal_year") > F.col("last_year") - settings.years_history)
@@ -50,12 +50,9 @@ def one_statement(lines: DataFrame, statement: str) -> DataFrame:
 
 def metrics(lines: DataFrame) -> DataFrame:
     """One row per company and year with the headline amounts as columns."""
-    def line_value(statement: str, label: str):
-        here = (F.col("statement") == statement) & (F.col("line_label") == label)
-        return F.max(F.when(here, F.col("value")))
-
-    return lines.groupBy("cik", "fiscal_year").agg(
-        *[line_value(*line).alias(name) for name, line in METRIC_LINES.items()])
+    return lines.groupBy("cik", "fiscal_year").agg(*[
+        F.expr(f"max(value) FILTER (WHERE statement = '{statement}' AND line_label = '{label}')")
+        .alias(name) for name, (statement, label) in METRIC_LINES.items()])
 
 
 def balance_check(metric_rows: DataFrame) -> DataFrame:

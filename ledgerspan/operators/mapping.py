@@ -11,22 +11,23 @@ from ledgerspan.settings import Settings
 BROADCAST_MAX_ROWS = 10_000
 
 
+def _text(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def concept_map(spark: SparkSession, settings: Settings = Settings()) -> DataFrame:
     """statement, line_label, line_order, concept, priority, sign.
 
-    Priority is the position in the candidate list, from 1. The lines are literals, so the
-    relation is local to the plan and its size is known to the optimizer.
+    Priority is the position in the candidate list, from 1. The lines are an inline table, so the
+    relation is part of the plan and its size is known to the optimizer.
     """
-    lines = F.array(*[
-        F.struct(F.lit(line.statement).alias("statement"), F.lit(line.label).alias("line_label"),
-                 F.lit(line.order).alias("line_order"),
-                 F.array(*map(F.lit, line.candidates)).alias("candidates"))
-        for line in settings.lines])
-    return (spark.range(1).select(F.inline(lines))
-            .select("statement", "line_label", "line_order",
-                    F.posexplode("candidates").alias("position", "concept"))
-            .select("statement", "line_label", "line_order", "concept",
-                    (F.col("position") + 1).alias("priority"), F.lit(1).alias("sign")))
+    rows = ", ".join(
+        f"({_text(line.statement)}, {_text(line.label)}, {line.order}, "
+        f"array({', '.join(map(_text, line.candidates))}))" for line in settings.lines)
+    return spark.sql(f"""
+        SELECT statement, line_label, line_order, concept, position + 1 AS priority, 1 AS sign
+        FROM VALUES {rows} AS lines(statement, line_label, line_order, candidates)
+        LATERAL VIEW posexplode(candidates) ranked AS position, concept""")
 
 
 def concept_usage(facts: DataFrame, settings: Settings = Settings()) -> DataFrame:

@@ -32,10 +32,10 @@ def flow_cumulative(facts: DataFrame, settings: Settings = Settings()) -> DataFr
     candidates = in_unit(facts, settings).filter(
         is_periodic_filing() & F.col("period_start").isNotNull()
         & F.col("duration_days").between(settings.ytd_min_days, settings.ytd_max_days))
-    keys = ["cik", "concept", "period_start", "period_end"]
+    keys = ["concept", "cik", "period_end", "period_start"]
     return (latest_filed(candidates, keys, ["value"])
             .join(fy_starts(facts, settings), ["cik", "period_start"])
-            .select(*keys, "value"))
+            .select("cik", "concept", "period_start", "period_end", "value"))
 
 
 def fiscal_year_of_start(settings: Settings) -> Column:
@@ -86,7 +86,7 @@ def quarterly_facts(facts: DataFrame, standalone: DataFrame, spine: DataFrame,
     """Derived flows and quarter-end balances on the spine's dates."""
     instants = in_unit(facts, settings).filter(is_instant() & is_periodic_filing())
     columns = ["cik", "concept", "period_end", "value"]
-    balances = latest_filed(instants, ["cik", "concept", "period_end"], ["value"])
+    balances = latest_filed(instants, ["concept", "cik", "period_end"], ["value"])
     return (standalone.select(*columns).unionByName(balances.select(*columns))
             .join(spine.select("cik", "period_end"), ["cik", "period_end"])
             .select(*columns))

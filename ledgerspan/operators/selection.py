@@ -37,7 +37,7 @@ def dedup_facts(facts: DataFrame) -> DataFrame:
 
     A version without a filing date counts as the newest here.
     """
-    keys = ["cik", "concept", "unit", "period_start", "period_end"]
+    keys = ["concept", "cik", "period_end", "unit", "period_start"]
     rest = [name for name in facts.columns if name not in keys]
     return latest_filed(facts, keys, rest, missing_date_wins=True).select(*facts.columns)
 

@@ -45,8 +45,10 @@ def stage(frame: DataFrame, path: str, cluster_by: tuple[str, ...] = ()) -> Data
 def load_facts(facts: DataFrame, path: str) -> DataFrame:
     """Full refresh of the base table: replaced as a whole, columns in declared order.
 
-    Rows stay in the partitions they come in, so no company and no fact with very many versions is
-    gathered in one task; the sort inside each file lets readers skip row groups by tag.
+    The rebalance brings the versions of a fact together, which makes later map-side selection
+    effective, spreads a large company over its tags, and lets adaptive execution size the files
+    and split any partition that is still too large, such as one fact with very many versions. The
+    sort inside each file lets readers skip row groups by tag.
     """
-    return stage(facts.select(*FACTS.fieldNames()), path,
-                 cluster_by=("concept", "cik", "period_end"))
+    balanced = facts.select(*FACTS.fieldNames()).hint("rebalance", "concept", "cik")
+    return stage(balanced, path, cluster_by=("concept", "cik", "period_end"))
