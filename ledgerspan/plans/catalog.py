@@ -122,16 +122,12 @@ def revision_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def annotated_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All annual, quarterly and ratio cells with their three kinds of marks."""
     facts = base_facts(spark, sf_dir)
     wb = Workbook(facts)
-    changed = revisions.detect_revisions(
+    wb.curated = curated(wb.metrics)
+    wb.revised = revisions.detect_revisions(
         snapshot_at(facts, AS_OF[2]), wb.cell_snapshot, AS_OF[3])
-    shape = ["cik", "statement", "line_label", "period_key", "period_label", "value"]
-    shown = (wb.annual_cells.select(*shape).unionByName(wb.quarterly_cells.select(*shape))
-             .unionByName(cells.ratio_cells(wb.ratios_long).select(*shape)))
-    flagged = wb.notable_annual.unionByName(wb.notable_quarterly)
-    return rounded(cells.annotate(shown, flagged, curated(wb.metrics), changed), "value")
+    return rounded(wb.annotated_cells, "value")
 
 
 def visible_notes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,11 +8,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerspan.operators import checks, comparator, revisions
+from ledgerspan.operators import checks, revisions
 from ledgerspan.plans.workbook import Workbook
+from ledgerspan.settings import RECONCILED_CONCEPTS
+from ledgerspan.sources.company_facts import companies_from, facts_from, read_documents
+from ledgerspan.sources.notes import read_notes
 from ledgerspan.sources.snapshots import SnapshotStore
 from ledgerspan.sources.tables import load_facts, scratch_path, stage
 
@@ -22,8 +25,9 @@ SILVER = ("statement_lines", "annual_facts", "flow_standalone", "quarter_spine",
 GOLD = ("metrics", "ratios", "common_size", "variance_yoy", "balance_check", "cash_reconciliation",
         "annual_cells", "quarterly_cells", "growth_annual", "growth_quarterly", "growth_qoq",
         "pct_of_base_annual", "pct_of_base_quarterly", "notable_annual", "notable_quarterly",
-        "bridge_periods", "ratios_long", "ratio_kpis", "headline_series", "narrative",
-        "quarter_years", "visible_quarters")
+        "income_bridge_annual", "income_bridge_quarterly", "cash_bridge_annual",
+        "cash_bridge_quarterly", "bridge_periods", "ratios_long", "ratio_kpis", "headline_series",
+        "narrative", "quarter_years", "visible_quarters", "annotated_cells", "variance_last_years")
 
 
 @dataclass(frozen=True)
@@ -34,10 +38,16 @@ class RefreshResult:
 
 
 def with_silver(wb: Workbook, folder: str) -> Workbook:
-    """Write the relations that several marts share, each one from those before it."""
+    """Write the relations that several marts share, each one from those before it.
+
+    Relations by tag keep only the tags a mart reads: those of the lines and of the checks.
+    """
+    tags = sorted({*wb.settings.mapped_concepts, wb.settings.spine_concept, *RECONCILED_CONCEPTS})
     stored: dict[str, DataFrame] = {}
     for name in SILVER:
         relation = getattr(wb.override(**stored), name)
+        if "concept" in relation.columns:
+            relation = relation.filter(F.col("concept").isin(tags))
         stored[name] = stage(relation, f"{folder}/{name}", cluster_by=("cik",))
     return wb.override(**stored)
 
@@ -56,10 +66,10 @@ def record_revisions(store: SnapshotStore, snapshot: DataFrame, run_date: str) -
 
 
 def run_refresh(facts: DataFrame, root: str, run_date: str, wb_inputs: dict | None = None,
-                quarantine: bool = False) -> RefreshResult:
+                quarantine: bool = False, marts: tuple[str, ...] = GOLD) -> RefreshResult:
     """Full refresh with the publish gate.
 
-    By default one company that does not reconcile stops the run before anything is published.
+    Gold marts are written last, after the restatement log they show. By default one company that does not reconcile stops the run before anything is published.
     With `quarantine`, the companies that reconcile are published and the others are left out.
     """
     spark = facts.sparkSession
@@ -77,15 +87,27 @@ def run_refresh(facts: DataFrame, root: str, run_date: str, wb_inputs: dict | No
     wb = wb.override(**{name: getattr(wb, name).join(passing, "cik", "left_semi")
                         for name in SILVER})
 
+    record_revisions(store, wb.cell_snapshot, run_date)
+    wb.revised = revisions.latest_revisions(store.log())
+
     gold = f"{base}/gold"
-    for name in GOLD:
+    for name in marts:
         getattr(wb, name).write.mode("overwrite").parquet(f"{gold}/{name}")
-    comparator.variance_ab(wb.metrics).write.mode("overwrite").parquet(f"{gold}/variance_ab")
     export_documents(wb).write.mode("overwrite").parquet(f"{gold}/documents")
-    record_revisions(store, wb.cell_snapshot, run_date)
     return RefreshResult(run, gold, passing.count())
 
 
+def refresh_from_documents(spark: SparkSession, raw: str, root: str, run_date: str,
+                           notes_path: str | None = None, tickers: DataFrame | None = None,
+                           one_time_items: DataFrame | None = None, multi_line: bool = True,
+                           quarantine: bool = False) -> RefreshResult:
+    """The whole job from a raw zone of filing documents. The raw zone is only read."""
+    documents = read_documents(spark, raw, multi_line)
+    inputs = {"companies": companies_from(documents, tickers), "one_time_items": one_time_items,
+              "curated": read_notes(spark, notes_path) if notes_path else None}
+    return run_refresh(facts_from(documents), root, run_date, inputs, quarantine)
+
+
 def _json(*columns: Column | str) -> Column:
     return F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
 

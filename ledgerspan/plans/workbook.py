@@ -12,8 +12,9 @@ from pyspark.sql import DataFrame
 
 from ledgerspan.operators import (
     annual, bridges, cells, checks, comparator, narrative, notable, quarterly, revisions, selection)
-from ledgerspan.schemas import ONE_TIME_ITEMS
+from ledgerspan.schemas import NOTES, ONE_TIME_ITEMS, REVISIONS
 from ledgerspan.settings import Settings
+from ledgerspan.sources.notes import flatten_notes
 
 
 class Workbook:
@@ -171,6 +172,23 @@ class Workbook:
     def pct_of_base_quarterly(self) -> DataFrame:
         return cells.pct_of_base(self.quarterly_cells)
 
+    @cached_property
+    def annotated_cells(self) -> DataFrame:
+        """Annual, quarterly and ratio cells with their notable, curated and restatement marks."""
+        shape = ["cik", "statement", "line_label", "period_key", "period_label", "value"]
+        shown = (self.annual_cells.select(*shape)
+                 .unionByName(self.quarterly_cells.select(*shape))
+                 .unionByName(cells.ratio_cells(self.ratios_long).select(*shape)))
+        flagged = self.notable_annual.unionByName(self.notable_quarterly)
+        spark = shown.sparkSession
+        curated = self.curated
+        if curated is None:
+            curated = flatten_notes(spark.createDataFrame([], NOTES))
+        revised = self.revised
+        if revised is None:
+            revised = spark.createDataFrame([], REVISIONS)
+        return cells.annotate(shown, flagged, curated, revised)
+
     # notable items
 
     @cached_property
@@ -224,6 +242,10 @@ class Workbook:
     def largest_mover(self, base_year: int | None = None, compare_year: int | None = None) -> DataFrame:
         return comparator.largest_mover(self.metrics, base_year, compare_year)
 
+    @cached_property
+    def variance_last_years(self) -> DataFrame:
+        return self.variance_ab()
+
     @cached_property
     def ratio_kpis(self) -> DataFrame:
         return comparator.ratio_kpis(self.metrics)

@@ -155,6 +155,7 @@ class Settings:
     top_quarterly: int = 10
     visible_quarters: int = 12
     high_roe: float = 1.5
+    company_folders: int = 64                # folders of the incremental facts table
 
     @property
     def mapped_concepts(self) -> list[str]:

@@ -152,7 +152,7 @@ def base_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Queries read it the way views read a base table: tag, form and date filters reach the scan.
     """
-    key = (spark.sparkContext.applicationId, shared_folder(spark), sf_dir)
+    key = (spark.conf.get("spark.app.id"), shared_folder(spark), sf_dir)
     if key in _LOADED:
         try:
             return spark.read.schema(FACTS).parquet(_LOADED[key])

@@ -21,7 +21,7 @@ def shared_folder(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", "")
     if configured:
         return configured.rstrip("/")
-    application = spark.sparkContext.applicationId
+    application = spark.conf.get("spark.app.id")
     if application not in _LOCAL_FOLDERS:
         _LOCAL_FOLDERS[application] = tempfile.mkdtemp(prefix="ledgerspan-")
     return _LOCAL_FOLDERS[application]

@@ -23,9 +23,6 @@ from ledgerspan.settings import Settings
 from ledgerspan.sources.company_facts import facts_from
 from ledgerspan.sources.tables import stage
 
-# Facts are stored in this many folders by company hash, so a batch reads the folders it touches.
-BUCKETS = 64
-
 LINES = T.StructType([
     T.StructField("cik", T.StringType()),
     T.StructField("statement", T.StringType()),
@@ -37,8 +34,9 @@ LINES = T.StructType([
 KEYS = ["cik", "concept", "unit", "period_start", "period_end"]
 
 
-def bucket_of(cik: Column) -> Column:
-    return F.pmod(F.xxhash64(cik), F.lit(BUCKETS)).cast("int")
+def bucket_of(cik: Column, settings: Settings) -> Column:
+    """Facts are stored in folders by company hash, so that a batch reads only those it touches."""
+    return F.pmod(F.xxhash64(cik), F.lit(settings.company_folders)).cast("int")
 
 
 def _stored(spark: SparkSession, path: str, schema: T.StructType, *partitions: str) -> DataFrame:
@@ -71,13 +69,14 @@ def revision_log(spark: SparkSession, root: str) -> DataFrame:
 
 def _process(batch: DataFrame, batch_id: int, root: str, run_date: str, settings: Settings) -> None:
     spark = batch.sparkSession
-    arrived = facts_from(batch, settings).withColumn("bucket", bucket_of(F.col("cik")))
-    (arrived.write.mode("overwrite").partitionBy("bucket").parquet(f"{root}/facts/batch={batch_id}"))
+    arrived = facts_from(batch, settings).withColumn("bucket", bucket_of(F.col("cik"), settings))
+    (arrived.hint("rebalance", "bucket").sortWithinPartitions("bucket", "cik", "concept")
+     .write.mode("overwrite").partitionBy("bucket").parquet(f"{root}/facts/batch={batch_id}"))
 
     stored = _stored(spark, f"{root}/facts", FACTS, "batch", "bucket")
     this_batch = stored.filter(F.col("batch") == batch_id)
     touched = this_batch.select("cik", "bucket").distinct()
-    # At most BUCKETS numbers reach the driver; they prune folders. The company test stays a join.
+    # At most `company_folders` numbers reach the driver, to prune folders; companies stay a join.
     folders = [row["bucket"] for row in this_batch.select("bucket").distinct().collect()]
     if not folders:
         return

@@ -43,7 +43,7 @@ RATIOS = {
 @pytest.fixture(scope="module")
 def lines(spark):
     order = {(line.statement, line.label): line.order for line in STANDARD_LINES}
-    rows = [("0000320193", s, label, order[s, label], 2021 + i, v * 1e6)
+    rows = [("0000000042", s, label, order[s, label], 2021 + i, v * 1e6)
             for (s, label), values in CELLS.items() for i, v in enumerate(values)]
     return spark.createDataFrame(rows, "cik string, statement string, line_label string, "
                                        "line_order int, fiscal_year int, value double")
@@ -114,7 +114,7 @@ def test_comparator(wb):
 
 def test_narrative(spark, wb):
     items = spark.createDataFrame(
-        [("0000320193", 2024, 10.2e9, "income-tax charge")],
+        [("0000000042", 2024, 10.2e9, "income-tax charge")],
         "cik string, fiscal_year int, amount double, reason string")
     normalized = narrative.normalized_margin(wb.metrics, items)
     assert round(normalized.first()["normalized_margin"], 4) == round((93736 + 10200) / 391035, 4)
@@ -160,9 +160,9 @@ def test_gate_turns_red_on_a_planted_value(lines, line, factor, status):
 
 
 def test_annotation_finds_cells(spark, wb):
-    notes = spark.createDataFrame([("0000320193", "income|Revenue|FY2023", "dollar", "")],
+    notes = spark.createDataFrame([("0000000042", "income|Revenue|FY2023", "dollar", "")],
                                   "cik string, key string, explanation string, source_url string")
-    revised = spark.createDataFrame([("0000320193", "income|Revenue|FY2022", 1.0, 2.0, "2026-01-01")],
+    revised = spark.createDataFrame([("0000000042", "income|Revenue|FY2022", 1.0, 2.0, "2026-01-01")],
                                     "cik string, key string, old double, new double, date string")
     out = {(r["line_label"], r["period_label"]): r for r in cells.annotate(
         wb.annual_cells.filter("statement = 'income'"), wb.notable_annual, notes, revised).collect()}

@@ -18,7 +18,7 @@ def point(**fields):
 
 @pytest.fixture
 def raw_zone(tmp_path):
-    first = {"cik": 320193, "entityName": "First", "facts": {
+    first = {"cik": 42, "entityName": "First", "facts": {
         "dei": {"Shares": {"units": {"shares": [point()]}}},
         "us-gaap": {
             "Assets": {"units": {"USD": [point(), point(end="not a date", fy=None)], "EUR": [point(val=7)]}},
@@ -36,7 +36,7 @@ def test_flatten_keeps_only_the_taxonomy_and_every_datapoint(spark, raw_zone):
     facts = dicts(company_facts.facts_from(documents).orderBy("concept", "unit", "period_end"))
     assert [(f["concept"], f["unit"]) for f in facts] == [
         ("Assets", "EUR"), ("Assets", "USD"), ("Assets", "USD"), ("NetIncomeLoss", "USD")]
-    assert {f["cik"] for f in facts} == {"0000320193"}
+    assert {f["cik"] for f in facts} == {"0000000042"}
     assert facts[1]["period_end"] is None and facts[1]["fiscal_year"] is None
     assert facts[3]["duration_days"] == 365 and facts[3]["frame"] == "CY2020"
     assert facts[2]["duration_days"] is None and facts[2]["period_start"] is None
@@ -44,7 +44,7 @@ def test_flatten_keeps_only_the_taxonomy_and_every_datapoint(spark, raw_zone):
 
 def test_companies_come_from_the_documents(spark, raw_zone):
     documents = company_facts.read_documents(spark, raw_zone)
-    tickers = spark.createDataFrame([("0000320193", "FST")], "cik string, ticker string")
+    tickers = spark.createDataFrame([("0000000042", "FST")], "cik string, ticker string")
     rows = dicts(company_facts.companies_from(documents, tickers).orderBy("cik"))
     assert [(r["ticker"], r["entity_name"]) for r in rows] == [
         (None, "Second"), (None, "Third"), ("FST", "First")]

@@ -31,8 +31,9 @@ def test_store_keeps_runs_and_the_last_record_of_a_key(spark, tmp_path):
 def test_refresh_publishes_and_logs_restatements(spark, tmp_path):
     facts = base_facts(spark, SF)
     inputs = {"companies": derive_companies(spark, SF)}
-    first = refresh.run_refresh(filed_by(facts, "2001-01-01"), str(tmp_path), "2001-01-01", inputs)
-    second = refresh.run_refresh(facts, str(tmp_path), "2002-12-31", inputs)
+    first = refresh.run_refresh(filed_by(facts, "2001-01-01"), str(tmp_path), "2001-01-01", inputs,
+                                marts=())
+    second = refresh.run_refresh(facts, str(tmp_path), "2002-12-31", inputs, marts=("ratios",))
     assert (first.run, second.run) == (1, 2)
     assert second.companies_published == facts.select("cik").distinct().count()
     stored = spark.read.parquet(f"{second.gold}/ratios")
@@ -58,7 +59,8 @@ def test_gate_blocks_publishing_or_quarantines(spark, make_facts, tmp_path):
         refresh.run_refresh(facts, str(tmp_path / "strict"), "2020-12-01")
     assert not (tmp_path / "strict/run=1/gold").exists()
     assert not (tmp_path / "strict/store").exists()
-    result = refresh.run_refresh(facts, str(tmp_path / "loose"), "2020-12-01", quarantine=True)
+    result = refresh.run_refresh(facts, str(tmp_path / "loose"), "2020-12-01", quarantine=True,
+                                 marts=("metrics",))
     assert result.companies_published == 1
     assert {r["cik"] for r in spark.read.parquet(f"{result.gold}/metrics").collect()} == {"good"}
 
@@ -122,3 +124,16 @@ def test_incremental_refresh_touches_only_companies_that_filed(spark, tmp_path):
     assert sorted((r["batch"], r["cik"]) for r in batches if r["batch"] == 1) == [(1, "0000000000")]
     incremental.refresh_available(spark, landing, root)
     assert incremental.current_lines(spark, root).count() == len(before)
+
+
+def test_job_runs_from_raw_documents(spark, tmp_path):
+    from ledgerspan.plans import job
+    raw, out = str(tmp_path / "raw"), str(tmp_path / "out")
+    to_documents(base_facts(spark, SF)).select("document").coalesce(2).write.text(raw)
+    (tmp_path / "notes.json").write_text(json.dumps({"cik": 1, "notes": [
+        {"statement": "income", "line": "Revenue", "period": "FY1999", "explanation": "why"}]}))
+    code = job.main(["--raw", raw, "--out", out, "--lines", "--notes", str(tmp_path / "notes.json"),
+                     "--run-date", "2002-12-31"])
+    assert code == 0
+    marked = spark.read.parquet(f"{out}/run=1/gold/annotated_cells").filter("explanation = 'why'")
+    assert [(r["cik"], r["line_label"]) for r in marked.collect()] == [("0000000001", "Revenue")]
