@@ -8,6 +8,7 @@ from pyspark.sql import Window
 
 from ledgerspan.functions.numbers import BILLION, billions, ratio
 from ledgerspan.functions.pick import latest_filed
+from ledgerspan.functions.text import money, multiple, percent
 from ledgerspan.operators.mapping import map_to_lines
 from ledgerspan.operators.selection import (
     in_unit, is_annual_filing, is_instant, spans_full_year)
@@ -154,15 +155,19 @@ def pivot_statement(statement_rows: DataFrame, years: list[int]) -> DataFrame:
 
 
 def ratios_long(ratio_rows: DataFrame) -> DataFrame:
-    """Six ratios as rows with their label and display format."""
+    """Six ratios as rows with their label, display format and display text."""
     columns = [column for column, _ in RATIO_FORMATS.values()]
     attributes = F.create_map(*[
         part for label, (column, form) in RATIO_FORMATS.items()
         for part in (F.lit(column), F.struct(F.lit(label).alias("label"), F.lit(form).alias("fmt")))])
+    value, fmt = F.col("value"), F.col("fmt")
+    text = F.when(value.isNull(), "–").when(fmt == "pct", percent(value)).when(
+        fmt == "x", multiple(value)).otherwise(money(value))
     return (ratio_rows.unpivot(["cik", "fiscal_year"], columns, "ratio", "value")
             .withColumn("shown", attributes[F.col("ratio")])
             .select("cik", "fiscal_year", "ratio", F.col("shown.label").alias("label"),
-                    F.col("shown.fmt").alias("fmt"), "value"))
+                    F.col("shown.fmt").alias("fmt"), "value")
+            .withColumn("text", text))
 
 
 def headline_series(metric_rows: DataFrame) -> DataFrame:

@@ -118,12 +118,14 @@ def pct_of_base(cells: DataFrame) -> DataFrame:
                                    ratio(F.col("value"), F.col("base")).alias("pct"))
 
 
-def line_trend(cells: DataFrame, visible: DataFrame, statement: str, line: str) -> DataFrame:
-    """One line over the visible quarters in billions; a missing quarter stays a gap."""
-    return (cells.filter((F.col("statement") == statement) & (F.col("line_label") == line))
-            .join(visible.select("cik", "period_end"), ["cik", "period_end"], "left_semi")
-            .select("cik", "period_end", "period_label",
-                    (F.col("value") / BILLION).alias("value_billions")))
+def line_trend(cells: DataFrame, statement: str, line: str,
+               visible: DataFrame | None = None) -> DataFrame:
+    """One line over its periods in billions, or over the visible quarters; a gap stays NULL."""
+    chosen = cells.filter((F.col("statement") == statement) & (F.col("line_label") == line))
+    if visible is not None:
+        chosen = chosen.join(visible.select("cik", "period_end"), ["cik", "period_end"], "left_semi")
+    return chosen.select("cik", "period_end", "period_label",
+                         (F.col("value") / BILLION).alias("value_billions"))
 
 
 def annotate(cells: DataFrame, flagged: DataFrame, curated: DataFrame,

@@ -249,7 +249,7 @@ QUERIES: dict[str, Query] = {
     "pct_of_base_annual": _of("pct_of_base_annual", "pct"),
     "pct_of_base_quarterly": _of("pct_of_base_quarterly", "pct"),
     "line_trend": lambda s, d: (lambda wb: rounded(cells.line_trend(
-        wb.quarterly_cells, wb.visible_quarters, "income", "Gross Profit"),
+        wb.quarterly_cells, "income", "Gross Profit", wb.visible_quarters),
         "value_billions", digits=9))(book(s, d)),
     "annotated_cells": annotated_cells,
     "visible_notes": visible_notes,

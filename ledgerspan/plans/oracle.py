@@ -491,6 +491,11 @@ def _change_text(value: str, digits: int, suffix: str) -> str:
             f"|| '{suffix} vs FY' || b.fiscal_year")
 
 
+TEXT_OF = {
+    "pct": "format('{{:.1f}}', {v} * 100) || '%'",
+    "x": "format('{{:.2f}}', {v})",
+    "money": "CASE WHEN {v} < 0 THEN '-' ELSE '' END || '$' || format('{{:.1f}}', abs({v}) / 1e9) || 'B'",
+}
 KPIS = [
     ("Return on Equity", "a.roe", "(a.roe - b.roe) * 100", 0, " pp", ""),
     ("Net Margin", "a.net_margin", "(a.net_margin - b.net_margin) * 100", 1, " pp", ""),
@@ -538,7 +543,8 @@ FINAL: dict[str, str] = {
     "ratios": f"SELECT cik, fiscal_year, {R6}, free_cash_flow FROM ratio_rows",
     "ratios_long": " UNION ALL ".join(
         f"SELECT cik, fiscal_year, '{name}' AS ratio, '{label}' AS label, '{fmt}' AS fmt, "
-        f"round({name}, 6) AS value FROM ratio_rows" for label, (name, fmt) in RATIO_FORMATS.items()),
+        f"round({name}, 6) AS value, coalesce({TEXT_OF[fmt].format(v=name)}, '–') AS text "
+        "FROM ratio_rows" for label, (name, fmt) in RATIO_FORMATS.items()),
     "common_size": """SELECT cik, statement, line_order, line_label, fiscal_year, value,
         round(value / nullif(CASE WHEN statement = 'income' THEN revenue ELSE total_assets END, 0), 6)
           AS pct_of_base

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerspan.functions.numbers import known
 from ledgerspan.schemas import COMPANY_FACTS, FACTS
 from ledgerspan.settings import Settings
 
@@ -46,10 +47,10 @@ def flatten(documents: DataFrame, settings: Settings = Settings()) -> DataFrame:
 
 
 def typed(flat: DataFrame) -> DataFrame:
-    """Dates parsed (unreadable ones become NULL) and the period length in days."""
+    """Dates parsed (unreadable ones become NULL), NaN amounts made NULL, length in days."""
     as_date = {name: F.try_to_date(F.col(name), "yyyy-MM-dd")
                for name in ("period_start", "period_end", "filed")}
-    return (flat.withColumns(as_date)
+    return (flat.withColumns({**as_date, "value": known(F.col("value"))})
             .withColumn("duration_days", F.datediff("period_end", "period_start"))
             .select(*FACTS.fieldNames()))
 
