@@ -6,17 +6,20 @@ to one per key before the shuffle, so a key that holds a third of the table stay
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def version_order(missing_date_wins: bool = False) -> Column:
+def version_order(missing_date_wins: bool = False, keys: Sequence[str] = ()) -> Column:
     """Total order on versions: last filed, then accession number, then stable tie-breakers.
 
     A missing filing date loses by default; `missing_date_wins` gives the opposite rule that the
-    de-duplication and the quarter-end cash lookup follow.
+    de-duplication and the quarter-end cash lookup follow. Columns in `keys` are equal within a
+    group and left out.
     """
-    parts = ["filed", "accn", "unit", "period_start", "value"]
+    parts = [name for name in ("filed", "accn", "unit", "period_start", "value") if name not in keys]
     lead = [F.col("filed").isNull().alias("undated")] if missing_date_wins else []
     return F.struct(*lead, *parts)
 
@@ -28,7 +31,7 @@ def latest_filed(facts: DataFrame, keys: list[str], payload: list[str],
     The aggregation sorts by its keys in the given order. Stored facts are sorted by tag, company
     and period end, so keys given in that order meet presorted rows.
     """
-    order = version_order(missing_date_wins)
+    order = version_order(missing_date_wins, keys)
     if len(payload) == 1:
         return facts.groupBy(*keys).agg(F.max_by(payload[0], order).alias(payload[0]))
     chosen = F.max_by(F.struct(*payload), order)

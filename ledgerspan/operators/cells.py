@@ -13,7 +13,8 @@ from pyspark.sql import Window
 
 from ledgerspan.functions.labels import quarter_key, year_key, year_label
 from ledgerspan.functions.numbers import BILLION, ratio, relative_change
-from ledgerspan.settings import BASE_LINE
+from ledgerspan.operators.mapping import is_line, sql_text
+from ledgerspan.settings import BASE_LINE, Settings
 
 LINE = ["cik", "statement", "line_order", "line_label"]
 PERIOD = ["fiscal_year", "qnum", "period_end", "period_key", "period_label"]
@@ -46,11 +47,13 @@ def is_derived(statement: Column, qnum: Column) -> Column:
         F.lit(False))
 
 
-def quarterly_cells(quarter_lines: DataFrame, annual_lines: DataFrame,
-                    spine: DataFrame) -> DataFrame:
+def quarterly_cells(quarter_lines: DataFrame, annual_lines: DataFrame, spine: DataFrame,
+                    settings: Settings = Settings()) -> DataFrame:
     """Dense block: every annual line on every spine quarter, NULL where nothing was filed.
 
-    The grid is a join on the company, whose sides are its lines (20) and its quarters.
+    Values and shown lines are laid out side by side first, one column per line of the settings, so
+    the joins move one row per quarter and the grid is unfolded after the last of them. It comes
+    out partitioned by company, which is what growth, shares and notable items group by.
     """
     keys = Window.partitionBy("cik").orderBy("period_end")
     quarter = quarter_key(F.col("fiscal_year"), F.col("qnum"))
@@ -60,9 +63,19 @@ def quarterly_cells(quarter_lines: DataFrame, annual_lines: DataFrame,
                        quarter.alias("period_key"), F.col("label").alias("period_label"),
                        quarter_key(F.col("prev_year"), F.col("qnum")).alias("prev_key"),
                        F.lag(quarter).over(keys).alias("prev_seq_key")))
-    grid = statement_line_set(annual_lines).join(periods, "cik")
-    return (grid.join(quarter_lines.select(*LINE, "period_end", "value"),
-                      [*LINE, "period_end"], "left")
+    numbered = list(enumerate(settings.lines))
+    filed = quarter_lines.groupBy("cik", "period_end").agg(*[
+        F.expr(f"max(value) FILTER (WHERE {is_line(line)})").alias(f"value_{n}")
+        for n, line in numbered])
+    shown = annual_lines.groupBy("cik").agg(*[
+        F.expr(f"bool_or({is_line(line)})").alias(f"shown_{n}") for n, line in numbered])
+    entries = ", ".join(
+        f"named_struct('shown', shown_{n}, 'statement', {sql_text(line.statement)}, 'line_order', "
+        f"{line.order}, 'line_label', {sql_text(line.label)}, 'value', value_{n})"
+        for n, line in numbered)
+    return (periods.join(filed, ["cik", "period_end"], "left").join(shown, "cik")
+            .select("cik", *PERIOD, "prev_key", "prev_seq_key", F.expr(f"inline(array({entries}))"))
+            .filter("shown")
             .select(*LINE, *PERIOD, "prev_key", "prev_seq_key",
                     is_derived(F.col("statement"), F.col("qnum")).alias("derived"), "value"))
 

@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerspan.settings import Settings
+from ledgerspan.settings import Line, Settings
 
 # The mapping comes from settings held on the driver, so its size is known when planning.
 BROADCAST_MAX_ROWS = 10_000
 
 
-def _text(value: str) -> str:
+def sql_text(value: str) -> str:
+    """A string literal for an SQL expression."""
     return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
@@ -22,8 +23,8 @@ def concept_map(spark: SparkSession, settings: Settings = Settings()) -> DataFra
     relation is part of the plan and its size is known to the optimizer.
     """
     rows = ", ".join(
-        f"({_text(line.statement)}, {_text(line.label)}, {line.order}, "
-        f"array({', '.join(map(_text, line.candidates))}))" for line in settings.lines)
+        f"({sql_text(line.statement)}, {sql_text(line.label)}, {line.order}, "
+        f"array({', '.join(map(sql_text, line.candidates))}))" for line in settings.lines)
     return spark.sql(f"""
         SELECT statement, line_label, line_order, concept, position + 1 AS priority, 1 AS sign
         FROM VALUES {rows} AS lines(statement, line_label, line_order, candidates)
@@ -54,3 +55,8 @@ def map_to_lines(values: DataFrame, settings: Settings) -> DataFrame:
     return (values.filter(F.col("concept").isin(settings.mapped_concepts))
             .join(mapping, "concept")
             .withColumn("value", F.col("sign") * F.col("value")))
+
+
+def is_line(line: Line) -> str:
+    """SQL condition for the rows of one statement line."""
+    return f"statement = {sql_text(line.statement)} AND line_label = {sql_text(line.label)}"

@@ -150,7 +150,7 @@ class Workbook:
     @cached_property
     def quarterly_cells(self) -> DataFrame:
         return cells.quarterly_cells(
-            self.quarterly_statement_lines, self.statement_lines, self.quarter_spine)
+            self.quarterly_statement_lines, self.statement_lines, self.quarter_spine, self.settings)
 
     @cached_property
     def growth_annual(self) -> DataFrame:

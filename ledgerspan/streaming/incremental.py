@@ -117,7 +117,7 @@ def refresh_available(spark: SparkSession, landing: str, root: str, run_date: st
 
 def latest_filed(stream: DataFrame) -> DataFrame:
     """Streaming form of version selection: an update-mode aggregation, one state row per key."""
-    chosen = F.max_by(F.struct("value", "filed", "accn"), version_order(missing_date_wins=True))
+    chosen = F.max_by(F.struct("value", "filed", "accn"), version_order(True, KEYS))
     return stream.groupBy(*KEYS).agg(chosen.alias("chosen")).select(*KEYS, "chosen.*")
 
 
