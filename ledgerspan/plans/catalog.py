@@ -11,10 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerspan.functions.labels import quarter_label, year_label
-from ledgerspan.operators import annual, bridges, cells, comparator, mapping, notable, revisions, selection
+from ledgerspan.operators import bridges, cells, comparator, mapping, notable, revisions, selection
 from ledgerspan.plans import refresh
 from ledgerspan.plans.workbook import Workbook
-from ledgerspan.settings import Settings
 from ledgerspan.sources import company_facts, notes, snapshots, tables
 from ledgerspan.sources.derived import base_facts, derive_companies, derive_facts
 from ledgerspan.streaming import incremental

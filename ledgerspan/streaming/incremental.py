@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamWriter
 
 from ledgerspan.functions.pick import version_order
-from ledgerspan.operators import checks, revisions
+from ledgerspan.operators import revisions
 from ledgerspan.plans.workbook import Workbook
 from ledgerspan.schemas import COMPANY_FACTS, FACTS, REVISIONS
 from ledgerspan.settings import Settings
