@@ -44,12 +44,17 @@ def _mark(edges: DataFrame) -> tuple:
 
 def forest(a, b, parent: dict) -> list:
     """Of links (a, b), those that join two trees of `parent` (a union-find dictionary, updated)."""
+    def root(x):
+        while x in parent:
+            above = parent[x]
+            if above in parent:
+                parent[x] = parent[above]
+            x = above
+        return x
+
     kept = []
     for x, y in zip(a, b):
-        while x in parent:
-            x = parent[x]
-        while y in parent:
-            y = parent[y]
+        x, y = root(x), root(y)
         if x != y:
             parent[max(x, y)] = min(x, y)
             kept.append((x, y))

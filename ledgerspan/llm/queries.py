@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerspan.llm import (html_text, language, mixing, repeats, simhash, token_cache, url_filter)
+from ledgerspan.llm import (decontaminate, hnsw, html_text, language, mixing, ngram_lm, repeats, simhash, token_cache, url_filter)
 from ledgerspan.llm.common import scratch_path
 
 #: Fixed rules of the URL query: (verdict, host and path prefix).
@@ -24,6 +24,10 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -41,6 +45,10 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
                                     scratch_path(spark, "token-cache"))
 
 
+def op6_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hnsw.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.copies_per_document(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     return mixed.select("doc_id", F.col("__size").alias("size"), F.col("__source_size").alias("source_size"),
@@ -51,13 +59,17 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify_held_out(table(spark, sf_dir, "documents"))
 
 
+def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_lm.score_texts(table(spark, sf_dir, "documents"))
+
+
 def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.repeat_report(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_url_filter": op1_url_filter, "op3_simhash": op3_simhash, "op4_html_text": op4_html_text,
-    "op5_token_counts": op5_token_counts, "op7_mixing": op7_mixing, "op8_language": op8_language,
-    "op10_repeats": op10_repeats,
+    "op1_url_filter": op1_url_filter, "op2_decontamination": op2_decontamination, "op3_simhash": op3_simhash, "op4_html_text": op4_html_text,
+    "op5_token_counts": op5_token_counts, "op6_embeddings": op6_embeddings, "op7_mixing": op7_mixing, "op8_language": op8_language,
+    "op9_lm_scores": op9_lm_scores, "op10_repeats": op10_repeats,
 }
 ORACLE_SQL: dict[str, str] = {"op7_mixing": mixing.MIXING_SQL.replace("{documents}", "documents")}

@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerspan.llm.common import kind_of, stage
@@ -175,6 +175,11 @@ def _longs(x: np.ndarray) -> pa.Array:
     return pa.array(x.astype(np.uint64).view(np.int64) if x.dtype == np.uint64 else x, pa.int64())
 
 
+def _text_hash(text: Column) -> Column:
+    """32 bits that tell rows with the same doc_id and different texts apart."""
+    return F.shiftright(F.xxhash64(F.coalesce(text, F.lit(""))), 32).cast("int")
+
+
 def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, group_limit: int = GROUP_LIMIT) -> DataFrame:
     """All rows of docs (doc_id, text) with `th` (32 bits of the text's hash) and `spans`, the merged stretches
     (begin, end) of UTF-8 bytes that repeat.
@@ -189,7 +194,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
     """
     side, id_kind = length - anchor, kind_of(docs, "doc_id")
     text = F.coalesce("text", F.lit(""))
-    keyed = docs.select("doc_id", F.shiftright(F.xxhash64(text), 32).cast("int").alias("th"), text.alias("text"))
+    keyed = docs.select("doc_id", _text_hash(F.col("text")).alias("th"), text.alias("text"))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -305,14 +310,25 @@ def repeat_report(docs: DataFrame, **options) -> DataFrame:
 
 
 def without_repeats(docs: DataFrame, **options) -> DataFrame:
-    """doc_id and __kept, the text without repeated strings, once per doc_id and text (as `th`).
+    """docs without their repeated strings, rows and columns as they came; an n_chars column is counted anew.
 
-    A cut may fall inside a character; what is left of such a character is dropped with it.
+    A cut may fall inside a character; what is left of such a character goes with it. Null texts stay null, and a
+    text that repeats as a whole becomes empty.
     """
     def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept = [cut(data, spans).decode("utf-8", "ignore") for data, spans in merged(batch)]
             yield pa.record_batch([batch.column("doc_id"), batch.column("th"), pa.array(kept, pa.string())],
-                                  names=["doc_id", "th", "kept"])
-
-    return repeated_spans(docs, **options).mapInArrow(rest, f"doc_id {kind_of(docs, 'doc_id')}, th int, kept string")
+                                  names=["__id", "__th", "__kept"])
+
+    schema = f"__id {kind_of(docs, 'doc_id')}, __th int, __kept string"
+    changed = repeated_spans(docs.select("doc_id", "text"), **options).where("raw is not null").mapInArrow(
+        rest, schema).dropDuplicates(["__id", "__th"])
+    same = docs["doc_id"].eqNullSafe(changed["__id"]) & (_text_hash(docs["text"]) == changed["__th"])
+    text = F.when(docs["text"].isNull(), None).otherwise(F.coalesce(changed["__kept"], docs["text"]))
+    columns = {"text": text.alias("text")}
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        columns["n_chars"] = F.when(changed["__kept"].isNull(), docs["n_chars"]).otherwise(
+            F.length(changed["__kept"]).cast(kind)).alias("n_chars")
+    return docs.join(changed, same, "left").select(*[columns.get(c, docs[c]) for c in docs.columns])
