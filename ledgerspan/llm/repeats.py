@@ -128,14 +128,14 @@ def prefix_intervals(prefixes: list[int], least: int) -> Iterator[tuple[int, int
 
 
 def maximal_repeats(lefts: list[bytes], rights: list[bytes], length: int = LENGTH, anchor: int = ANCHOR,
-                    ) -> list[list[tuple[int, int]]]:
-    """For each snippet the stretches [begin, end), relative to the anchor's place, that other snippets repeat.
+                    ) -> list[tuple[int, int] | None]:
+    """For each snippet the stretch [begin, end), relative to the anchor's place, that other snippets repeat, or None.
 
-    lefts are the bytes before the anchor, last one first; rights those behind it. A left-maximal repeat begins where
+    Every repeat found holds the anchor, so a snippet's repeats make one stretch. lefts are the bytes before the anchor, last one first; rights those behind it. A left-maximal repeat begins where
     two neighbours in the order of lefts part, so only suffixes at these depths are sorted.
     """
     count = len(lefts)
-    found: list[list[tuple[int, int]]] = [[] for _ in range(count)]
+    begins, ends = [0] * count, [0] * count
     by_left = sorted(range(count), key=lefts.__getitem__)
     depths = {common(lefts[a], lefts[b]) for a, b in zip(by_left, by_left[1:])}
     for depth in depths:
@@ -148,8 +148,9 @@ def maximal_repeats(lefts: list[bytes], rights: list[bytes], length: int = LENGT
             before = {lefts[k][depth:depth + 1] for k in members}
             if len(before) > 1 or b"" in before:
                 for k in members:
-                    found[k].append((-depth, extent - depth))
-    return [merge(x) for x in found]
+                    begins[k] = min(begins[k], -depth)
+                    ends[k] = max(ends[k], extent - depth)
+    return [(b, e) if e else None for b, e in zip(begins, ends)]
 
 
 def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -257,12 +258,11 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
                 rows = group.as_py()
                 spans = maximal_repeats([x["left"] for x in rows], [x["right"] for x in rows], length, anchor)
                 for x, own in zip(rows, spans):
-                    if x["single"]:
-                        for begin, end in own:
-                            ids.append(x["doc_id"])
-                            ths.append(x["th"])
-                            begins.append(x["place"] + begin)
-                            ends.append(x["place"] + end)
+                    if x["single"] and own:
+                        ids.append(x["doc_id"])
+                        ths.append(x["th"])
+                        begins.append(x["place"] + own[0])
+                        ends.append(x["place"] + own[1])
             yield pa.record_batch([pa.array(ids, batch.schema.field("members").type.value_type.field("doc_id").type),
                                    pa.array(ths, pa.int32()), pa.array(begins, pa.int32()), pa.array(ends, pa.int32())],
                                   names=["doc_id", "th", "begin", "end"])
