@@ -199,24 +199,30 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns: list[list[np.ndarray]] = [[], [], [], []]
+            parts: list[tuple] = []
             for row, value in enumerate(batch.column("text")):
                 h, s, place = anchors_of(value.as_py().encode(), length, anchor)
-                for column, x in zip(columns, (h, s, place, np.full(len(place), row))):
-                    column.append(x)
-            h, s, place, rows = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in columns)
+                order = np.lexsort((place, s, h))
+                h, s = h[order], s[order]
+                first = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (s[1:] != s[:-1])])) if len(h) else order
+                parts.append((h[first], s[first], place[order], np.diff(np.append(first, len(h))), np.full(len(first), row)))
+            h, s, place, size, rows = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.int64),) * 5
             rows = pa.array(rows.astype(np.int64))
+            places = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)),
+                                              pa.array(place.astype(np.int32)))
             yield pa.record_batch([_longs(h), _longs(s), batch.column("doc_id").take(rows), batch.column("th").take(rows),
-                                   pa.array(place.astype(np.int32))], names=["h", "s", "doc_id", "th", "place"])
+                                   places], names=["h", "s", "doc_id", "th", "places"])
 
-    anchors = keyed.mapInArrow(find, f"h long, s long, doc_id {id_kind}, th int, place int")
-    shared = anchors.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
+    # a document's places with the same anchor and snippet, as of a line it repeats, are one row
+    anchors = keyed.mapInArrow(find, f"h long, s long, doc_id {id_kind}, th int, places array<int>")
+    shared = stage(anchors.groupBy("h").agg(F.sum(F.size("places")).alias("n")).where("n > 1").select("h"), "repeats-shared")
     repeated = stage(anchors.join(shared, "h"), "repeats-anchors")
     snippets = repeated.groupBy("h", "s").agg(
-        F.count(F.lit(1)).alias("copies"), F.min(F.struct("doc_id", "th", "place")).alias("at"))
+        F.sum(F.size("places")).alias("copies"),
+        F.min(F.struct("doc_id", "th", F.col("places")[0].alias("place"))).alias("at"))
     # equal snippets repeat as a whole
     alike = snippets.where("copies > 1").select("h", "s")
-    whole = repeated.join(alike, ["h", "s"]).select(
+    whole = repeated.join(alike, ["h", "s"]).select("doc_id", "th", F.explode("places").alias("place")).select(
         "doc_id", "th", F.greatest(F.col("place") - side, F.lit(0)).alias("begin"), (F.col("place") + length).alias("end"))
     # one of each kind of snippet meets the other kinds
     kinds = snippets.groupBy("h").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
