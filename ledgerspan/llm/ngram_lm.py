@@ -25,7 +25,7 @@ from ledgerspan.llm.common import LOWER_BYTES, crc_fold, kind_of
 from ledgerspan.llm.repeats import Hashes, _scramble
 
 #: Bytes of text of a block on average; bounds what a task holds, so blocks grow in number with the corpus.
-BLOCK_BYTES = 12_000_000
+BLOCK_BYTES = 9_000_000
 PRIOR, ADD = 100.0, 0.1
 #: Bytes of a word's and of a pair's hash that travel besides the number of the part.
 KEY_BYTES = {1: 8, 2: 5}
@@ -230,7 +230,7 @@ def score_block(block: Block, replies: pd.DataFrame, total: int, distinct: int,
     unigram = np.log10((words + ADD) / floor)
     context_count = words.copy()
     context_count[block.start] = words[block.end]  # as many starts as ends
-    # each distinct pair once: its context and word, its probability, its place among the tokens
+    # each distinct pair once, in the trie's order so that searches read it from end to end
     first = np.zeros(len(block.sizes), np.int64)
     first[1:] = np.cumsum(block.sizes)[:-1]
     before = np.empty(len(block.token), np.int64)
@@ -238,12 +238,14 @@ def score_block(block: Block, replies: pd.DataFrame, total: int, distinct: int,
     before[first] = block.start
     context, word = np.zeros(len(pairs), np.int64), np.zeros(len(pairs), np.int64)
     context[block.pair], word[block.pair] = before, block.token
-    seen = np.flatnonzero(pairs)
-    seen = seen[np.lexsort((word[seen], context[seen]))]
+    order = np.argsort(context * len(words) + word)
+    seen = order[pairs[order] > 0]
     lower = (words[word[seen]] + ADD) / floor
     logs = np.log10((pairs[seen] + prior * lower) / (context_count[context[seen]] + prior))
     trie = Trie(unigram, np.log10(prior / (context_count + prior)), context[seen], word[seen], logs)
-    each = trie.log_probability(context, word)[block.pair]
+    of_pair = np.empty(len(pairs))
+    of_pair[order] = trie.log_probability(context[order], word[order])
+    each = of_pair[block.pair]
     add = lambda x: np.add.reduceat(x, first)
     return {"n_tokens": block.sizes, "n_known": add((words[block.token] > 0).astype(np.int64)),
             "base_score": add(unigram[block.token]), "score": add(each)}
