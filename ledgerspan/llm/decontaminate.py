@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +17,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerspan.llm.common import kind_of, stage
+from ledgerspan.llm.common import SPACE, kind_of, stage
+from ledgerspan.llm.repeats import Hashes
 
 #: Tokens of a window; shorter items are matched as a whole, down to LEAST_TOKENS, below which nothing is said.
 WINDOW, LEAST_TOKENS = 8, 5
@@ -26,8 +28,8 @@ LEAST_LITERALS = 4
 COVERAGE = 0.5
 #: Bits of the filter of benchmark windows that tasks get; its size is fixed, whatever the benchmark's.
 FILTER_BITS = 1 << 23
-#: Canonical forms kept per Python worker before the memory is emptied.
-REMEMBERED = 300_000
+#: Words kept per Python worker before the memory is emptied, and characters of text looked at side by side.
+REMEMBERED, TEXT_AT_ONCE = 500_000, 1 << 20
 
 NUM, NAME, UNIT = "<num>", "<name>", "<unit>"
 #: Fixed words: numbers and units (English, with the signs and abbreviations used everywhere).
@@ -43,7 +45,7 @@ UNIT_WORDS = frozenset((
     "kmh kph mph hz khz mhz ghz kb mb gb tb w kw kwh v volt volts watt watts").split())
 NUMBER = re.compile(r"[+\-]?[$€£]?\d+(?:[.,:/\-]\d+)*(?P<unit>[a-zA-Z%°€$£]{0,4})$")
 EDGE = re.compile(r"^[^\w$€£+\-]+|[^\w%°€$£]+$")
-ENDS = (".", "!", "?", ":")
+ENDS = (b".", b"!", b"?", b":")
 
 
 def canonical(word: str) -> tuple[tuple[str, str], ...]:
@@ -79,33 +81,75 @@ BASE = 0x9E3779B97F4A7C15
 SLOTS = np.array([_hash(x) for x in (NUM, NAME, UNIT)], np.uint64)
 
 
+class Tokens(NamedTuple):
+    """Template tokens of a list of texts, one after the other."""
+
+    plain: np.ndarray  # hash of each token, capitals at sentence starts read as words
+    named: np.ndarray  # the same, these read as names
+    literal: np.ndarray  # whether `named` is no placeholder
+    text: np.ndarray  # number of the text
+    word: np.ndarray  # number of the blank-separated word, and which of its parts
+    part: np.ndarray
+    data: bytes
+    begin: np.ndarray  # of each word in data
+    end: np.ndarray
+
+    def values(self, first: int, width: int) -> list[str]:
+        """What stands at the places first .. first + width - 1."""
+        return [canonical(self.data[self.begin[w]:self.end[w]].decode())[k][1]
+                for w, k in zip(self.word[first:first + width], self.part[first:first + width])]
+
+
 class Templates:
-    """Template tokens of texts; remembers the parts of words."""
-
-    def __init__(self) -> None:
-        self.memory: dict[str, tuple] = {}
-
-    def tokens(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
-        """(hashes, hashes with names at sentence starts too, literal flags, values); one entry per template token."""
-        memory = self.memory
-        if len(memory) > REMEMBERED:
-            memory.clear()
-        plain, named, values = [], [], []
-        start = True
-        for word in (text or "").split():
-            parts = memory.get(word)
-            if parts is None:
-                forms = canonical(word)
-                parts = memory[word] = (
-                    tuple((_hash(value if form == NAME else form), _hash(form), value) for form, value in forms),
-                    tuple((_hash(form), _hash(form), value) for form, value in forms), word.endswith(ENDS))
-            for literal, form, value in parts[0 if start else 1]:
-                plain.append(literal)
-                named.append(form)
-                values.append(value)
-            start = parts[2]
-        a, b = np.array(plain, np.uint64), np.array(named, np.uint64)
-        return a, b, ~np.isin(b, SLOTS), values
+    """Template tokens of texts. Words are hashed side by side; each distinct word is looked at once and remembered."""
+
+    def __init__(self, room: int = REMEMBERED) -> None:
+        self.room, self.rows = room, {}
+        self.lit, self.form = np.zeros((room, 2), np.uint64), np.zeros((room, 2), np.uint64)
+        self.count, self.ends = np.zeros(room, np.int64), np.zeros(room, bool)
+
+    def _remember(self, key: int, word: bytes) -> int:
+        row = self.rows[key] = len(self.rows)
+        forms = canonical(word.decode())
+        self.count[row], self.ends[row] = len(forms), word.endswith(ENDS)
+        for k, (form, value) in enumerate(forms):
+            self.form[row, k], self.lit[row, k] = _hash(form), _hash(value if form == NAME else form)
+        return row
+
+    def tokens(self, texts: list) -> Tokens:
+        raw = [(text or "").encode() for text in texts]
+        data = b"\n".join(raw) + b"\n"
+        space = SPACE[np.frombuffer(data, np.uint8)]
+        edge = np.flatnonzero(np.diff(np.concatenate([[True], space]).astype(np.int8)))
+        begin, end = edge[::2], edge[1::2]
+        offsets = np.cumsum([0] + [len(x) + 1 for x in raw])
+        text = np.searchsorted(offsets, begin, side="right") - 1
+        distinct, first, place = np.unique(Hashes(data, 1).between(begin, end, 0), return_index=True, return_inverse=True)
+        if len(self.rows) + len(distinct) > self.room:
+            self.__init__(max(self.room, 2 * len(distinct)))
+        known = self.rows
+        rows = np.fromiter((known[key] if key in known else self._remember(key, data[begin[k]:end[k]])
+                            for key, k in zip(distinct.tolist(), first.tolist())), np.int64, len(distinct))[place]
+        start = np.ones(len(rows), bool)
+        start[1:] = (text[1:] != text[:-1]) | self.ends[rows[:-1]]
+        word = np.repeat(np.arange(len(rows)), self.count[rows])
+        part = np.arange(len(word)) - np.repeat(np.cumsum(self.count[rows]) - self.count[rows], self.count[rows])
+        own = rows[word]
+        named = self.form[own, part]
+        plain = np.where(start[word], self.lit[own, part], named)
+        return Tokens(plain, named, ~np.isin(named, SLOTS), text[word], word, part, data, begin, end)
+
+
+def batches_of(texts: list, size: int = TEXT_AT_ONCE) -> Iterator[tuple[int, list]]:
+    """(number of the first, texts) of runs of texts of about `size` characters."""
+    first, length = 0, 0
+    for k, text in enumerate(texts):
+        length += len(text or "")
+        if length >= size:
+            yield first, texts[first:k + 1]
+            first, length = k + 1, 0
+    if first < len(texts):
+        yield first, texts[first:]
 
 
 def window_hashes(tokens: np.ndarray, width: int) -> np.ndarray:
@@ -125,13 +169,18 @@ def literal_counts(literal: np.ndarray, width: int) -> np.ndarray:
     return sums[width:] - sums[:-width] if len(literal) >= width else np.zeros(0, np.int64)
 
 
-def readings(plain: np.ndarray, named: np.ndarray) -> tuple[np.ndarray, ...]:
+def readings(tokens: Tokens) -> tuple[np.ndarray, ...]:
     """The two readings of capitals at sentence starts, as words and as names; one if they are the same."""
-    return (plain,) if np.array_equal(plain, named) else (plain, named)
+    return (tokens.plain,) if np.array_equal(tokens.plain, tokens.named) else (tokens.plain, tokens.named)
 
 
-def enough_literals(literal: np.ndarray, width: int) -> np.ndarray:
-    return literal_counts(literal, width) >= min(LEAST_LITERALS, (width + 1) // 2)
+def usable(tokens: Tokens, width: int) -> np.ndarray:
+    """For each place whether a window begins there: within one text and with enough literals."""
+    count = len(tokens.text) - width + 1
+    if count <= 0:
+        return np.zeros(0, bool)
+    return (tokens.text[:count] == tokens.text[width - 1:]) & (
+        literal_counts(tokens.literal, width) >= min(LEAST_LITERALS, (width + 1) // 2))
 
 
 def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -144,17 +193,17 @@ def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
         for batch in batches:
             rows, out = [], []
             for row, text in enumerate(batch.column("text").to_pylist()):
-                plain, named, literal, values = templates.tokens(text)
-                if (count := len(plain)) < LEAST_TOKENS:
+                tokens = templates.tokens([text])
+                if (count := len(tokens.text)) < LEAST_TOKENS:
                     continue
                 width = min(window, count)
-                good = np.flatnonzero(enough_literals(literal, width))
-                for tokens in readings(plain, named):
-                    hashes = window_hashes(tokens, width).view(np.int64)
-                    slots = np.where(np.isin(tokens, SLOTS), tokens, np.uint64(0)).view(np.int64)
+                good = np.flatnonzero(usable(tokens, width))
+                for reading in readings(tokens):
+                    hashes = window_hashes(reading, width).view(np.int64)
+                    slots = np.where(np.isin(reading, SLOTS), reading, np.uint64(0)).view(np.int64)
                     for p in good.tolist():
                         rows.append(row)
-                        out.append((int(hashes[p]), p, width, count, slots[p:p + width].tolist(), values[p:p + width]))
+                        out.append((int(hashes[p]), p, width, count, slots[p:p + width].tolist(), tokens.values(p, width)))
             h, place, width, count, slots, values = zip(*out) if out else ((),) * 6
             rows = pa.array(rows, pa.int64())
             yield pa.record_batch(
@@ -236,17 +285,17 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverag
         size = np.uint64(64 * len(bits) - 1)
         for batch in batches:
             rows, out = [], []
-            for row, text in enumerate(batch.column("text")):
-                plain, named, literal, values = templates.tokens(text.as_py())
+            for begin, texts in batches_of(batch.column("text").to_pylist()):
+                tokens = templates.tokens(texts)
                 for width in widths:
-                    enough = enough_literals(literal, width)
-                    for tokens in readings(plain, named):
-                        h = window_hashes(tokens, width)
+                    good = usable(tokens, width)
+                    for reading in readings(tokens):
+                        h = window_hashes(reading, width)
                         at = h & size
                         passed = (bits[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1)
-                        for p in np.flatnonzero(enough & passed.astype(bool)).tolist():
-                            rows.append(row)
-                            out.append((int(h[p].view(np.int64)), p, values[p:p + width]))
+                        for p in np.flatnonzero(good & passed.astype(bool)).tolist():
+                            rows.append(begin + int(tokens.text[p]))
+                            out.append((int(h[p].view(np.int64)), p, tokens.values(p, width)))
             h, place, values = zip(*out) if out else ((),) * 3
             yield pa.record_batch(
                 [batch.column("doc_id").take(pa.array(rows, pa.int64())), pa.array(h, pa.int64()),

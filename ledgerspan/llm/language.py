@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 from typing import NamedTuple
 
 import numpy as np
@@ -20,7 +21,7 @@ from ledgerspan.llm.common import crc_fold, kind_of
 
 #: Documented bounds of the training sample (documents per language, on average, and languages) and of the model.
 SAMPLE_PER_LANGUAGE, LANGUAGES = 4000, 500
-WORDS, GRAMS = 100_000, 60_000
+WORDS, GRAMS = 80_000, 40_000
 LONGEST_GRAM = 4
 SMOOTHING = 0.5
 #: A text's log-likelihoods are scaled to so many words for the score, or it would be 1 for every longer text.
@@ -32,11 +33,16 @@ RUN = re.compile(r"[^\W\d_]+")
 
 class Model(NamedTuple):
     languages: list[str]
-    words: dict[str, np.ndarray]  # word -> log frequency per language
-    grams: dict[str, np.ndarray]
+    words: list[str]
+    word_logs: np.ndarray  # log frequency of each word in each language
+    grams: list[str]
+    gram_logs: np.ndarray
     usual: int  # the language with most training words
 
 
+EMPTY = Model([], [], np.zeros((0, 0), np.float32), [], np.zeros((0, 0), np.float32), 0)
+
+
 def grams_of(word: str, n: int) -> list[str]:
     marked = f" {word} "
     return [marked[i:i + n] for i in range(len(marked) - n + 1)] if n > 1 else list(word)
@@ -72,7 +78,7 @@ def train(labelled: DataFrame, sample: int = SAMPLE_PER_LANGUAGE, words: int = W
     rows = labelled.where("lang is not null and text is not null")
     sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
     if not sizes:
-        return Model([], {}, {}, 0)
+        return EMPTY
     share = F.element_at(F.create_map(*[x for r in sizes for x in (F.lit(r["lang"]), F.lit(sample / r["n"]))]), F.col("lang"))
     draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     chosen = rows.where(draw < share).select("lang", "text")
@@ -85,52 +91,68 @@ def train(labelled: DataFrame, sample: int = SAMPLE_PER_LANGUAGE, words: int = W
     languages = sorted(totals)
     if not languages:
         units.unpersist()
-        return Model([], {}, {}, 0)
-    tables: list[dict[str, np.ndarray]] = []
-    gram_table: dict[str, np.ndarray] = {}
+        return EMPTY
+    in_order = F.transform(F.array(*map(F.lit, languages)), lambda lang: F.coalesce(F.element_at("by", lang), F.lit(0)))
+    names: list[list[str]] = [[], []]
+    logs: list[list[np.ndarray]] = [[], []]
     for kind in range(LONGEST_GRAM + 1):
-        top = units.where(F.col("kind") == kind).orderBy(F.desc("total"), "unit").limit(words if kind == 0 else grams).collect()
-        raw = np.array([[r["by"].get(lang, 0) for lang in languages] for r in top], dtype=float).reshape(len(top), len(languages))
-        logs = np.log((raw + SMOOTHING) / (raw.sum(0) + SMOOTHING * (len(top) + 1))).astype(np.float32)
-        table = {r["unit"]: logs[k] for k, r in enumerate(top)}
-        if kind:
-            gram_table |= table
-        else:
-            tables.append(table)
+        top = units.where(F.col("kind") == kind).orderBy(F.desc("total"), "unit").limit(
+            words if kind == 0 else grams).select("unit", in_order.alias("n")).collect()
+        raw = np.array([r["n"] for r in top], dtype=float).reshape(len(top), len(languages))
+        logs[kind > 0].append(np.log((raw + SMOOTHING) / (raw.sum(0) + SMOOTHING * (len(top) + 1))).astype(np.float32))
+        names[kind > 0] += [r["unit"] for r in top]
+        del top, raw
     units.unpersist()
-    return Model(languages, tables[0], gram_table, max(range(len(languages)), key=lambda k: (totals[languages[k]], -k)))
-
-
-def word_scores(model: Model, word: str) -> np.ndarray:
-    """Log frequency of a known word; else the mean over its n-grams of the longest length with a known one; else none."""
-    if (found := model.words.get(word)) is not None:
-        return found
-    for n in range(LONGEST_GRAM, 0, -1):
-        known = [model.grams[g] for g in grams_of(word, n) if g in model.grams]
-        if known:
-            return np.mean(known, axis=0)
-    return np.zeros(len(model.languages), np.float32)
-
-
-def predict(model: Model, text: str | None, memory: dict[str, np.ndarray]) -> tuple[str, float]:
-    """Language and score of one text; memory holds the scores of words seen before."""
-    counted = Counter(RUN.findall((text or "").lower()))
-    if not counted or not model.languages:
-        return "und", 0.0
-    rows = []
-    for word in counted:
-        if (scores := memory.get(word)) is None:
-            if len(memory) >= REMEMBERED:
-                memory.clear()
-            scores = memory[word] = word_scores(model, word)
-        rows.append(scores)
-    weights = np.fromiter(counted.values(), np.float64, len(counted))
-    total = weights @ np.array(rows, np.float64)
-    if not np.ptp(total):
-        return model.languages[model.usual], 1.0 / len(total)
-    scaled = total * min(1.0, EVIDENCE_WORDS / weights.sum())
-    best = int(np.argmax(scaled))
-    return model.languages[best], float(1.0 / np.exp(scaled - scaled[best]).sum())
+    return Model(languages, names[0], np.concatenate(logs[0]), names[1], np.concatenate(logs[1]),
+                 max(range(len(languages)), key=lambda k: (totals[languages[k]], -k)))
+
+
+class Scorer:
+    """The model as tables of a Python worker; remembers the scores of unseen words in rows behind those of known ones."""
+
+    def __init__(self, model: Model) -> None:
+        self.model = model
+        self.known = dict(zip(model.words, range(len(model.words))))
+        self.grams = dict(zip(model.grams, map(tuple, model.gram_logs.tolist())))
+        self.table = np.zeros((len(model.words) + REMEMBERED, len(model.languages)), np.float32)
+        self.table[:len(model.words)] = model.word_logs
+        self.memory: dict[str, int] = {}
+
+    def word_scores(self, word: str) -> list[float]:
+        """Of an unseen word: the mean over its n-grams of the longest length with a known one; else no evidence."""
+        table = self.grams
+        for n in range(LONGEST_GRAM, 0, -1):
+            known = [table[g] for g in grams_of(word, n) if g in table]
+            if known:
+                return [sum(x) / len(known) for x in zip(*known)]
+        return [0.0] * len(self.model.languages)
+
+    def row(self, word: str) -> int:
+        if (row := self.memory.get(word)) is None:
+            row = len(self.known) + len(self.memory)
+            self.table[row] = self.word_scores(word)
+            self.memory[word] = row
+        return row
+
+    def predict(self, text: str | None) -> tuple[str, float]:
+        """Language and score of one text."""
+        counted = Counter(RUN.findall((text or "").lower()))
+        languages = self.model.languages
+        if not counted or not languages:
+            return "und", 0.0
+        total, words = np.zeros(len(languages)), sum(counted.values())
+        items = iter(counted.items())
+        while part := list(islice(items, REMEMBERED)):
+            if len(self.memory) + len(part) > REMEMBERED:
+                self.memory.clear()
+            known = self.known
+            rows = [known[w] if w in known else self.row(w) for w, _ in part]
+            total += np.array([n for _, n in part], np.float64) @ self.table[rows]
+        if not np.ptp(total):
+            return languages[self.model.usual], 1.0 / len(total)
+        scaled = total * min(1.0, EVIDENCE_WORDS / words)
+        best = int(np.argmax(scaled))
+        return languages[best], float(1.0 / np.exp(scaled - scaled[best]).sum())
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
@@ -143,9 +165,9 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(tuple(model))
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, memory = Model(*shared.value), {}
+        scorer = Scorer(Model(*shared.value))
         for batch in parts:
-            found = [predict(own, text.as_py(), memory) for text in batch.column("text")]
+            found = [scorer.predict(text.as_py()) for text in batch.column("text")]
             yield pa.record_batch([batch.column("doc_id"), pa.array([x[0] for x in found], pa.string()),
                                    pa.array([x[1] for x in found], pa.float64())], names=["doc_id", "lang_pred", "score"])
 
@@ -169,9 +191,9 @@ def keep_identified(docs: DataFrame, least_score: float = 0.5) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(tuple(model))
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, memory = Model(*shared.value), {}
+        scorer = Scorer(Model(*shared.value))
         for batch in parts:
-            found = [predict(own, text.as_py(), memory) for text in batch.column("text")]
+            found = [scorer.predict(text.as_py()) for text in batch.column("text")]
             yield batch.filter(pa.array([lang != "und" and score >= least_score for lang, score in found], pa.bool_()))
 
     return docs.mapInArrow(batches, docs.schema)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerspan.llm.common import LOWER_BYTES, crc_fold, kind_of
+from ledgerspan.llm.common import LOWER_BYTES, SPACE, crc_fold, kind_of
 from ledgerspan.llm.repeats import Hashes, _scramble
 
 #: Bytes of text of a block on average; bounds what a task holds, so blocks grow in number with the corpus.
@@ -31,8 +31,6 @@ PRIOR, ADD = 100.0, 0.1
 KEY_BYTES = {1: 8, 2: 5}
 #: Quantised log10 probabilities are multiples of 1 / STEPS down to -65535 / STEPS.
 STEPS = 4000
-SPACE = np.zeros(256, bool)
-SPACE[[32, 9, 10, 11, 12, 13]] = True
 START, END = (int(x) for x in _scramble(np.array([11, 12], np.uint64)))
 
 
