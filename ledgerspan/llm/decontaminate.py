@@ -29,7 +29,7 @@ COVERAGE = 0.5
 #: Bits of the filter of benchmark windows that tasks get; its size is fixed, whatever the benchmark's.
 FILTER_BITS = 1 << 23
 #: Words kept per Python worker before the memory is emptied, and characters of text looked at side by side.
-REMEMBERED, TEXT_AT_ONCE = 500_000, 1 << 20
+REMEMBERED, TEXT_AT_ONCE = 500_000, 1 << 21
 
 NUM, NAME, UNIT = "<num>", "<name>", "<unit>"
 #: Fixed words: numbers and units (English, with the signs and abbreviations used everywhere).
@@ -43,9 +43,10 @@ UNIT_WORDS = frozenset((
     "centimeter centimeters ms s sec min h hr hrs seconds minute minutes hour hours day days week weeks month months "
     "year years cent cents dollar dollars euro euros usd eur gbp percent degree degrees celsius fahrenheit "
     "kmh kph mph hz khz mhz ghz kb mb gb tb w kw kwh v volt volts watt watts").split())
+SPECIAL = NUMBER_WORDS | UNIT_WORDS
 NUMBER = re.compile(r"[+\-]?[$€£]?\d+(?:[.,:/\-]\d+)*(?P<unit>[a-zA-Z%°€$£]{0,4})$")
 EDGE = re.compile(r"^[^\w$€£+\-]+|[^\w%°€$£]+$")
-ENDS = (b".", b"!", b"?", b":")
+ENDS = frozenset(".!?:")
 
 
 def canonical(word: str) -> tuple[tuple[str, str], ...]:
@@ -78,6 +79,7 @@ def _hash(form: str) -> int:
 
 #: Odd multiplier of the window hash.
 BASE = 0x9E3779B97F4A7C15
+NAME_HASH = _hash(NAME)
 SLOTS = np.array([_hash(x) for x in (NUM, NAME, UNIT)], np.uint64)
 
 
@@ -110,10 +112,22 @@ class Templates:
 
     def _remember(self, key: int, word: bytes) -> int:
         row = self.rows[key] = len(self.rows)
-        forms = canonical(word.decode())
-        self.count[row], self.ends[row] = len(forms), word.endswith(ENDS)
+        text = word.decode()
+        self.ends[row] = text[-1] in ENDS
+        plain = text if text.isalnum() else text[:-1]
+        if plain.isalpha() and text[-1] != "_" and (low := plain.lower()) not in SPECIAL:
+            # most words: letters, perhaps one mark behind
+            named = plain[1:].islower() and plain[0].isupper()
+            if named or plain.islower():
+                self.lit[row, 0] = _hash(low)
+                self.form[row, 0] = NAME_HASH if named else self.lit[row, 0]
+                self.count[row] = 1
+                return row
+        forms = canonical(text)
+        self.count[row] = len(forms)
         for k, (form, value) in enumerate(forms):
-            self.form[row, k], self.lit[row, k] = _hash(form), _hash(value if form == NAME else form)
+            self.form[row, k] = _hash(form)
+            self.lit[row, k] = _hash(value) if form == NAME else self.form[row, k]
         return row
 
     def tokens(self, texts: list) -> Tokens:

@@ -41,26 +41,25 @@ class Hashes:
     """Hashes of all substrings of a text in constant time each, from running sums of code * base^place."""
 
     codes = _scramble(np.arange(1, 257, dtype=np.uint64) * np.uint64(BASES[0]))
-    size = 0
-    powers: list[np.ndarray] = []
-    inverse: list[np.ndarray] = []
+    powers: dict[int, np.ndarray] = {}
+    inverse: dict[int, np.ndarray] = {}
 
     @classmethod
-    def prepare(cls, size: int) -> None:
-        if size <= cls.size:
-            return
-        cls.size = max(size, 2 * cls.size, 1 << 16)
-        table = lambda base: np.cumprod(np.concatenate(
-            [np.ones(1, np.uint64), np.full(cls.size - 1, base, np.uint64)]), dtype=np.uint64)
-        cls.powers = [table(base) for base in BASES]
-        cls.inverse = [table(pow(base, -1, 1 << 64)) for base in BASES]
+    def prepare(cls, kind: int, size: int) -> None:
+        """Powers of the kind's base and of its inverse for texts below `size` bytes."""
+        if size > len(cls.powers.get(kind, ())):
+            size = 1 << max(16, int(size).bit_length())
+            for tables, base in ((cls.powers, BASES[kind]), (cls.inverse, pow(BASES[kind], -1, 1 << 64))):
+                factors = np.full(size, base, np.uint64)
+                factors[0] = 1
+                tables[kind] = np.cumprod(factors, dtype=np.uint64)
 
     def __init__(self, text: bytes, kinds: int = 2) -> None:
         n = len(text)
-        self.prepare(n + 1)
         codes = self.codes[np.frombuffer(text, np.uint8)]
         self.sums = []
         for kind in range(kinds):
+            self.prepare(kind, n + 1)
             sums = np.zeros(n + 1, np.uint64)
             np.cumsum(codes * self.powers[kind][:n], out=sums[1:])
             self.sums.append(sums)
