@@ -25,7 +25,7 @@ from ledgerspan.llm.common import LOWER_BYTES, SPACE, crc_fold, kind_of
 from ledgerspan.llm.repeats import Hashes, _scramble
 
 #: Bytes of text of a block on average; bounds what a task holds, so blocks grow in number with the corpus.
-BLOCK_BYTES = 9_000_000
+BLOCK_BYTES = 5_000_000
 PRIOR, ADD = 100.0, 0.1
 #: Bytes of a word's and of a pair's hash that travel besides the number of the part.
 KEY_BYTES = {1: 8, 2: 5}
@@ -187,7 +187,7 @@ class Block:
             keys = pack_keys(hashes, bits, KEY_BYTES[order])
             for p in np.flatnonzero(np.diff(edges)):
                 a, b = edges[p], edges[p + 1]
-                rows.append((2 * p + order - 1, block, keys[a:b].tobytes(), counts[a:b].tobytes()))
+                rows.append((2 * p + order - 1, block, keys[a:b].tobytes(), planes(counts[a:b])))
         return pd.DataFrame(rows, columns=["part", "block", "hashes", "counts"])
 
 
@@ -205,15 +205,24 @@ def unpack_keys(data: bytes, size: int) -> np.ndarray:
     return out.view(np.uint64).ravel()
 
 
+def planes(counts: np.ndarray) -> bytes:
+    """The counts' lowest bytes, then the next ones, and so on: most are zero and take no room when compressed."""
+    return counts.astype(np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def from_planes(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, np.uint8).reshape(4, -1).T.copy().view(np.uint32).ravel()
+
+
 def answer(requests: pd.DataFrame) -> pd.DataFrame:
     """Sums the counts of one part over all blocks and gives each block those of its hashes, in its order."""
     size = KEY_BYTES[int(requests["part"].iloc[0]) % 2 + 1]
     keys = [unpack_keys(x, size) for x in requests["hashes"]]
-    counts = np.concatenate([np.frombuffer(x, np.uint32) for x in requests["counts"]])
+    counts = np.concatenate([from_planes(x) for x in requests["counts"]])
     distinct, place = np.unique(np.concatenate(keys), return_inverse=True)
     sums = np.minimum(np.bincount(place, counts, len(distinct)), 2**32 - 1).astype(np.uint32)[place]
     edges = np.cumsum([0] + [len(k) for k in keys])
-    replies = [sums[a:b].tobytes() for a, b in zip(edges, edges[1:])]
+    replies = [planes(sums[a:b]) for a, b in zip(edges, edges[1:])]
     return pd.DataFrame({"block": requests["block"], "part": requests["part"], "counts": replies})
 
 
@@ -222,7 +231,7 @@ def score_block(block: Block, replies: pd.DataFrame, total: int, distinct: int,
     counts = []
     for order in (0, 1):
         own = replies[replies["part"] % 2 == order].sort_values("part")
-        counts.append(np.frombuffer(b"".join(own["counts"]), np.uint32).astype(np.float64))
+        counts.append(np.concatenate([from_planes(x) for x in own["counts"]]).astype(np.float64))
     words, pairs = counts
     floor = total + ADD * (distinct + 1)
     unigram = np.log10((words + ADD) / floor)
