@@ -29,14 +29,20 @@ def money(amount: Column) -> Column:
     return F.coalesce(text, F.lit("n/a"))
 
 
-def multiple(col: Column) -> Column:
-    """0.8933 -> 0.89"""
-    return F.format_number(col, 2)
+def page_number(col: Column, digits: int) -> Column:
+    """Figures of cells and indicators: thousands separators, halves away from zero: 1,234.5 and 0.125 -> 0.13."""
+    sign = F.when(col < 0, "-").otherwise("")  # also of what rounds to zero
+    return F.concat(sign, F.format_number(F.round(F.abs(col), digits), digits))
 
 
-def signed(col: Column, digits: int, suffix: str = "") -> Column:
-    """A change with its sign written out: +1.2, -0.4"""
-    return F.concat(F.when(col >= 0, "+").otherwise(""), fixed(col, digits), F.lit(suffix))
+def page_percent(share: Column, digits: int = 1) -> Column:
+    """12.345 -> 1,234.5%"""
+    return F.concat(page_number(share * 100, digits), F.lit("%"))
+
+
+def page_signed(col: Column, digits: int, suffix: str = "") -> Column:
+    """A change in a cell or indicator: +13 pp for 12.5."""
+    return F.concat(F.when(col >= 0, "+").otherwise(""), page_number(col, digits), F.lit(suffix))
 
 
 def deviation_word(deviation: Column, threshold: Column) -> Column:

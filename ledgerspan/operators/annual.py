@@ -8,7 +8,7 @@ from pyspark.sql import Window
 
 from ledgerspan.functions.numbers import BILLION, billions, ratio
 from ledgerspan.functions.pick import latest_filed
-from ledgerspan.functions.text import money, multiple, percent
+from ledgerspan.functions.text import money, page_number, page_percent
 from ledgerspan.operators.mapping import map_to_lines
 from ledgerspan.operators.selection import (
     in_unit, is_annual_filing, is_instant, spans_full_year)
@@ -147,7 +147,7 @@ def variance_yoy(long_rows: DataFrame) -> DataFrame:
 
 
 def pivot_statement(statement_rows: DataFrame, years: list[int]) -> DataFrame:
-    """Lines by year, in billions. The years are given, so no extra job looks for them."""
+    """Lines by the given years, in billions."""
     wide = (statement_rows.groupBy("cik", "line_order", "line_label")
             .pivot("fiscal_year", years).agg(F.max("value")))
     return wide.select("cik", "line_order", "line_label",
@@ -161,8 +161,8 @@ def ratios_long(ratio_rows: DataFrame) -> DataFrame:
         part for label, (column, form) in RATIO_FORMATS.items()
         for part in (F.lit(column), F.struct(F.lit(label).alias("label"), F.lit(form).alias("fmt")))])
     value, fmt = F.col("value"), F.col("fmt")
-    text = F.when(value.isNull(), "–").when(fmt == "pct", percent(value)).when(
-        fmt == "x", multiple(value)).otherwise(money(value))
+    text = F.when(value.isNull(), "–").when(fmt == "pct", page_percent(value)).when(
+        fmt == "x", page_number(value, 2)).otherwise(money(value))
     return (ratio_rows.unpivot(["cik", "fiscal_year"], columns, "ratio", "value")
             .withColumn("shown", attributes[F.col("ratio")])
             .select("cik", "fiscal_year", "ratio", F.col("shown.label").alias("label"),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from ledgerspan.functions.numbers import ratio, relative_change
-from ledgerspan.functions.text import percent, signed
+from ledgerspan.functions.text import page_percent, page_signed
 from ledgerspan.settings import VARIANCE_METRICS
 
 # The comparator adds free cash flow to the yearly variance metrics.
@@ -79,9 +79,9 @@ def largest_mover(metric_rows: DataFrame, base_year: int | None = None,
     text = F.concat(
         F.lit("Largest move FY"), c("base_year").cast("string"), F.lit(" vs FY"),
         c("compare_year").cast("string"), F.lit(": "), c("metric"), F.lit(" "),
-        signed(c("pct") * 100, 1, "%"), F.lit(". Net margin "),
+        page_signed(c("pct") * 100, 1, "%"), F.lit(". Net margin "),
         F.when(c("margin_bps") >= 0, "expanded").otherwise("compressed"), F.lit(" "),
-        F.abs("margin_bps").cast("string"), F.lit(" bps to "), percent(c("net_margin")), F.lit("."))
+        F.abs("margin_bps").cast("string"), F.lit(" bps to "), page_percent(c("net_margin")), F.lit("."))
     return (top.join(net_margin_bps(metric_rows, base_year, compare_year), "cik")
             .withColumn("text", text))
 
@@ -107,12 +107,12 @@ def ratio_kpis(metric_rows: DataFrame) -> DataFrame:
     cash_change = relative_change(*sides("free_cash_flow"))
     against = F.concat(F.lit(" vs FY"), c("compare.fiscal_year").cast("string"))
     kpis = [
-        ("Return on Equity", sides("roe")[0], points("roe"), signed(points("roe"), 0, " pp")),
+        ("Return on Equity", sides("roe")[0], points("roe"), page_signed(points("roe"), 0, " pp")),
         ("Net Margin", sides("net_margin")[0], points("net_margin"),
-         signed(points("net_margin"), 1, " pp")),
-        ("Current Ratio", sides("current_ratio")[0], ratio_change, signed(ratio_change, 2)),
+         page_signed(points("net_margin"), 1, " pp")),
+        ("Current Ratio", sides("current_ratio")[0], ratio_change, page_signed(ratio_change, 2)),
         ("Free Cash Flow", sides("free_cash_flow")[0], cash_change,
-         signed(cash_change * 100, 1, "%")),
+         page_signed(cash_change * 100, 1, "%")),
     ]
     entries = F.array(*[
         F.struct(F.lit(place).alias("kpi_order"), F.lit(label).alias("kpi"), now.alias("value"),

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerspan.functions.labels import quarter_label, year_label
@@ -20,7 +20,6 @@ from ledgerspan.streaming import incremental
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-PIVOT_YEARS = [1996, 1997, 1998, 1999, 2000]
 # Dates at which the restatement queries look at the filings received so far.
 AS_OF = ["1999-01-01", "2000-01-01", "2001-01-01", "2002-12-31"]
 
@@ -58,10 +57,12 @@ def curated(metric_rows: DataFrame) -> DataFrame:
 
 
 def one_time_items(facts: DataFrame) -> DataFrame:
-    """A tenth of the income tax first reported for fiscal 1999, as a one-time charge."""
+    """A tenth of the income tax first reported two years before a company's newest, as a one-time charge."""
     first_report = ((F.col("concept") == "IncomeTaxExpenseBenefit") & (F.col("form") == "10-K")
-                    & (F.col("fiscal_year") == 1999) & (F.year("period_end") == 1999))
-    return facts.filter(first_report).select(
+                    & (F.col("fiscal_year") == F.year("period_end")))
+    newest = F.max("fiscal_year").over(Window.partitionBy("cik"))
+    return facts.filter(first_report).withColumn("newest", newest).filter(
+        F.col("fiscal_year") == F.col("newest") - 2).select(
         "cik", "fiscal_year", F.floor(F.col("value") * 0.1).cast("double").alias("amount"),
         F.lit("income-tax charge").alias("reason"))
 
@@ -158,10 +159,10 @@ def incremental_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
     facts = base_facts(spark, sf_dir)
     landing, root = tables.scratch_path(spark, "landing"), tables.scratch_path(spark, "refresh")
     late = F.col("accn").substr(12, 4).cast("int") >= 2001
-    for drop, condition in (("a", ~late), ("b", late)):
+    for drop, condition, date in (("a", ~late, AS_OF[2]), ("b", late, AS_OF[3])):
         company_facts.to_documents(facts.filter(condition)).select("document").write.mode(
             "append").text(f"{landing}/drop={drop}")
-        incremental.refresh_available(spark, landing, root)
+        incremental.refresh_available(spark, landing, root, date)
     return incremental.current_lines(spark, root)
 
 
@@ -170,7 +171,8 @@ def latest_filed_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     facts = base_facts(spark, sf_dir)
     landed = tables.scratch_path(spark, "replay")
     facts.repartition(4, "accn").write.parquet(landed)
-    return incremental.latest_filed_available(spark, landed, tables.scratch_path(spark, "latest"))
+    return incremental.latest_filed_available(
+        spark, landed, tables.scratch_path(spark, "latest"), files_per_batch=2)
 
 
 def _of(name: str, *ratio_columns: str) -> Query:
@@ -183,7 +185,7 @@ def _statement(name: str) -> Query:
 
 
 def _pivot(name: str) -> Query:
-    return lambda spark, sf_dir: book(spark, sf_dir).pivot(name, PIVOT_YEARS)
+    return lambda spark, sf_dir: book(spark, sf_dir).pivot(name)
 
 
 def _items(name: str) -> Query:

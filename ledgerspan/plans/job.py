@@ -11,6 +11,7 @@ from pyspark.sql import SparkSession
 from ledgerspan.operators.checks import GateFailed
 from ledgerspan.plans.refresh import refresh_from_documents
 from ledgerspan.schemas import COMPANY, ONE_TIME_ITEMS
+from ledgerspan.session import COMMON
 
 
 def main(arguments: list[str] | None = None) -> int:
@@ -26,7 +27,7 @@ def main(arguments: list[str] | None = None) -> int:
     parser.add_argument("--quarantine", action="store_true",
                         help="publish the companies that reconcile and leave out the others")
     given = parser.parse_args(arguments)
-    spark = SparkSession.builder.appName("ledgerspan-refresh").getOrCreate()
+    spark = SparkSession.builder.appName("ledgerspan-refresh").config(map=COMMON).getOrCreate()
 
     def table(path, schema):
         return spark.read.schema(schema).parquet(path) if path else None

@@ -13,7 +13,6 @@ from ledgerspan.settings import (
     VARIANCE_METRICS)
 
 AS_OF = ["1999-01-01", "2000-01-01", "2001-01-01", "2002-12-31"]
-PIVOT_YEARS = [1996, 1997, 1998, 1999, 2000]
 
 REVENUE_TAG = "RevenueFromContractWithCustomerExcludingAssessedTax"
 CASH_TAG = "CashCashEquivalentsRestrictedCashAndRestrictedCashEquivalents"
@@ -87,8 +86,7 @@ FROM (SELECT o_custkey // 50 AS company,
              floor(l_extendedprice * l_discount) AS dsc,
              floor(l_extendedprice * l_tax) AS tax,
              floor(l_quantity * 300) AS opx
-      FROM lineitem JOIN orders ON l_orderkey = o_orderkey
-      WHERE o_orderdate < TIMESTAMP '2001-07-01') lines
+      FROM lineitem JOIN orders ON l_orderkey = o_orderkey) lines
 GROUP BY company, fy, q"""
 CTE["running"] = f"SELECT *, {RUNNING} FROM quarters"
 CTE["tagged"] = " UNION ALL ".join(
@@ -458,7 +456,6 @@ CELL = ("cik, statement, line_order, line_label, fiscal_year, qnum, period_end,
         "period_label")
 FACT_COLUMNS = ("cik, concept, unit, period_start, period_end, value, fiscal_year, fiscal_period, "
                 "form, filed, frame, accn, duration_days")
-PIVOT = ", ".join(f"round(max(value) FILTER (fiscal_year = {y}) / 1e9, 2) + 0.0 AS fy{y}" for y in PIVOT_YEARS)
 BY_TAG = """(SELECT * FROM {source} WHERE form = '10-K' AND fiscal_period = 'FY'
   AND coalesce(duration_days, 350) >= 350
   QUALIFY dense_rank() OVER (PARTITION BY cik ORDER BY fiscal_year DESC) <= 5)"""
@@ -471,8 +468,9 @@ def _one_statement(name: str) -> str:
 
 
 def _pivot(name: str) -> str:
-    return (f"SELECT cik, line_order, line_label, {PIVOT} FROM lines WHERE statement = '{name}' "
-            "GROUP BY cik, line_order, line_label")
+    return ("SELECT * FROM (PIVOT (SELECT cik, line_order, line_label, 'fy' || fiscal_year AS fy, value "
+            f"FROM lines WHERE statement = '{name}') ON fy USING round(max(value) / 1e9, 2) + 0.0 "
+            "GROUP BY cik, line_order, line_label)")
 
 
 def _growth_out(source: str) -> str:
@@ -487,13 +485,13 @@ SERIES = {**{name: f"{name} / 1e9" for name in (
 
 
 def _change_text(value: str, digits: int, suffix: str) -> str:
-    return (f"CASE WHEN {value} >= 0 THEN '+' ELSE '' END || format('{{:.{digits}f}}', {value}) "
+    return (f"CASE WHEN {value} >= 0 THEN '+' ELSE '' END || format('{{:,.{digits}f}}', round({value}, {digits})) "
             f"|| '{suffix} vs FY' || b.fiscal_year")
 
 
 TEXT_OF = {
-    "pct": "format('{{:.1f}}', {v} * 100) || '%'",
-    "x": "format('{{:.2f}}', {v})",
+    "pct": "format('{{:,.1f}}', round({v} * 100, 1)) || '%'",
+    "x": "format('{{:,.2f}}', round({v}, 2))",
     "money": "CASE WHEN {v} < 0 THEN '-' ELSE '' END || '$' || format('{{:.1f}}', abs({v}) / 1e9) || 'B'",
 }
 KPIS = [
@@ -633,11 +631,11 @@ FINAL: dict[str, str] = {
           round(a.net_margin, 6) AS net_margin,
           CAST(floor((a.net_margin - b.net_margin) * 10000 + 0.5) AS BIGINT) AS margin_bps,
           'Largest move FY' || t.base_year || ' vs FY' || t.compare_year || ': ' || t.metric || ' '
-          || CASE WHEN t.pct >= 0 THEN '+' ELSE '' END || format('{:.1f}', t.pct * 100)
+          || CASE WHEN t.pct >= 0 THEN '+' ELSE '' END || format('{:,.1f}', round(t.pct * 100, 1))
           || '%. Net margin ' || CASE WHEN floor((a.net_margin - b.net_margin) * 10000 + 0.5) >= 0
              THEN 'expanded' ELSE 'compressed' END || ' '
           || CAST(CAST(abs(floor((a.net_margin - b.net_margin) * 10000 + 0.5)) AS BIGINT) AS VARCHAR)
-          || ' bps to ' || format('{:.1f}', a.net_margin * 100) || '%.' AS text
+          || ' bps to ' || format('{:,.1f}', round(a.net_margin * 100, 1)) || '%.' AS text
         FROM (SELECT * FROM compared WHERE pct IS NOT NULL QUALIFY row_number() OVER (
                 PARTITION BY cik ORDER BY abs(pct) DESC, metric_order) = 1) t
         JOIN ranked_years a ON a.cik = t.cik AND a.place = 1
@@ -666,7 +664,8 @@ FINAL: dict[str, str] = {
           round((m.net_income + t.amount) / nullif(m.revenue, 0), 6) AS normalized_margin
         FROM metric_rows m JOIN (SELECT cik, fiscal_year, CAST(floor(value * 0.1) AS DOUBLE) AS amount
           FROM facts WHERE concept = 'IncomeTaxExpenseBenefit' AND form = '10-K'
-            AND fiscal_year = 1999 AND year(period_end) = 1999) t
+            AND fiscal_year = year(period_end)
+          QUALIFY fiscal_year = max(fiscal_year) OVER (PARTITION BY cik) - 2) t
           ON t.cik = m.cik AND t.fiscal_year = m.fiscal_year""",
     "check_balance": "SELECT * FROM c_balance",
     "check_cash_rollforward": "SELECT * FROM c_roll",
@@ -725,7 +724,8 @@ FINAL["narrative"] = " UNION ALL ".join([
       FROM metric_rows m JOIN story s ON s.cik = m.cik
       JOIN (SELECT cik, fiscal_year, CAST(floor(value * 0.1) AS DOUBLE) AS amount
             FROM facts WHERE concept = 'IncomeTaxExpenseBenefit' AND form = '10-K'
-              AND fiscal_year = 1999 AND year(period_end) = 1999) t
+              AND fiscal_year = year(period_end)
+          QUALIFY fiscal_year = max(fiscal_year) OVER (PARTITION BY cik) - 2) t
         ON t.cik = m.cik AND t.fiscal_year = m.fiscal_year""",
     # Notes of the two conditions; their wording is fixed and no figure of these tables meets them.
     "SELECT cik, 'ratios_note', 'high return on equity' FROM story WHERE roe > 1.5",

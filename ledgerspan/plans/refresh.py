@@ -52,15 +52,22 @@ def with_silver(wb: Workbook, folder: str) -> Workbook:
     return wb.override(**stored)
 
 
-def record_revisions(store: SnapshotStore, snapshot: DataFrame, run_date: str) -> int:
+def record_revisions(store: SnapshotStore, snapshot: DataFrame, run_date: str,
+                     passing: DataFrame | None = None, path: str | None = None) -> int:
     """Compare with the stored snapshot, append the restatements, replace the snapshot.
 
-    The snapshot is computed once, into a scratch table that both steps read.
+    With `passing` (cik), companies outside it keep their stored values, so a company in quarantine is
+    later compared with what was last published. The snapshot is computed once, into a table that
+    both steps read: at `path`, or a scratch table.
     """
     spark = store.spark
     previous = store.last_run()
-    current = stage(snapshot, scratch_path(spark, "snapshot"))
-    changed = revisions.detect_revisions(store.snapshot(previous), current, run_date)
+    current = stage(snapshot, path or scratch_path(spark, "snapshot"))
+    stored = store.snapshot(previous)
+    changed = revisions.detect_revisions(stored, current, run_date)
+    if passing is not None:
+        kept = stored.join(passing, "cik", "left_anti")
+        current = current.unionByName(kept.select(*current.columns))
     store.write_run(previous + 1, current, changed)
     return previous + 1
 
@@ -87,7 +94,7 @@ def run_refresh(facts: DataFrame, root: str, run_date: str, wb_inputs: dict | No
     wb = wb.override(**{name: getattr(wb, name).join(passing, "cik", "left_semi")
                         for name in SILVER})
 
-    record_revisions(store, wb.cell_snapshot, run_date)
+    record_revisions(store, wb.cell_snapshot, run_date, passing, f"{base}/snapshot")
     wb.revised = revisions.latest_revisions(store.log())
 
     gold = f"{base}/gold"

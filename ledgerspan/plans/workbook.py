@@ -95,8 +95,12 @@ class Workbook:
     def headline_series(self) -> DataFrame:
         return annual.headline_series(self.metrics)
 
-    def pivot(self, name: str, years: list[int]) -> DataFrame:
-        return annual.pivot_statement(self.statement(name), years)
+    def pivot(self, name: str, years: list[int] | None = None) -> DataFrame:
+        """By default the years that the statement has, of which a company's window holds a few."""
+        rows = self.statement(name)
+        if years is None:
+            years = sorted(row[0] for row in rows.select("fiscal_year").distinct().collect())
+        return annual.pivot_statement(rows, years)
 
     # quarterly
 

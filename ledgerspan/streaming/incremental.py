@@ -104,7 +104,7 @@ def _run(writer: DataStreamWriter, checkpoint: str, handle: Callable[[DataFrame,
     query.awaitTermination()
 
 
-def refresh_available(spark: SparkSession, landing: str, root: str, run_date: str = "",
+def refresh_available(spark: SparkSession, landing: str, root: str, run_date: str,
                       settings: Settings = Settings(), files_per_batch: int | None = None) -> None:
     """Process all documents (one per line) that landed since the last call, then stop."""
     reader = spark.readStream.schema(COMPANY_FACTS).option("mode", "FAILFAST").option(
@@ -122,13 +122,15 @@ def latest_filed(stream: DataFrame) -> DataFrame:
 
 
 def latest_filed_available(spark: SparkSession, landing: str, root: str,
-                           files_per_batch: int = 2) -> DataFrame:
+                           files_per_batch: int | None = None) -> DataFrame:
     """Run the stream over all new fact files and return the last filed row of every key.
 
     Each micro-batch writes the keys it changed; the newest batch of a key is its current row.
     """
-    stream = (spark.readStream.schema(FACTS).option("maxFilesPerTrigger", files_per_batch)
-              .parquet(landing))
+    reader = spark.readStream.schema(FACTS)
+    if files_per_batch is not None:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    stream = reader.parquet(landing)
     _run(latest_filed(stream).writeStream.outputMode("update"), f"{root}/checkpoint",
          lambda batch, batch_id: batch.write.mode("overwrite").parquet(
              f"{root}/changes/batch={batch_id}"))

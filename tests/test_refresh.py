@@ -3,12 +3,16 @@ import json
 import pytest
 from conftest import dicts
 
+from pyspark.sql import functions as F
+
+from ledgerspan.functions.text import page_number, page_percent, page_signed
 from ledgerspan.operators import checks, revisions
 from ledgerspan.plans import refresh
 from ledgerspan.plans.catalog import filed_by
 from ledgerspan.plans.workbook import Workbook
 from ledgerspan.sources.company_facts import to_documents
-from ledgerspan.sources.derived import base_facts, derive_companies
+from ledgerspan.sources import tables
+from ledgerspan.sources.derived import base_facts, derive_companies, quarter_amounts
 from ledgerspan.sources.snapshots import SnapshotStore
 from ledgerspan.streaming import incremental
 
@@ -43,11 +47,46 @@ def test_refresh_publishes_and_logs_restatements(spark, tmp_path):
     document = json.loads(spark.read.parquet(f"{second.gold}/documents").orderBy("cik").first()["document"])
     revenue = [line for line in document["statements"]
                if line["line"] == "Revenue" and line["frequency"] == "annual"][0]
-    assert list(revenue["values"]) == ["1996", "1997", "1998", "1999", "2000"]
+    assert list(revenue["values"]) == ["1997", "1998", "1999", "2000", "2001"]
     assert {"metrics", "ratios", "cash_recon", "notable_annual", "notable_quarterly", "insights",
             "income_bridges", "cash_bridges", "quarter_years", "meta"} <= set(document)
 
 
+def test_a_company_in_quarantine_keeps_its_stored_values(spark, make_facts, tmp_path):
+    def company(cik, assets, liabilities=4e6, equity=6e6):
+        return [{"cik": cik, "value": assets}, {"cik": cik, "concept": "Liabilities", "value": liabilities},
+                {"cik": cik, "concept": "StockholdersEquity", "value": equity},
+                {"cik": cik, "start": "2019-10-01", "concept": "NetIncomeLoss", "value": 1e6}]
+    runs = ([*company("a", 10e6), *company("b", 10e6)], [*company("a", 10e6), *company("b", 11e6)],
+            [*company("a", 10e6), *company("b", 12e6, 5e6, 7e6)])
+    for day, rows in enumerate(runs, start=1):
+        refresh.run_refresh(make_facts(*rows), str(tmp_path), f"2020-12-0{day}", quarantine=True, marts=())
+    log = SnapshotStore(spark, f"{tmp_path}/store").log().collect()
+    assert sorted((r["cik"], r["old"], r["new"], r["seq"]) for r in log) == [
+        ("b", 4e6, 5e6, 3), ("b", 6e6, 7e6, 3), ("b", 10e6, 12e6, 3)]
+
+
+def test_a_cluster_without_a_shared_folder_is_refused():
+    class Session:
+        conf, sparkContext = {}, type("Context", (), {"master": "spark://host:7077"})
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        tables.shared_folder(Session)
+
+
+def test_every_order_line_is_in_the_facts(spark):
+    lines = spark.read.parquet(f"{SF}/lineitem.parquet").selectExpr(
+        "sum(floor(l_extendedprice * (1 - l_discount)))").first()[0]
+    assert quarter_amounts(spark, SF).selectExpr("sum(rev)").first()[0] == lines
+
+
+def test_figures_of_the_page_round_halves_up_and_separate_thousands(spark):
+    row = spark.range(1).select(
+        page_percent(F.lit(12.345)).alias("share"), page_number(F.lit(0.125), 2).alias("ratio"),
+        page_signed(F.lit(12.5), 0, " pp").alias("points")).first()
+    assert tuple(row) == ("1,234.5%", "0.13", "+13 pp")
+
+
 def test_gate_blocks_publishing_or_quarantines(spark, make_facts, tmp_path):
     def company(cik, assets):
         flow = {"cik": cik, "start": "2019-10-01"}
@@ -122,7 +161,7 @@ def test_incremental_refresh_touches_only_companies_that_filed(spark, tmp_path):
     assert [(r["cik"], r["key"]) for r in log] == [("0000000000", "income|Operating Income|FY2000")]
     batches = spark.read.parquet(f"{root}/lines").select("cik", "batch").distinct().collect()
     assert sorted((r["batch"], r["cik"]) for r in batches if r["batch"] == 1) == [(1, "0000000000")]
-    incremental.refresh_available(spark, landing, root)
+    incremental.refresh_available(spark, landing, root, "2003-01-01")
     assert incremental.current_lines(spark, root).count() == len(before)
 
 
