@@ -65,8 +65,8 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str, limit: i
     (doc_id, digest), are encoded, and their counts are appended to the cache in one commit. A job that dies
     before the commit leaves the cache as it was.
 
-    Null text counts as empty, a null doc_id is kept, repeated rows each get a row, an empty table gives
-    an empty result; further columns are ignored.
+    Null text counts as empty, a null doc_id is kept, repeated rows each get a row (rows with the same doc_id and
+    text are also encoded each), an empty table gives an empty result; further columns are ignored.
     """
     spark, version = docs.sparkSession, tokenizer_digest(tokenizer_path)
     text = F.coalesce(F.col("text"), F.lit(""))
