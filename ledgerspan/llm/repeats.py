@@ -126,6 +126,19 @@ def prefix_intervals(prefixes: list[int], least: int) -> Iterator[tuple[int, int
             waiting.append((depth, first))
 
 
+def runs_from(values: list[int], least: int) -> Iterator[range]:
+    """The runs of places whose values are all at least `least`."""
+    k = 0
+    while k < len(values):
+        if values[k] < least:
+            k += 1
+            continue
+        first = k
+        while k < len(values) and values[k] >= least:
+            k += 1
+        yield range(first, k)
+
+
 def maximal_repeats(lefts: list[bytes], rights: list[bytes], length: int = LENGTH, anchor: int = ANCHOR,
                     ) -> list[tuple[int, int] | None]:
     """For each snippet the stretch [begin, end), relative to the anchor's place, that other snippets repeat, or None.
@@ -136,19 +149,19 @@ def maximal_repeats(lefts: list[bytes], rights: list[bytes], length: int = LENGT
     count = len(lefts)
     begins, ends = [0] * count, [0] * count
     by_left = sorted(range(count), key=lefts.__getitem__)
-    depths = {common(lefts[a], lefts[b]) for a, b in zip(by_left, by_left[1:])}
-    for depth in depths:
-        suffixes = sorted((lefts[k][:depth], rights[k], k) for k in range(count) if len(lefts[k]) >= depth)
-        prefixes = [0]
-        for (left, right, _), (next_left, next_right, _) in zip(suffixes, suffixes[1:]):
-            prefixes.append(depth + anchor + common(right, next_right) if left == next_left else 0)
-        for extent, first, last in prefix_intervals(prefixes, length):
-            members = [x[2] for x in suffixes[first:last + 1]]
-            before = {lefts[k][depth:depth + 1] for k in members}
-            if len(before) > 1 or b"" in before:
-                for k in members:
-                    begins[k] = min(begins[k], -depth)
-                    ends[k] = max(ends[k], extent - depth)
+    shared = [common(lefts[a], lefts[b]) for a, b in zip(by_left, by_left[1:])]
+    for depth in set(shared):
+        for run in runs_from(shared, depth):
+            # the suffixes that begin `depth` bytes before the anchor and share these, in order
+            ranked = sorted(by_left[run.start:run.stop + 1], key=rights.__getitem__)
+            prefixes = [0] + [depth + anchor + common(rights[a], rights[b]) for a, b in zip(ranked, ranked[1:])]
+            for extent, first, last in prefix_intervals(prefixes, length):
+                members = ranked[first:last + 1]
+                before = {lefts[k][depth:depth + 1] for k in members}
+                if len(before) > 1 or b"" in before:
+                    for k in members:
+                        begins[k] = min(begins[k], -depth)
+                        ends[k] = max(ends[k], extent - depth)
     return [(b, e) if e else None for b, e in zip(begins, ends)]
 
 
