@@ -28,8 +28,8 @@ def latest_filed(facts: DataFrame, keys: list[str], payload: list[str],
                  missing_date_wins: bool = False) -> DataFrame:
     """One row per key: the payload of its last filed version. NULL keys group together.
 
-    The aggregation sorts by its keys in the given order. Stored facts are sorted by tag, company
-    and period end, so keys given in that order meet presorted rows.
+    Payloads with text plan a sort before the aggregation, on either side of the shuffle; those of plain
+    numbers are hashed.
     """
     order = version_order(missing_date_wins, keys)
     if len(payload) == 1:

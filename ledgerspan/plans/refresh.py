@@ -12,8 +12,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerspan.operators import checks, revisions
+from ledgerspan.operators.cells import base_series
 from ledgerspan.plans.workbook import Workbook
-from ledgerspan.settings import RECONCILED_CONCEPTS
+from ledgerspan.settings import BASE_LABEL, RATIO_FORMATS, RECONCILED_CONCEPTS
 from ledgerspan.sources.company_facts import companies_from, facts_from, read_documents
 from ledgerspan.sources.notes import read_notes
 from ledgerspan.sources.snapshots import SnapshotStore
@@ -122,19 +123,35 @@ def _json(*columns: Column | str) -> Column:
 def _line_rows(cells: DataFrame, frequency: str) -> DataFrame:
     """One JSON object per line with its period -> value map."""
     values = F.map_from_entries(F.sort_array(F.collect_list(F.struct("period_key", "value"))))
+    derived = F.sort_array(F.collect_list(F.when(F.col("derived"), F.col("period_key"))))
+    if "derived" not in cells.columns:
+        derived = F.array().cast("array<string>")
+    label = F.element_at(F.create_map(*[F.lit(x) for pair in BASE_LABEL.items() for x in pair]), F.col("statement"))
     return (cells.groupBy("cik", "statement", "line_order", "line_label")
-            .agg(values.alias("values"))
-            .select("cik", F.lit("statements").alias("section"),
+            .agg(values.alias("values"), derived.alias("derived"))
+            .withColumn("base_label", label)
+            .select("cik", F.lit("statements").alias("section"), F.lit(0.0).alias("rank"),
                     F.format_string("%s|%s|%03d", F.col("statement"), F.lit(frequency),
                                     F.col("line_order")).alias("place"),
                     _json("statement", F.lit(frequency).alias("frequency"),
                           F.col("line_order").alias("order"), F.col("line_label").alias("line"),
-                          "values").alias("body")))
+                          "values", "derived", "base_label").alias("body")))
 
 
-def _section(rows: DataFrame, name: str, place: list[str]) -> DataFrame:
+def _period_rows(cells: DataFrame, frequency: str) -> DataFrame:
+    """The displayed periods of a statement, each with the keys of the periods it is compared with."""
+    named = [name for name in ("period_key", "period_label", "fiscal_year", "qnum", "prev_key", "prev_seq_key")
+             if name in cells.columns]
+    periods = cells.select("cik", "statement", F.lit(frequency).alias("frequency"), *named).distinct()
+    return _section(periods, "periods", [
+        "statement", "frequency", F.format_string("%05d.%d", F.col("fiscal_year"), F.coalesce("qnum", F.lit(0)))])
+
+
+def _section(rows: DataFrame, name: str, place: list[str | Column], rank: Column | None = None) -> DataFrame:
+    """Each row as a JSON object; `rank`, then the texts in `place` order them within a company's document."""
     fields = [column for column in rows.columns if column != "cik"]
-    return rows.select("cik", F.lit(name).alias("section"), F.concat_ws("|", *place).alias("place"),
+    first = F.lit(0.0) if rank is None else rank
+    return rows.select("cik", F.lit(name).alias("section"), first.alias("rank"), F.concat_ws("|", *place).alias("place"),
                        _json(*fields).alias("body"))
 
 
@@ -144,19 +161,27 @@ def export_documents(wb: Workbook) -> DataFrame:
     Sections are stacked and grouped twice, so no mart is joined with another. A document holds
     only mart rows, a few hundred per company whatever the number of filings.
     """
+    by_severity = -F.coalesce("severity", F.lit(0.0))
+    items = ["statement", "line_label", "period_key"]
+    ratio_order = F.array_position(F.array(*[F.lit(column) for column, _ in RATIO_FORMATS.values()]), F.col("ratio"))
     sections = [
         _line_rows(wb.annual_cells, "annual"),
+        _period_rows(wb.annual_cells, "annual"),
+        _period_rows(wb.quarterly_cells, "quarterly"),
+        _section(wb.metrics.select("cik", "fiscal_year"), "years", ["fiscal_year"]),
+        _section(base_series(wb.annual_cells).unionByName(base_series(wb.quarterly_cells)), "base_series",
+                 ["line_label", "period_key"]),
         _line_rows(wb.quarterly_cells, "quarterly"),
         _section(wb.metrics, "metrics", ["fiscal_year"]),
         _section(wb.ratios_long.select("cik", "fiscal_year", "ratio", "label", "fmt", "value"),
-                 "ratios", ["ratio", "fiscal_year"]),
+                 "ratios", [F.format_string("%03d", ratio_order), "fiscal_year"]),
         _section(wb.cash_reconciliation, "cash_recon", ["fiscal_year"]),
         _section(wb.notable_annual.select("cik", "statement", "line_label", "period_key",
                                           "period_label", "severity", "text"),
-                 "notable_annual", ["statement", "line_label", "period_key"]),
+                 "notable_annual", items, by_severity),
         _section(wb.notable_quarterly.select("cik", "statement", "line_label", "period_key",
                                              "period_label", "severity", "text"),
-                 "notable_quarterly", ["statement", "line_label", "period_key"]),
+                 "notable_quarterly", items, by_severity),
         _section(wb.quarter_years, "quarter_years", ["fiscal_year"]),
         _section(wb.income_bridge_annual.unionByName(wb.income_bridge_quarterly)
                  .drop("fiscal_year", "qnum"), "income_bridges", ["period_key"]),
@@ -173,7 +198,7 @@ def export_documents(wb: Workbook) -> DataFrame:
     stacked = sections[0]
     for section in sections[1:]:
         stacked = stacked.unionByName(section)
-    bodies = F.transform(F.sort_array(F.collect_list(F.struct("place", "body"))),
+    bodies = F.transform(F.sort_array(F.collect_list(F.struct("rank", "place", "body"))),
                          lambda entry: entry["body"])
     part = F.concat(F.lit('"'), F.col("section"), F.lit('":['), F.array_join(bodies, ","), F.lit("]"))
     document = F.concat(F.lit("{"), F.array_join(F.sort_array(F.collect_list("part")), ","),

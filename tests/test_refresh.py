@@ -11,6 +11,7 @@ from ledgerspan.plans import refresh
 from ledgerspan.plans.catalog import filed_by
 from ledgerspan.plans.workbook import Workbook
 from ledgerspan.sources.company_facts import to_documents
+from ledgerspan.settings import RATIO_FORMATS
 from ledgerspan.sources import tables
 from ledgerspan.sources.derived import base_facts, derive_companies, quarter_amounts
 from ledgerspan.sources.snapshots import SnapshotStore
@@ -48,6 +49,16 @@ def test_refresh_publishes_and_logs_restatements(spark, tmp_path):
     revenue = [line for line in document["statements"]
                if line["line"] == "Revenue" and line["frequency"] == "annual"][0]
     assert list(revenue["values"]) == ["1997", "1998", "1999", "2000", "2001"]
+    assert [r["fiscal_year"] for r in document["years"]] == [1997, 1998, 1999, 2000, 2001]
+    assert list(dict.fromkeys(r["label"] for r in document["ratios"])) == list(RATIO_FORMATS)
+    assert revenue["base_label"] == "% of Revenue"
+    severities = [r["severity"] for r in document["notable_quarterly"]]
+    assert severities == sorted(severities, reverse=True)
+    quarters = [p for p in document["periods"] if (p["statement"], p["frequency"]) == ("income", "quarterly")]
+    known = {p["period_key"] for p in quarters}
+    assert known and sum(p.get("prev_key") in known for p in quarters) > len(quarters) // 2
+    shown = {(r["line_label"], r["period_key"]): r["value"] for r in document["base_series"]}
+    assert shown["Revenue", "2001"] == revenue["values"]["2001"]
     assert {"metrics", "ratios", "cash_recon", "notable_annual", "notable_quarterly", "insights",
             "income_bridges", "cash_bridges", "quarter_years", "meta"} <= set(document)
 
