@@ -28,6 +28,21 @@ def book(spark: SparkSession, sf_dir: str) -> Workbook:
     return Workbook(base_facts(spark, sf_dir))
 
 
+_SILVER: dict[str, Workbook] = {}
+
+
+def silver_book(spark: SparkSession, sf_dir: str) -> Workbook:
+    """The workbook over stored silver relations, written once per copy of the base facts, as the job does.
+
+    For results that put many relations together: they read no facts any more.
+    """
+    facts = base_facts(spark, sf_dir)
+    copy = facts.inputFiles()[0].rpartition("/")[0]
+    if copy not in _SILVER:
+        _SILVER[copy] = refresh.with_silver(Workbook(facts), tables.scratch_path(spark, "silver"))
+    return _SILVER[copy].override()
+
+
 def rounded(frame: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
     return frame.withColumns({name: F.round(name, digits) for name in columns})
 
@@ -122,16 +137,15 @@ def revision_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def annotated_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    facts = base_facts(spark, sf_dir)
-    wb = Workbook(facts)
-    wb.curated = curated(wb.metrics)
-    wb.revised = revisions.detect_revisions(
-        snapshot_at(facts, AS_OF[2]), wb.cell_snapshot, AS_OF[3])
+    wb = silver_book(spark, sf_dir)
+    earlier = snapshot_at(base_facts(spark, sf_dir), AS_OF[2])
+    wb = wb.with_inputs(curated=curated(wb.metrics),
+                        revised=revisions.detect_revisions(earlier, wb.cell_snapshot, AS_OF[3]))
     return rounded(wb.annotated_cells, "value")
 
 
 def visible_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wb = book(spark, sf_dir)
+    wb = silver_book(spark, sf_dir)
     return cells.visible_notes(wb.notable_quarterly, curated(wb.metrics), wb.visible_quarters)
 
 
@@ -148,14 +162,18 @@ def narrative_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def export_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
-    facts = base_facts(spark, sf_dir)
-    wb = Workbook(facts, companies=derive_companies(spark, sf_dir),
-                  one_time_items=one_time_items(facts))
+    items = one_time_items(base_facts(spark, sf_dir))
+    wb = silver_book(spark, sf_dir).with_inputs(companies=derive_companies(spark, sf_dir), one_time_items=items)
     return refresh.export_documents(wb)
 
 
-def incremental_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Filings arrive in two drops; the stored lines of touched companies follow them."""
+def export_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The exported documents parsed back into rows, with their places inside each section."""
+    rows = refresh.read_back(export_payload(spark, sf_dir))
+    return rounded(rows, "value")
+
+
+def _two_drops(spark: SparkSession, sf_dir: str) -> str:
     facts = base_facts(spark, sf_dir)
     landing, root = tables.scratch_path(spark, "landing"), tables.scratch_path(spark, "refresh")
     late = F.col("accn").substr(12, 4).cast("int") >= 2001
@@ -163,7 +181,18 @@ def incremental_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
         company_facts.to_documents(facts.filter(condition)).select("document").write.mode(
             "append").text(f"{landing}/drop={drop}")
         incremental.refresh_available(spark, landing, root, date)
-    return incremental.current_lines(spark, root)
+    return root
+
+
+def incremental_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Filings arrive in two drops; the stored lines of touched companies follow them."""
+    return incremental.current_lines(spark, _two_drops(spark, sf_dir))
+
+
+def incremental_revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The restatements that the second drop brings to what the first one published."""
+    log = incremental.revision_log(spark, _two_drops(spark, sf_dir))
+    return log.select("cik", "key", "old", "new", "date", "seq")
 
 
 def latest_filed_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -264,7 +293,7 @@ QUERIES: dict[str, Query] = {
     "income_bridge_quarterly": lambda s, d: bridges.income_steps(book(s, d).income_bridge_quarterly),
     "cash_bridge_annual": lambda s, d: bridges.cash_steps(book(s, d).cash_bridge_annual),
     "cash_bridge_quarterly": lambda s, d: bridges.cash_steps(book(s, d).cash_bridge_quarterly),
-    "bridge_periods": _of("bridge_periods"),
+    "bridge_periods": lambda s, d: silver_book(s, d).bridge_periods,
     # comparator and narrative
     "variance_ab": lambda s, d: rounded(book(s, d).variance_ab(), "pct"),
     "variance_ab_ranked": lambda s, d: rounded(
@@ -282,7 +311,7 @@ QUERIES: dict[str, Query] = {
     "check_cash_tieout": _of("check_cash_tieout"),
     "check_net_income": _of("check_net_income"),
     "check_quarterly": _of("check_quarterly"),
-    "integrity_summary": _of("integrity_summary"),
+    "integrity_summary": lambda s, d: silver_book(s, d).integrity_summary,
     # restatements
     "cell_snapshot": _of("cell_snapshot"),
     "detect_revisions": lambda s, d: (lambda facts: revisions.detect_revisions(
@@ -292,6 +321,8 @@ QUERIES: dict[str, Query] = {
     "revision_log": revision_log,
     # jobs
     "export_payload": export_payload,
+    "export_entries": export_entries,
     "incremental_refresh": incremental_refresh,
+    "incremental_revisions": incremental_revisions,
     "latest_filed_stream": latest_filed_stream,
 }

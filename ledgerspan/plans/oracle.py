@@ -732,4 +732,44 @@ FINAL["narrative"] = " UNION ALL ".join([
     "SELECT cik, 'cashflow_note', 'positive investing cash flow' FROM story WHERE investing_cf > 0",
 ])
 
+def _section(name: str, order: str, field: str, text: str, value: str, source: str) -> str:
+    """A section of the exported document; `order` places its entries within a company."""
+    return (f"SELECT cik, '{name}' AS section, CAST(row_number() OVER (PARTITION BY cik ORDER BY {order}) - 1 AS INTEGER) "
+            f"AS position, {field} AS field, CAST({text} AS VARCHAR) AS text, "
+            f"round(CAST({value} AS DOUBLE), 6) AS value FROM {source}")
+
+
+BOTH_CELLS = """(SELECT cik, statement, 'annual' AS frequency, line_order, line_label, fiscal_year, 0 AS place,
+    period_key, prev_key, prev_key AS prev_seq_key, false AS derived, value FROM year_cells
+  UNION ALL SELECT cik, statement, 'quarterly', line_order, line_label, fiscal_year, qnum,
+    period_key, prev_key, prev_seq_key, derived, value FROM quarter_cells)"""
+RATIO_PLACES = "CASE ratio " + " ".join(
+    f"WHEN '{name}' THEN {place}" for place, (name, _) in enumerate(RATIO_FORMATS.values())) + " END"
+FINAL["export_entries"] = " UNION ALL ".join([
+    f"""SELECT cik, 'statements' AS section, CAST(dense_rank() OVER (PARTITION BY cik
+          ORDER BY statement, frequency, line_order) - 1 AS INTEGER) AS position,
+        concat_ws('|', statement, frequency, line_label, period_key) AS field,
+        CASE statement WHEN 'balance' THEN '% of Assets' ELSE '% of Revenue' END
+          || CASE WHEN derived THEN '|derived' ELSE '' END AS text, value FROM {BOTH_CELLS}""",
+    _section("periods", "statement, frequency, fiscal_year, place", "concat_ws('|', statement, frequency, period_key)",
+             "coalesce(prev_key, '-') || '|' || coalesce(prev_seq_key, '-')", "NULL",
+             "(SELECT DISTINCT cik, statement, frequency, fiscal_year, place, period_key, prev_key, prev_seq_key "
+             f"FROM {BOTH_CELLS})"),
+    _section("years", "fiscal_year", "CAST(fiscal_year AS VARCHAR)", "NULL", "NULL", "metric_rows"),
+    _section("base_series", "line_label, period_key", "line_label || '|' || period_key", "NULL", "value",
+             f"{BOTH_CELLS} WHERE line_label IN ('Revenue', 'Total Assets')"),
+    _section("ratios", f"{RATIO_PLACES}, fiscal_year", "ratio || '|' || fiscal_year", "label", "value",
+             f"({FINAL['ratios_long']})"),
+    *[_section(name, "-coalesce(round(severity, 9), 0), statement || '|' || line_label || '|' || period_key",
+               "concat_ws('|', statement, line_label, period_key)", "text", "severity", source)
+      for name, source in (("notable_annual", "year_items"), ("notable_quarterly", "quarter_items"))],
+    _section("insights", "section", "section", "text", "NULL", f"({FINAL['narrative']})"),
+    _section("meta", "ticker", "ticker", "entity_name", "NULL", f"({FINAL['company_dim']})"),
+])
+CTE.update(_annual_chain("_early", "(SELECT * FROM facts WHERE CAST(substr(accn, 12, 4) AS INTEGER) < 2001)"))
+FINAL["incremental_revisions"] = f"""SELECT n.cik, n.key, o.value AS old, n.value AS new, '{AS_OF[3]}' AS date,
+    CAST(1 AS BIGINT) AS seq FROM snapshot n JOIN snapshot_early o ON o.cik = n.cik AND o.key = n.key
+    WHERE abs(o.value - n.value) > greatest(1000.0, abs(o.value) * 0.0005)
+      AND n.cik NOT IN (SELECT cik FROM verdicts WHERE status = 'fail')"""
+
 ORACLE_SQL: dict[str, str] = {name: _statement(final) for name, final in FINAL.items()}

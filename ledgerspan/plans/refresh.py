@@ -31,6 +31,20 @@ GOLD = ("metrics", "ratios", "common_size", "variance_yoy", "balance_check", "ca
         "narrative", "quarter_years", "visible_quarters", "annotated_cells", "variance_last_years")
 
 
+# The parts of an exported document that are read back.
+EXPORT = """
+  statements array<struct<statement string, frequency string, line string, values map<string, double>,
+    derived array<string>, base_label string>>,
+  periods array<struct<statement string, frequency string, period_key string, prev_key string, prev_seq_key string>>,
+  years array<struct<fiscal_year int>>,
+  base_series array<struct<line_label string, period_key string, value double>>,
+  ratios array<struct<ratio string, fiscal_year int, label string, value double>>,
+  notable_annual array<struct<statement string, line_label string, period_key string, severity double, text string>>,
+  notable_quarterly array<struct<statement string, line_label string, period_key string, severity double, text string>>,
+  insights array<struct<section string, text string>>,
+  meta array<struct<ticker string, entity_name string>>"""
+
+
 @dataclass(frozen=True)
 class RefreshResult:
     run: int
@@ -75,7 +89,7 @@ def record_revisions(store: SnapshotStore, snapshot: DataFrame, run_date: str,
 
 def run_refresh(facts: DataFrame, root: str, run_date: str, wb_inputs: dict | None = None,
                 quarantine: bool = False, marts: tuple[str, ...] = GOLD) -> RefreshResult:
-    """Full refresh with the publish gate.
+    """Full refresh with the publish gate. `facts` must not read from `root`: the base table there is replaced.
 
     Gold marts are written last, after the restatement log they show. By default one company that does not reconcile stops the run before anything is published.
     With `quarantine`, the companies that reconcile are published and the others are left out.
@@ -84,7 +98,11 @@ def run_refresh(facts: DataFrame, root: str, run_date: str, wb_inputs: dict | No
     store = SnapshotStore(spark, f"{root}/store")
     run = store.last_run() + 1
     base = f"{root}/run={run}"
-    wb = Workbook(load_facts(facts, f"{base}/facts"), **(wb_inputs or {}))
+    inputs = dict(wb_inputs or {})
+    if inputs.get("companies") is not None:
+        # several marts read the names: without a table each would parse the raw documents again
+        inputs["companies"] = stage(inputs["companies"], f"{base}/companies")
+    wb = Workbook(load_facts(facts, f"{root}/facts"), **inputs)
     wb = with_silver(wb, f"{base}/silver")
 
     results = stage(wb.all_checks, f"{base}/checks", cluster_by=("cik",))
@@ -147,6 +165,47 @@ def _period_rows(cells: DataFrame, frequency: str) -> DataFrame:
         "statement", "frequency", F.format_string("%05d.%d", F.col("fiscal_year"), F.coalesce("qnum", F.lit(0)))])
 
 
+def read_back(documents: DataFrame) -> DataFrame:
+    """Documents (cik, document) as rows: cik, section, position in the section, field, text, value.
+
+    Each document is parsed once and unfolded by one generator.
+    """
+    def entries(section, field, text=None, value=None):
+        def entry(row, place):
+            return _entry(section, place, field(row), text(row) if text else None, value(row) if value else None)
+        return F.transform(F.col(f"d.{section}"), entry)
+
+    def joined(*names):
+        return lambda row: F.concat_ws("|", *[row[name].cast("string") for name in names])
+
+    def line(row, place):
+        return F.transform(F.map_entries(row["values"]), lambda cell: _entry(
+            "statements", place, F.concat_ws("|", joined("statement", "frequency", "line")(row), cell["key"]),
+            F.concat(row["base_label"], F.when(F.array_contains(row["derived"], cell["key"]), "|derived").otherwise("")),
+            cell["value"]))
+
+    item = joined("statement", "line_label", "period_key")
+    rows = F.concat(
+        F.flatten(F.transform(F.col("d.statements"), line)),
+        entries("periods", joined("statement", "frequency", "period_key"), lambda r: F.concat_ws(
+            "|", F.coalesce(r["prev_key"], F.lit("-")), F.coalesce(r["prev_seq_key"], F.lit("-")))),
+        entries("years", joined("fiscal_year")),
+        entries("base_series", joined("line_label", "period_key"), value=lambda r: r["value"]),
+        entries("ratios", joined("ratio", "fiscal_year"), lambda r: r["label"], lambda r: r["value"]),
+        *[entries(name, item, lambda r: r["text"], lambda r: r["severity"])
+          for name in ("notable_annual", "notable_quarterly")],
+        entries("insights", joined("section"), lambda r: r["text"]),
+        entries("meta", joined("ticker"), lambda r: r["entity_name"]))
+    parsed = documents.select("cik", F.from_json("document", EXPORT, {"mode": "FAILFAST"}).alias("d"))
+    return parsed.select("cik", F.explode(rows).alias("row")).select("cik", "row.*")
+
+
+def _entry(section: str, place: Column, field: Column, text: Column | None, value: Column | None) -> Column:
+    return F.struct(F.lit(section).alias("section"), place.alias("position"), field.alias("field"),
+                    (F.lit(None) if text is None else text).cast("string").alias("text"),
+                    (F.lit(None) if value is None else value).cast("double").alias("value"))
+
+
 def _section(rows: DataFrame, name: str, place: list[str | Column], rank: Column | None = None) -> DataFrame:
     """Each row as a JSON object; `rank`, then the texts in `place` order them within a company's document."""
     fields = [column for column in rows.columns if column != "cik"]
@@ -161,7 +220,8 @@ def export_documents(wb: Workbook) -> DataFrame:
     Sections are stacked and grouped twice, so no mart is joined with another. A document holds
     only mart rows, a few hundred per company whatever the number of filings.
     """
-    by_severity = -F.coalesce("severity", F.lit(0.0))
+    # nine decimals, as the items are chosen: lines that complement each other tie within float noise
+    by_severity = -F.coalesce(F.round("severity", 9), F.lit(0.0))
     items = ["statement", "line_label", "period_key"]
     ratio_order = F.array_position(F.array(*[F.lit(column) for column, _ in RATIO_FORMATS.values()]), F.col("ratio"))
     sections = [

@@ -27,17 +27,29 @@ class Workbook:
         self.curated = curated
         self.revised = revised
         self._one_time_items = one_time_items
+        self._stored: set[str] = set()
 
     def override(self, **relations: DataFrame) -> "Workbook":
         """The same workbook reading the given relations instead of computing them."""
         copy = Workbook(self.facts, self.settings, self.companies, self.curated,
                         self._one_time_items, self.revised)
-        for name, relation in relations.items():
+        copy._stored = self._stored | set(relations)
+        for name, relation in {**{name: self.__dict__[name] for name in self._stored}, **relations}.items():
             if not isinstance(getattr(type(self), name, None), cached_property):
                 raise KeyError(name)
             copy.__dict__[name] = relation
         return copy
 
+    def with_inputs(self, **inputs: DataFrame) -> "Workbook":
+        """The same workbook with other input tables next to the facts; relations already stored stay.
+
+        Relations that depend on these inputs are built anew, so only stored ones may be kept.
+        """
+        copy = self.override(**{name: self.__dict__[name] for name in self._stored})
+        for name, table in inputs.items():
+            setattr(copy, "_one_time_items" if name == "one_time_items" else name, table)
+        return copy
+
     # annual
 
     @cached_property

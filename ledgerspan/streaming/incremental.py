@@ -51,12 +51,16 @@ def _stored(spark: SparkSession, path: str, schema: T.StructType, *partitions: s
         return spark.createDataFrame([], full)
 
 
-def current_lines(spark: SparkSession, root: str, before_batch: int | None = None) -> DataFrame:
+def current_lines(spark: SparkSession, root: str, before_batch: int | None = None,
+                  folders: list[int] | None = None) -> DataFrame:
     """The published annual lines: per company those of its last published batch.
 
-    `before_batch` gives the state ahead of a batch, also when that batch is run again.
+    `before_batch` gives the state ahead of a batch, also when that batch is run again; `folders` reads
+    only those company folders.
     """
-    lines = _stored(spark, f"{root}/lines", LINES, "batch")
+    lines = _stored(spark, f"{root}/lines", LINES, "batch", "bucket")
+    if folders is not None:
+        lines = lines.filter(F.col("bucket").isin(folders))
     if before_batch is not None:
         lines = lines.filter(F.col("batch") < before_batch)
     newest = lines.groupBy("cik").agg(F.max("batch").alias("batch"))
@@ -90,12 +94,13 @@ def _process(batch: DataFrame, batch_id: int, root: str, run_date: str, settings
     passing = stage(wb.company_gate, f"{work}/gate").filter("passed").select("cik")
     published = lines.join(passing, "cik", "left_semi")
 
-    before = current_lines(spark, root, batch_id).join(passing, "cik", "left_semi")
+    before = current_lines(spark, root, batch_id, folders).join(passing, "cik", "left_semi")
     changed = revisions.detect_revisions(
         revisions.cell_snapshot(before), revisions.cell_snapshot(published), run_date, settings)
     changed.select(*REVISIONS.fieldNames()).write.mode("overwrite").parquet(
         f"{root}/revisions/batch={batch_id}")
-    published.write.mode("overwrite").parquet(f"{root}/lines/batch={batch_id}")
+    (published.withColumn("bucket", bucket_of(F.col("cik"), settings)).hint("rebalance", "bucket")
+     .write.mode("overwrite").partitionBy("bucket").parquet(f"{root}/lines/batch={batch_id}"))
 
 
 def _run(writer: DataStreamWriter, checkpoint: str, handle: Callable[[DataFrame, int], None]) -> None:
