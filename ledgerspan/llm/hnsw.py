@@ -2,14 +2,16 @@
 
 Distinct vectors are dealt into shards by a hash. Each shard is a graph of several levels, built in one task; every
 vector searches every shard. What the search reaches is verified by the cosine in double precision. The beam is
-widened until an audit against brute force finds the recall asked for; components are the union of all links.
+widened until an audit against brute force finds the recall asked for; where no beam passes, all pairs are compared.
+Components are the union of all links.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,10 +21,12 @@ from ledgerspan.llm.components import connected_components, forest
 LINKS, BEAM, BUILD_BEAM = 16, 32, 48
 #: Shards at least, and bytes of vectors of a shard at most (on average): a task holds one shard.
 LEAST_SHARDS, SHARD_BYTES = 8, 32_000_000
-#: Vectors that search a shard in one task; searches and insertions that run side by side in numpy.
-CHUNK, SIDE_BY_SIDE = 8192, 256
-#: Vectors whose links the audit counts by brute force, the recall it asks for, and how often the beam may double.
-AUDIT, RECALL, WIDENINGS = 256, 0.99, 5
+#: Searches and insertions that run side by side in numpy.
+SIDE_BY_SIDE = 256
+#: Members that the audit looks at first, and those with a link that it must hold; it grows by GROWTH until it does.
+AUDIT, LINKED, GROWTH = 256, 128, 4
+#: The recall that the audit asks for, and how often the beam may double before all pairs are compared.
+RECALL, WIDENINGS = 0.99, 5
 #: Similarity below the threshold through which a search still walks from link to link.
 MARGIN = 0.05
 
@@ -242,25 +246,86 @@ def scramble(ids: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
+def drawn(ids: np.ndarray) -> np.ndarray:
+    """A number from 0 to 1 of each id, apart from the hash that levels and order of a graph come from."""
+    return (scramble(scramble(ids)) >> np.uint64(11)).astype(np.float64) / 2.0**53
+
+
+def verified(vectors: np.ndarray, places: np.ndarray, query: np.ndarray, threshold: float) -> np.ndarray:
+    """Those places whose cosine is at least `threshold`; the sum has the same order from either end of a pair."""
+    return places[np.einsum("kd,kd->k", vectors[places], np.broadcast_to(query, (len(places), len(query)))) >= threshold]
+
+
+def compared(vectors: np.ndarray, queries: np.ndarray, threshold: float) -> Iterator[np.ndarray]:
+    """For each query the places of all vectors that it links with, by brute force."""
+    for begin in range(0, len(queries), SIDE_BY_SIDE):
+        part = queries[begin:begin + SIDE_BY_SIDE]
+        for query, scores in zip(part, part @ vectors.T):
+            yield verified(vectors, np.flatnonzero(scores >= threshold - 1e-9), query, threshold)
+
+
+def reached(net: Graph, vectors: np.ndarray, queries: np.ndarray, threshold: float, width: int) -> Iterator[np.ndarray]:
+    """For each query the places of the vectors that a search finds and that it links with."""
+    for begin in range(0, len(queries), SIDE_BY_SIDE):
+        part = queries[begin:begin + SIDE_BY_SIDE]
+        for query, places in zip(part, net.within(part.astype(np.float32), threshold - 1e-5, width)):
+            yield verified(vectors, places, query, threshold)
+
+
+class Pairs:
+    """Which members of two shards (or of one) are linked: a bit each, set from either end; bits that are never set cost
+    no memory."""
+
+    def __init__(self, count: int, other: int, same: bool) -> None:
+        self.bits, self.other, self.same = np.zeros((count, -(-other // 8)), np.uint8), other, same
+        self.rows = np.zeros(count, bool)
+
+    def add(self, row: int, places: np.ndarray) -> None:
+        if len(places):
+            line = np.zeros(self.other, bool)
+            line[places] = True
+            self.bits[row] |= np.packbits(line)
+            self.rows[row] = True
+            if self.same:
+                self.add_back(row, places)
+
+    def add_back(self, place: int, rows: np.ndarray) -> None:
+        self.bits[rows, place >> 3] |= np.uint8(128 >> (place & 7))
+        self.rows[rows] = True
+
+    def __iter__(self) -> Iterator[tuple[int, np.ndarray]]:
+        """(row, places) of every row with a link; a row never links with itself."""
+        for row in np.flatnonzero(self.rows).tolist():
+            places = np.flatnonzero(np.unpackbits(self.bits[row], count=self.other))
+            if self.same:
+                places = places[places != row]
+            if len(places):
+                yield row, places
+
+
 def _matrix(column: pd.Series) -> np.ndarray:
     return np.stack([np.asarray(x, np.float64) for x in column])
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.9, beam: int = BEAM, shard_bytes: int = SHARD_BYTES,
-                    least_shards: int = LEAST_SHARDS, chunk: int = CHUNK, audit: int = AUDIT, recall: float = RECALL,
-                    ) -> DataFrame:
+                    least_shards: int = LEAST_SHARDS, audit: int = AUDIT, recall: float = RECALL, linked: int = LINKED,
+                    widenings: int = WIDENINGS) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row of vectors (vec_id, embedding).
 
     Equal vectors are one member of a graph with their number as weight (a partial aggregate), so thousands of copies cost as
-    one. All members are indexed; each searches all shards. A task reports how many vectors each query links with, and of
-    the links themselves a spanning forest, which has the same components. The audit compares the counts of `audit`
-    members, picked by a hash, with those of brute force over all members, and doubles the beam while recall is missed.
+    one. All members are indexed; each searches all shards. A task holds two shards and searches each from the other, so
+    a pair that one end finds counts for both. It reports how many vectors each member links with, and of the links
+    themselves a spanning forest, which has the same components.
+
+    The audit compares links with those of brute force over all members, each pair of members as one link whatever
+    its copies. It begins with about `audit` members, picked by a hash, and grows until `linked` of them have a link or it holds
+    all members. Both the share of all their links and the mean share of a member must reach `recall`; otherwise the
+    beam doubles, `widenings` times at most, and then all pairs are compared.
 
     Null or zero vectors, and those with null or non-finite components, link with nothing. Vectors of different
     length never link. Repeated rows each count and each get a row; a null vec_id is kept with the component of its
     vector. component_id is the smallest non-null vec_id of a component, or null. An empty table stays empty.
     """
-    spark = vectors.sparkSession
     usable = (F.coalesce(F.size("embedding"), F.lit(0)) > 0) & F.forall(
         "embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(
         "embedding", lambda x: x != 0)
@@ -268,9 +333,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, beam: int = BEAM
     classes = rows.where("v is not null").groupBy("v").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("n"))
     members = stage(classes.withColumn("cid", F.monotonically_increasing_id()), "hnsw-members")
     sizes = members.groupBy(F.size("v").alias("dim")).agg(F.count(F.lit(1)).alias("n")).collect()  # one row per length
-    bytes_ = sum(r["dim"] * r["n"] * 8 for r in sizes)
+    bytes_, count = sum(r["dim"] * r["n"] * 8 for r in sizes), sum(r["n"] for r in sizes)
     shards = max(least_shards, -(-bytes_ // shard_bytes))
-    chunks = max(1, -(-sum(r["n"] for r in sizes) // chunk))
     dealt = members.select("cid", "n", "v", F.size("v").alias("dim"),
                            F.pmod(F.xxhash64("cid"), F.lit(shards)).cast("int").alias("shard"))
 
@@ -284,56 +348,97 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, beam: int = BEAM
 
     indexed = stage(dealt.groupBy("dim", "shard").applyInPandas(
         index, "dim int, shard int, ids binary, weights binary, vectors binary, shape binary, graph binary"), "hnsw-graphs")
+    with_each = indexed.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)).cast("array<int>")))
+    pairs_of_shards = with_each.withColumns(
+        {"low": F.least("shard", "other"), "high": F.greatest("shard", "other")}).drop("other").groupBy("dim", "low", "high")
 
-    def pack(group: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([(group["dim"].iloc[0], group["chunk"].iloc[0], group["cid"].to_numpy(np.int64).tobytes(),
-                              _matrix(group["v"]).tobytes())], columns=["dim", "chunk", "q_ids", "q_vectors"])
-
-    asking = members.select("cid", "v", F.size("v").alias("dim"),
-                            F.pmod(F.xxhash64("cid", F.lit(1)), F.lit(chunks)).cast("int").alias("chunk"))
-    queries = stage(asking.groupBy("dim", "chunk").applyInPandas(
-        pack, "dim int, chunk int, q_ids binary, q_vectors binary"), "hnsw-queries")
-    each_shard = queries.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)).cast("array<int>")))
-    each_chunk = indexed.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)).cast("array<int>")))
-
-    def found_with(width: int) -> DataFrame:
-        def search(queries: pd.DataFrame, graphs: pd.DataFrame) -> pd.DataFrame:
-            if not len(queries) or not len(graphs):
-                return pd.DataFrame({"a": [], "b": [], "n": []}).astype("int64")
-            dim, graph = int(queries["dim"].iloc[0]), graphs.iloc[0]
-            ids, weights = np.frombuffer(graph["ids"], np.int64), np.frombuffer(graph["weights"], np.int64)
-            inner = unit(np.frombuffer(graph["vectors"], np.float64).reshape(-1, dim))
-            net = Graph.unpack(inner.astype(np.float32), graph["shape"], graph["graph"])
-            q_ids = np.frombuffer(queries["q_ids"].iloc[0], np.int64)
-            outer = unit(np.frombuffer(queries["q_vectors"].iloc[0], np.float64).reshape(-1, dim))
-            counts, links, parent = np.zeros(len(q_ids), np.int64), [], {}
-            for begin in range(0, len(q_ids), SIDE_BY_SIDE):
-                part = outer[begin:begin + SIDE_BY_SIDE]
-                for k, places in enumerate(net.within(part.astype(np.float32), threshold - 1e-5, width), begin):
-                    good = places[(inner[places] @ outer[k]) >= threshold]
-                    good = good[ids[good] != q_ids[k]]
-                    counts[k] = weights[good].sum()
-                    links += forest([int(q_ids[k])] * len(good), ids[good].tolist(), parent)
-            some = np.flatnonzero(counts)
-            a = np.concatenate([q_ids[some], np.array([x for x, _ in links], np.int64)])
+    def opened(group: pd.DataFrame) -> tuple[pd.DataFrame, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+        """The one or two shards of a task: rows, and (ids, weights, vectors of unit length) of each."""
+        group = group.sort_values("shard")
+        return group, [(np.frombuffer(x.ids, np.int64), np.frombuffer(x.weights, np.int64),
+                        unit(np.frombuffer(x.vectors, np.float64).reshape(-1, x.dim))) for x in group.itertuples()]
+
+    def found_with(width: int | None) -> DataFrame:
+        """Links by searches with a beam of `width`; None: by comparing all pairs.
+
+        a, -1, n, m: rows and members that member a links with, by task; a, b: links that make up a spanning forest.
+        """
+        def search(group: pd.DataFrame) -> pd.DataFrame:
+            low, high = int(group["low"].iloc[0]), int(group["high"].iloc[0])
+            group, parts = opened(group)
+            if len(parts) < (1 if low == high else 2):
+                return pd.DataFrame({"a": [], "b": [], "n": [], "m": []}).astype("int64")
+            (ids, weights, outer), (other_ids, other_weights, inner) = parts[0], parts[-1]
+            pairs = Pairs(len(ids), len(other_ids), low == high)
+            if width is None:
+                for row, places in enumerate(compared(inner, outer, threshold)):
+                    pairs.add(row, places)
+            else:
+                nets = [Graph.unpack(v.astype(np.float32), x.shape_, x.graph)
+                        for x, (_, _, v) in zip(group.rename(columns={"shape": "shape_"}).itertuples(), parts)]
+                for row, places in enumerate(reached(nets[-1], inner, outer, threshold, width)):
+                    pairs.add(row, places)
+                if low != high:
+                    for place, own in enumerate(reached(nets[0], outer, inner, threshold, width)):
+                        pairs.add_back(place, own)
+            n, m, links, parent = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64), [], {}
+            other_n, other_m = np.zeros(len(other_ids), np.int64), np.zeros(len(other_ids), np.int64)
+            for row, places in pairs:
+                n[row], m[row] = other_weights[places].sum(), len(places)
+                other_n[places] += weights[row]
+                other_m[places] += 1
+                links += forest([int(ids[row])] * len(places), other_ids[places].tolist(), parent)
+            if low != high:
+                ids, n, m = np.concatenate([ids, other_ids]), np.concatenate([n, other_n]), np.concatenate([m, other_m])
+            some, none = np.flatnonzero(m), np.zeros(len(links), np.int64)
+            a = np.concatenate([ids[some], np.array([x for x, _ in links], np.int64)])
             b = np.concatenate([np.full(len(some), -1), np.array([y for _, y in links], np.int64)])
-            return pd.DataFrame({"a": a, "b": b, "n": np.concatenate([counts[some], np.zeros(len(links), np.int64)])})
-
-        pairs = each_shard.groupBy("dim", "shard", "chunk").cogroup(each_chunk.groupBy("dim", "shard", "chunk"))
-        return stage(pairs.applyInPandas(search, "a long, b long, n long"), "hnsw-found")
-
-    sample = members.orderBy(F.xxhash64("cid", F.lit(2)), "cid").limit(audit).select("cid", "v").collect()  # `audit` rows
-    truth = _audit(members, [(r["cid"], r["v"]) for r in sample], threshold)
-    width, found = beam, found_with(beam)
-    for _ in range(WIDENINGS):
-        reached = found.where("b = -1").join(
-            F.broadcast(spark.createDataFrame([(r["cid"],) for r in sample], "a long")), "a", "left_semi").agg(
-            F.sum("n")).first()[0] if truth else 0
-        if (reached or 0) >= recall * truth:
+            return pd.DataFrame({"a": a, "b": b, "n": np.concatenate([n[some], none]), "m": np.concatenate([m[some], none])})
+
+        return stage(pairs_of_shards.applyInPandas(search, "a long, b long, n long, m long"), "hnsw-found")
+
+    def links_of(least: float, most: float) -> DataFrame:
+        """a, m: by brute force, how many members each member drawn between the two shares links with, by task."""
+        def count_links(group: pd.DataFrame) -> pd.DataFrame:
+            low, high = int(group["low"].iloc[0]), int(group["high"].iloc[0])
+            _, parts = opened(group)
+            found = []
+            for (ids, _, outer), (_, _, inner) in ([(parts[0], parts[0])] if low == high else
+                                                   [(parts[0], parts[1]), (parts[1], parts[0])] if len(parts) == 2 else []):
+                number = drawn(ids)
+                asked = np.flatnonzero((number >= least) & (number < most))
+                sizes_ = [len(x) - (low == high) for x in compared(inner, outer[asked], threshold)]
+                found += [(a, m) for a, m in zip(ids[asked].tolist(), sizes_) if m]
+            return pd.DataFrame(found, columns=["a", "m"]).astype("int64")
+
+        return pairs_of_shards.applyInPandas(count_links, "a long, m long")
+
+    truth, share, last = None, min(1.0, audit / max(count, 1)), 0.0
+    while True:
+        more = stage(links_of(last, share if share < 1 else 2.0), "hnsw-audit")
+        truth = more if truth is None else truth.unionByName(more)
+        if share >= 1 or truth.select("a").distinct().count() >= linked:
+            break
+        last, share = share, min(1.0, share * GROWTH)
+    truth = truth.groupBy("a").agg(F.sum("m").alias("m"))
+
+    def passes(found: DataFrame) -> bool:
+        have = found.where("b = -1").groupBy("a").agg(F.sum("m").alias("have"))
+        per = truth.join(have, "a", "left").select("m", F.coalesce("have", F.lit(0)).alias("have"))
+        total, mean = per.agg(F.sum("have") / F.sum("m"), F.avg(F.col("have") / F.col("m"))).first()
+        return total is None or min(total, mean) >= recall
+
+    found, width = found_with(beam), beam
+    for _ in range(widenings):
+        if passes(found):
             break
         discard(found)
         width *= 2
         found = found_with(width)
+    else:
+        if not passes(found):
+            discard(found)
+            found = found_with(None)
     counts = found.where("b = -1").groupBy(F.col("a").alias("cid")).agg(F.sum("n").alias("links"))
     parts = connected_components(found.where("b >= 0").select("a", "b"))
     placed = members.select("cid", "least", "n").join(counts, "cid", "left").join(
@@ -347,28 +452,3 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, beam: int = BEAM
                                                F.when(F.col("v").isNull(), F.col("vec_id")).otherwise(F.col("root")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
-
-def _audit(members: DataFrame, sample: list[tuple], threshold: float) -> int:
-    """Links of the sampled members with all others, counted by brute force."""
-    if not sample:
-        return 0
-    by_dim: dict[int, tuple[list, list]] = {}
-    for cid, vector in sample:
-        ids, raw = by_dim.setdefault(len(vector), ([], []))
-        ids.append(cid)
-        raw.append(vector)
-    asked = {dim: (np.array(ids), unit(np.array(raw))) for dim, (ids, raw) in by_dim.items()}
-
-    def count(batches):
-        for batch in batches:
-            total = 0
-            frame = batch.to_pandas()
-            for dim, group in frame.groupby(frame["v"].map(len)):
-                if dim in asked:
-                    ids, queries = asked[dim]
-                    linked = unit(_matrix(group["v"])) @ queries.T >= threshold
-                    linked &= group["cid"].to_numpy()[:, None] != ids
-                    total += int(linked.sum(1) @ group["n"].to_numpy())
-            yield pa.record_batch([pa.array([total], pa.int64())], names=["n"])
-
-    return members.select("cid", "n", "v").mapInArrow(count, "n long").agg(F.sum("n")).first()[0] or 0

@@ -135,6 +135,34 @@ def test_vectors_match_brute_force(spark):
     assert hnsw.near_duplicates(frame.limit(0)).count() == 0
 
 
+def rare_pairs():
+    rng = np.random.default_rng(5)
+    lone = rng.normal(size=(3000, 32))
+    near = lone[:50] + rng.normal(size=(50, 32)) * 0.2
+    rows = np.concatenate([lone, near])
+    unit = rows / np.linalg.norm(rows, axis=1, keepdims=True)
+    return rows, (unit @ unit.T >= 0.9).sum(1) - 1
+
+
+@pytest.mark.parametrize("options", [{"audit": 4, "recall": 1.0}, {"recall": 1.0, "widenings": 0}])
+def test_vectors_with_rare_links_are_audited_and_found(spark, options):
+    rows, expected = rare_pairs()
+    assert 0 < (expected > 0).sum() < hnsw.LINKED
+    frame = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(rows)], "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: r["n_links"] for r in hnsw.near_duplicates(frame, beam=1, least_shards=2, **options).collect()}
+    assert [got[k] for k in range(len(rows))] == expected.tolist()
+
+
+def test_pairs_count_for_both_ends():
+    pairs = hnsw.Pairs(3, 10, False)
+    pairs.add(1, np.array([2, 9]))
+    pairs.add_back(9, np.array([1, 2]))
+    assert [(r, p.tolist()) for r, p in pairs] == [(1, [2, 9]), (2, [9])]
+    pairs = hnsw.Pairs(4, 4, True)
+    pairs.add(0, np.array([0, 3]))
+    assert [(r, p.tolist()) for r, p in pairs] == [(0, [3]), (3, [0])]
+
+
 # --- pipeline -----------------------------------------------------------------------------------------------------------
 
 def test_pipeline_stages_keep_the_columns_of_documents(spark):
