@@ -26,6 +26,8 @@ WINDOW, LEAST_TOKENS = 8, 5
 LEAST_LITERALS = 4
 #: Share of an item's tokens that consistent windows of one document must cover.
 COVERAGE = 0.5
+#: Or so many tokens of an item in a row, so many of them no placeholders: an excerpt, however long its item is.
+RUN, RUN_LITERALS = 13, 7
 #: Bits of the filter of benchmark windows that tasks get; its size is fixed, whatever the benchmark's.
 FILTER_BITS = 1 << 23
 #: Words kept per Python worker before the memory is emptied, and characters of text looked at side by side.
@@ -260,31 +262,51 @@ def consistent(slots: list[int], item: list[str], doc: list[str], forth: dict, b
     return True
 
 
-def best_alignment(hits: list[dict]) -> tuple[float, bool]:
-    """(share of the item's tokens covered, whether a slot has another value) of the best alignment of the hits."""
+def best_alignment(hits: list[dict], run: int = RUN) -> tuple[float, bool, bool]:
+    """(share of the item's tokens covered, whether a slot has another value, whether an excerpt is held) of the alignments.
+
+    The first two are those of the alignment that covers most. An excerpt is `run` tokens in a row that any alignment
+    covers, RUN_LITERALS of them no placeholders.
+    """
     by_shift: dict[int, list[dict]] = {}
     for hit in hits:
         by_shift.setdefault(hit["d_place"] - hit["i_place"], []).append(hit)
-    best = (0.0, False)
+    best, excerpt = (0.0, False), False
     for aligned in by_shift.values():
         forth: dict = {}
         back: dict = {}
-        covered: set[int] = set()
+        covered: dict[int, bool] = {}  # place: whether it is no placeholder
         for hit in sorted(aligned, key=lambda x: (x["i_place"], x["slots"])):
             if consistent(hit["slots"], hit["i_values"], hit["d_values"], forth, back):
-                covered.update(range(hit["i_place"], hit["i_place"] + len(hit["slots"])))
+                for place, slot in enumerate(hit["slots"], hit["i_place"]):
+                    covered[place] = not slot or covered.get(place, False)
         best = max(best, (len(covered) / aligned[0]["n_tokens"], any(a != b for (_, a), b in forth.items())))
-    return best
+        excerpt = excerpt or holds_run(covered, run)
+    return *best, excerpt
+
+
+def holds_run(covered: dict[int, bool], run: int) -> bool:
+    """Whether `run` places in a row are covered and at least RUN_LITERALS of them (a like share of another run) are literals."""
+    least, literals = -(-run * RUN_LITERALS // RUN), []
+    for place in sorted(covered):
+        if place - 1 not in covered:
+            literals = []
+        literals.append(covered[place])
+        if len(literals) >= run and sum(literals[-run:]) >= least:
+            return True
+    return False
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = COVERAGE) -> DataFrame:
+def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = COVERAGE,
+            run: int = RUN) -> DataFrame:
     """doc_id, item_id, coverage, changed_slots for every document (doc_id, text) that holds a benchmark item
     (item_id, text), with other numbers, names or units or the same.
 
     Documents are read once; only windows that the filter lets pass, a few per leak, go on to the hash join with the
     benchmark's windows, so a passage in a third of all documents joins one window row each. Hits are gathered
     per document and item, which a document's own length bounds. In each alignment of the two, windows count as
-    far as their slots map one to one; the best alignment must cover `coverage` of the item's tokens.
+    far as their slots map one to one; one alignment must cover `coverage` of the item's tokens, or `run` of them in a row
+    with enough literals, which counts excerpts of items of any length.
 
     Null and empty texts match nothing; items below LEAST_TOKENS tokens are not looked for; repeated rows count
     once; a null doc_id is reported as null. Empty tables give an empty result. Further columns are ignored.
@@ -323,13 +345,14 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverag
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [best_alignment(x) for x in batch.column("hits").to_pylist()]
+            found = [best_alignment(x, run) for x in batch.column("hits").to_pylist()]
             yield pa.record_batch(
                 [batch.column("doc_id"), batch.column("item_id"), pa.array([x[0] for x in found], pa.float64()),
-                 pa.array([x[1] for x in found], pa.bool_())], names=["doc_id", "item_id", "coverage", "changed_slots"])
+                 pa.array([x[1] for x in found], pa.bool_()), pa.array([x[2] for x in found], pa.bool_())],
+                names=["doc_id", "item_id", "coverage", "changed_slots", "excerpt"])
 
-    schema = f"doc_id {id_kind}, item_id {kind_of(benchmark, 'item_id')}, coverage double, changed_slots boolean"
-    return gathered.mapInArrow(judge, schema).where(F.col("coverage") >= coverage)
+    schema = f"doc_id {id_kind}, item_id {kind_of(benchmark, 'item_id')}, coverage double, changed_slots boolean, excerpt boolean"
+    return gathered.mapInArrow(judge, schema).where((F.col("coverage") >= coverage) | F.col("excerpt")).drop("excerpt")
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:

@@ -279,6 +279,18 @@ def test_decontamination_of_same_and_changed_questions(spark, odd, none):
     assert decontaminate.matches(none, bench).count() == 0 and decontaminate.matches(docs, bench.limit(0)).count() == 0
 
 
+def test_decontamination_of_long_excerpts(spark):
+    item = prose(60, 200)
+    parts = item.split()
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    texts = [prose(61, 40) + " " + " ".join(parts[50:79]) + " " + prose(62, 40), prose(63, 40) + " " + " ".join(parts[50:62]),
+             prose(64, 90), " ".join(parts[:150])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["coverage"] for r in decontaminate.matches(docs, bench).collect()}
+    assert got == {0: pytest.approx(29 / 200), 3: pytest.approx(150 / 200)}
+    assert sorted(r["doc_id"] for r in decontaminate.without_leaks(docs, bench).collect()) == [1, 2]
+
+
 def test_folds_of_null_keys(spark):
     frame = spark.createDataFrame([(None,), (5,)], "k long")
     assert [r[0] for r in frame.select(crc_fold(frame["k"], 10)).collect()] == [0, zlib.crc32(b"5") % 10]
