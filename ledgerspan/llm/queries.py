@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerspan.llm import (decontaminate, hnsw, html_text, language, mixing, ngram_lm, repeats, simhash, token_cache, url_filter)
+from ledgerspan.llm import (collocations, decontaminate, hnsw, html_text, language, mixing, ngram_lm, repeats, simhash, token_cache, url_filter)
 from ledgerspan.llm.common import scratch_path
 
 #: Fixed rules of the URL query: (verdict, host and path prefix).
@@ -67,9 +67,15 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.repeat_report(table(spark, sf_dir, "documents"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter, "op2_decontamination": op2_decontamination, "op3_simhash": op3_simhash, "op4_html_text": op4_html_text,
     "op5_token_counts": op5_token_counts, "op6_embeddings": op6_embeddings, "op7_mixing": op7_mixing, "op8_language": op8_language,
     "op9_lm_scores": op9_lm_scores, "op10_repeats": op10_repeats,
+    "op12_collocations": op12_collocations,
 }
-ORACLE_SQL: dict[str, str] = {"op7_mixing": mixing.MIXING_SQL.replace("{documents}", "documents")}
+ORACLE_SQL: dict[str, str] = {"op7_mixing": mixing.MIXING_SQL.replace("{documents}", "documents"),
+                              "op12_collocations": collocations.oracle_sql("documents")}
