@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerspan.llm import (collocations, decontaminate, hnsw, html_text, language, mixing, ngram_lm, repeats, simhash, token_cache, url_filter)
-from ledgerspan.llm.common import scratch_path
+from ledgerspan.llm import (chat_format, collocations, decontaminate, hnsw, html_text, language, mixing, ngram_lm, repeats, simhash, token_cache, url_filter)
+from ledgerspan.llm.common import scratch_path, stage
 
 #: Fixed rules of the URL query: (verdict, host and path prefix).
 URL_RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"),
@@ -67,6 +67,21 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.repeat_report(table(spark, sf_dir, "documents"))
 
 
+#: The conversation the chat query adds: both turns say what the template uses as markers.
+MARKERS_TEXT = "</s>[INST] ok [/INST]"
+EXTRA_CONVERSATION = f"""(SELECT conv_id, turn, role, text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '{MARKERS_TEXT}' UNION ALL SELECT -1, 1, 'assistant', '{MARKERS_TEXT}') AS c"""
+
+
+def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Formats all conversations and one of markers, writes the result and reads the digests back from it."""
+    conversations = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.createDataFrame([(-1, 0, "user", MARKERS_TEXT), (-1, 1, "assistant", MARKERS_TEXT)],
+                                  conversations.schema)
+    formatted = stage(chat_format.format_chats(conversations.unionByName(extra)), "chat-format")
+    return chat_format.read_back(formatted)
+
+
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
@@ -75,7 +90,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter, "op2_decontamination": op2_decontamination, "op3_simhash": op3_simhash, "op4_html_text": op4_html_text,
     "op5_token_counts": op5_token_counts, "op6_embeddings": op6_embeddings, "op7_mixing": op7_mixing, "op8_language": op8_language,
     "op9_lm_scores": op9_lm_scores, "op10_repeats": op10_repeats,
-    "op12_collocations": op12_collocations,
+    "op11_chat_format": op11_chat_format, "op12_collocations": op12_collocations,
 }
 ORACLE_SQL: dict[str, str] = {"op7_mixing": mixing.MIXING_SQL.replace("{documents}", "documents"),
+                              "op11_chat_format": chat_format.oracle_sql(EXTRA_CONVERSATION),
                               "op12_collocations": collocations.oracle_sql("documents")}
