@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerspan.llm import (chat_format, collocations, decontaminate, hnsw, html_text, language, mixing, ngram_lm, repeats, simhash, token_cache, url_filter)
+from ledgerspan.llm import (chat_format, collocations, whitening, decontaminate, hnsw, html_text, language, mixing, ngram_lm, repeats, simhash, token_cache, url_filter)
 from ledgerspan.llm.common import scratch_path, stage
 
 #: Fixed rules of the URL query: (verdict, host and path prefix).
@@ -86,11 +86,16 @@ def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter, "op2_decontamination": op2_decontamination, "op3_simhash": op3_simhash, "op4_html_text": op4_html_text,
     "op5_token_counts": op5_token_counts, "op6_embeddings": op6_embeddings, "op7_mixing": op7_mixing, "op8_language": op8_language,
     "op9_lm_scores": op9_lm_scores, "op10_repeats": op10_repeats,
     "op11_chat_format": op11_chat_format, "op12_collocations": op12_collocations,
+    "op13_whitening": op13_whitening,
 }
 ORACLE_SQL: dict[str, str] = {"op7_mixing": mixing.MIXING_SQL.replace("{documents}", "documents"),
                               "op11_chat_format": chat_format.oracle_sql(EXTRA_CONVERSATION),
