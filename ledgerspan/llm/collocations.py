@@ -3,7 +3,8 @@
 Nodes are runs of three words, edges the four-word runs that join two overlapping nodes; only the edges are
 counted from the text. The count of a shorter run is the flow out of its node plus the runs that end a piece
 (piece-end corrections): f(w1..wk) = sum of f(w1..wk w) over all w, plus the pieces that end in w1..wk. So the
-text is read once, as one edge per word position and three tails per piece, and every count is exact.
+text is read once, as one edge per word position and three tails per piece, and every count is exact. The text
+is shuffled once; only the frequent longer runs and the partial sums of one- and two-word runs move again.
 
 Unary paths (a node with one edge in and one edge out, of equal weight) are compacted: such a node's three-word
 run only ever occurs inside one longer run, so it is marked; `unitigs` returns the compacted paths of the
@@ -28,6 +29,8 @@ TOP = 2000
 #: Rows of one language are first ranked in this many hashed parts, so that no window holds a language whole.
 RANK_PARTS = 64
 LONGEST = 4
+#: Parts per pair of first words: runs with the same two first words are dealt by a hash of their third.
+SALTS = 8
 
 
 def _pieces(docs: DataFrame, text: str, lang: str) -> DataFrame:
@@ -43,33 +46,43 @@ def _run(w: Column, start: Column, length: int) -> Column:
     return F.array_join(F.slice(w, start, length), " ")
 
 
-def graph(docs: DataFrame, text: str = "text", lang: str = "lang") -> tuple[DataFrame, DataFrame]:
-    """The weighted edges (lang, g, c: four-word runs and their counts) and piece tails (lang, k, g, c: the
-    last k = 1..3 words of pieces). Both are partial aggregates: a frequent run is summed per task first."""
+def _events(docs: DataFrame, text: str, lang: str) -> DataFrame:
+    """(lang, k, g): every four-word edge (k = 4) and the last k = 1..3 words of every piece (its tails)."""
     pieces = _pieces(docs, text, lang)
     positions = F.when(F.size("w") >= LONGEST, F.sequence(F.lit(1), F.size("w") - (LONGEST - 1))) \
         .otherwise(F.array().cast("array<int>"))
-    edges = pieces.select("lang", F.explode(F.transform(positions, lambda i: _run(F.col("w"), i, LONGEST))).alias("g")) \
-        .groupBy("lang", "g").agg(F.count(F.lit(1)).alias("c"))
-    tails = pieces.select("lang", F.explode(F.filter(
-        F.array(*[F.when(F.size("w") >= k, F.struct(F.lit(k).alias("k"), _run(F.col("w"), F.lit(-k), k).alias("g")))
-                  for k in range(1, LONGEST)]), lambda t: t.isNotNull())).alias("t")) \
-        .groupBy("lang", F.col("t.k").alias("k"), F.col("t.g").alias("g")).agg(F.count(F.lit(1)).alias("c"))
-    return edges, tails
-
-
-def run_counts(edges: DataFrame, tails: DataFrame) -> DataFrame:
-    """(lang, m, g, c) for runs of m = 1..4 words: node flow plus piece-end corrections, longest first."""
-    levels, longer = [edges.withColumn("m", F.lit(LONGEST))], edges
-    for m in range(LONGEST - 1, 0, -1):
-        flow = longer.select("lang", F.substring_index("g", " ", m).alias("g"), "c")
-        ends = tails.where(F.col("k") == m).select("lang", "g", "c")
-        longer = flow.unionByName(ends).groupBy("lang", "g").agg(F.sum("c").alias("c"))
-        levels.append(longer.withColumn("m", F.lit(m)))
-    out = levels[0]
-    for level in levels[1:]:
-        out = out.unionByName(level)
-    return out.select("lang", F.col("m").cast("int").alias("m"), "g", F.col("c").cast("long").alias("c"))
+    edges = F.transform(positions, lambda i: F.struct(F.lit(LONGEST).alias("k"), _run(F.col("w"), i, LONGEST).alias("g")))
+    tails = F.filter(F.array(*[F.when(F.size("w") >= k, F.struct(F.lit(k).alias("k"), _run(F.col("w"), F.lit(-k), k).alias("g")))
+                               for k in range(1, LONGEST)]), lambda t: t.isNotNull())
+    return pieces.select("lang", F.explode(F.concat(edges, tails)).alias("e")).select("lang", "e.k", "e.g")
+
+
+def graph(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
+    """(lang, p2, s, k, g, c): the weighted edges (k = 4) and piece tails (k < 4) with their counts.
+
+    The one exchange of the text deals rows by their first two words and a hash of the third (SALTS parts), so
+    an edge, and every node of three words with all edges leaving it, meet in one task. Only (lang, g) travel:
+    the part and k are computed from g on both sides."""
+    events = _events(docs, text, lang).select("lang", "g")
+    p2 = F.substring_index("g", " ", 2)
+    part = F.pmod(F.xxhash64(F.coalesce(F.try_element_at(F.split("g", " "), F.lit(3)), F.lit(""))), F.lit(SALTS))
+    counted = events.repartition("lang", p2, part).groupBy("lang", p2, part, "g").agg(F.count(F.lit(1)).alias("c"))
+    return counted.toDF("lang", "p2", "s", "g", "c").withColumn("k", F.size(F.split("g", " ")))
+
+
+def run_counts(edges: DataFrame, least: int = 1) -> DataFrame:
+    """(lang, m, g, c) for runs of m = 1..4 words. A node's count is the flow of the edges leaving it plus the
+    pieces ending in it, f(x) = sum f(x w) + tails(x); unrolled, every edge and tail adds its count to each of
+    its prefixes. Runs of three and four words are complete in their task, so those below `least` are left out
+    there; the sums of one and two words are partial (their edges went to several parts) and are added up in a
+    second exchange, reduced map-side. Runs of one word are all returned; longer ones only from `least` on."""
+    prefixes = edges.select("lang", "p2", "s", "c", F.explode(F.transform(
+        F.sequence(F.lit(1), F.col("k")), lambda m: F.struct(m.alias("m"), _run(F.split("g", " "), F.lit(1), m).alias("x")))).alias("x"))
+    local = prefixes.groupBy("lang", "p2", "s", F.col("x.m").alias("m"), F.col("x.x").alias("g")).agg(F.sum("c").alias("c"))
+    reduced = local.where((F.col("m") <= 2) | (F.col("c") >= least))
+    counts = reduced.groupBy("lang", "m", "g").agg(F.sum("c").alias("c"))
+    return counts.where((F.col("m") == 1) | (F.col("c") >= least)).select(
+        "lang", F.col("m").cast("int").alias("m"), "g", F.col("c").cast("long").alias("c"))
 
 
 def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = LEAST, top: int = TOP) -> DataFrame:
@@ -83,10 +96,10 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least:
     count each time; equal scores are ordered by a, then phrase in UTF-8 byte order; only the text and lang
     columns are read, so other columns of any name are ignored. An empty table gives an empty result.
     """
-    edges, tails = graph(docs, text, lang)
-    counts = stage(run_counts(edges, tails), "collocation-counts")
+    # the frequent runs and every word: one small table, staged so that the text is dealt once
+    counts = stage(run_counts(graph(docs, text, lang), least), "collocation-counts")
     words = counts.where(F.col("m") == 1).groupBy("lang").agg(F.sum("c").alias("n"))
-    frequent = stage(counts.where(F.col("c") >= least), "collocation-frequent")
+    frequent = counts.where(F.col("c") >= least)
     candidates = frequent.where(F.col("m") >= 2).select("lang", "m", F.col("g").alias("phrase"), F.col("c").alias("a"))
 
     cuts = candidates.select("*", F.explode(F.sequence(F.lit(1), F.col("m") - 1)).alias("k"))

@@ -45,8 +45,7 @@ def test_against_sql_on_odd_rows(spark):
 
 def test_counts_are_node_flow_plus_piece_ends(spark):
     data = rows()
-    edges, tails = collocations.graph(frame(spark, data))
-    got = {(r.lang, r.g): r.c for r in collocations.run_counts(edges, tails).collect()}
+    got = {(r.lang, r.g): r.c for r in collocations.run_counts(collocations.graph(frame(spark, data))).collect()}
     # direct counts in plain Python
     want = {}
     for _, text, lang, _ in data:
