@@ -154,6 +154,25 @@ def pivot_statement(statement_rows: DataFrame, years: list[int]) -> DataFrame:
                        *[billions(F.col(str(year))).alias(f"fy{year}") for year in years])
 
 
+def pivot_window(statement_rows: DataFrame, width: int) -> DataFrame:
+    """Lines by position in each company's window, in billions, in a shape that does not depend on the data.
+
+    y<k> is the line's value in the company's k-th newest fiscal year of the statement (k = 0 newest), fy<k>
+    that year; positions the company lacks are null. Positions are dense ranks of the company's years, so a
+    window with a gap keeps all its years. One window per company and one pivot with a fixed value list: no
+    driver round trip while the plan is built, and the rows stay partitioned by company.
+    """
+    position = F.dense_rank().over(Window.partitionBy("cik").orderBy(F.col("fiscal_year").desc())) - 1
+    placed = statement_rows.withColumn("pos", position).where(F.col("pos") < width)
+    years = (placed.groupBy("cik").pivot("pos", list(range(width))).agg(F.max("fiscal_year"))
+             .select("cik", *[F.col(str(k)).cast("int").alias(f"fy{k}") for k in range(width)]))
+    wide = (placed.groupBy("cik", "line_order", "line_label").pivot("pos", list(range(width)))
+            .agg(F.max("value")))
+    return wide.join(years, "cik").select(
+        "cik", "line_order", "line_label", *[f"fy{k}" for k in range(width)],
+        *[billions(F.col(str(k))).alias(f"y{k}") for k in range(width)])
+
+
 def ratios_long(ratio_rows: DataFrame) -> DataFrame:
     """Six ratios as rows with their label, display format and display text."""
     columns = [column for column, _ in RATIO_FORMATS.values()]

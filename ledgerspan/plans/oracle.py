@@ -467,10 +467,17 @@ def _one_statement(name: str) -> str:
             f"WHERE statement = '{name}'")
 
 
-def _pivot(name: str) -> str:
-    return ("SELECT * FROM (PIVOT (SELECT cik, line_order, line_label, 'fy' || fiscal_year AS fy, value "
-            f"FROM lines WHERE statement = '{name}') ON fy USING round(max(value) / 1e9, 2) + 0.0 "
-            "GROUP BY cik, line_order, line_label)")
+def _pivot(name: str, width: int = 5) -> str:
+    placed = ("SELECT cik, line_order, line_label, fiscal_year, value, "
+              "dense_rank() OVER (PARTITION BY cik ORDER BY fiscal_year DESC) - 1 AS pos "
+              f"FROM lines WHERE statement = '{name}'")
+    years = ", ".join(f"CAST(max(fiscal_year) FILTER (WHERE pos = {k}) AS INTEGER) AS fy{k}" for k in range(width))
+    values = ", ".join(f"round(max(value) FILTER (WHERE pos = {k}) / 1e9, 2) + 0.0 AS y{k}" for k in range(width))
+    return (f"SELECT w.cik, line_order, line_label, {', '.join(f'fy{k}' for k in range(width))}, "
+            f"{', '.join(f'y{k}' for k in range(width))} "
+            f"FROM (SELECT cik, line_order, line_label, {values} FROM ({placed}) WHERE pos < {width} "
+            "GROUP BY cik, line_order, line_label) w "
+            f"JOIN (SELECT cik, {years} FROM ({placed}) WHERE pos < {width} GROUP BY cik) y ON y.cik = w.cik")
 
 
 def _growth_out(source: str) -> str:

@@ -108,10 +108,11 @@ class Workbook:
         return annual.headline_series(self.metrics)
 
     def pivot(self, name: str, years: list[int] | None = None) -> DataFrame:
-        """By default the years that the statement has, of which a company's window holds a few."""
+        """Lines by the position of the year in each company's window (y0 newest); with `years`, by those
+        calendar years instead (columns fy<year>), for a reader who names them."""
         rows = self.statement(name)
         if years is None:
-            years = sorted(row[0] for row in rows.select("fiscal_year").distinct().collect())
+            return annual.pivot_window(rows, self.settings.years_history)
         return annual.pivot_statement(rows, years)
 
     # quarterly

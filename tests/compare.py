@@ -39,7 +39,9 @@ def differences(query, sql, spark, con, sf_dir):
     frame = query(spark, sf_dir)
     got_names = sorted(frame.columns)
     got = sorted((tuple(normal(row[n]) for n in got_names) for row in frame.collect()), key=repr)
-    relation = con.execute(sql)
+    # as the driver does: the SQL must stand as a view
+    con.execute(f"CREATE OR REPLACE VIEW oracle_view AS {sql}")
+    relation = con.execute("SELECT * FROM oracle_view")
     names = [d[0] for d in relation.description]
     rows = relation.fetchall()
     if sorted(names) != got_names:
