@@ -1,7 +1,8 @@
 """Filings as they arrive.
 
 `refresh_available` takes whatever documents are new, recomputes the companies they touch, and
-publishes those that reconcile. `latest_filed_available` keeps the last filed value of every key
+publishes those that reconcile. Facts and lines are bucket stores (`sources/buckets.py`): a batch reads and
+rewrites only the buckets of the companies it touches and commits with a manifest. `latest_filed_available` keeps the last filed value of every key
 as streaming state. Both write one folder per micro-batch, so a repeated batch replaces itself.
 """
 
@@ -21,6 +22,7 @@ from ledgerspan.plans.workbook import Workbook
 from ledgerspan.schemas import COMPANY_FACTS, FACTS, REVISIONS
 from ledgerspan.settings import Settings
 from ledgerspan.sources.company_facts import facts_from
+from ledgerspan.sources.buckets import BucketStore
 from ledgerspan.sources.tables import stage
 
 LINES = T.StructType([
@@ -51,20 +53,22 @@ def _stored(spark: SparkSession, path: str, schema: T.StructType, *partitions: s
         return spark.createDataFrame([], full)
 
 
+def facts_store(spark: SparkSession, root: str) -> BucketStore:
+    return BucketStore(spark, f"{root}/facts", FACTS)
+
+
+def lines_store(spark: SparkSession, root: str) -> BucketStore:
+    return BucketStore(spark, f"{root}/lines", LINES)
+
+
 def current_lines(spark: SparkSession, root: str, before_batch: int | None = None,
                   folders: list[int] | None = None) -> DataFrame:
     """The published annual lines: per company those of its last published batch.
 
     `before_batch` gives the state ahead of a batch, also when that batch is run again; `folders` reads
-    only those company folders.
+    only those company buckets, one folder each, however many batches came before.
     """
-    lines = _stored(spark, f"{root}/lines", LINES, "batch", "bucket")
-    if folders is not None:
-        lines = lines.filter(F.col("bucket").isin(folders))
-    if before_batch is not None:
-        lines = lines.filter(F.col("batch") < before_batch)
-    newest = lines.groupBy("cik").agg(F.max("batch").alias("batch"))
-    return lines.join(newest, ["cik", "batch"], "left_semi").select(*LINES.fieldNames())
+    return lines_store(spark, root).read(folders, before_batch).select(*LINES.fieldNames())
 
 
 def revision_log(spark: SparkSession, root: str) -> DataFrame:
@@ -73,34 +77,39 @@ def revision_log(spark: SparkSession, root: str) -> DataFrame:
 
 def _process(batch: DataFrame, batch_id: int, root: str, run_date: str, settings: Settings) -> None:
     spark = batch.sparkSession
-    arrived = facts_from(batch, settings).withColumn("bucket", bucket_of(F.col("cik"), settings))
-    (arrived.hint("rebalance", "bucket").sortWithinPartitions("bucket", "cik", "concept")
-     .write.mode("overwrite").partitionBy("bucket").parquet(f"{root}/facts/batch={batch_id}"))
-
-    stored = _stored(spark, f"{root}/facts", FACTS, "batch", "bucket")
-    this_batch = stored.filter(F.col("batch") == batch_id)
-    touched = this_batch.select("cik", "bucket").distinct()
-    # At most `company_folders` numbers reach the driver, to prune folders; companies stay a join.
-    folders = [row["bucket"] for row in this_batch.select("bucket").distinct().collect()]
+    work = f"{root}/work/batch={batch_id}"
+    arrived = stage(facts_from(batch, settings).withColumn("bucket", bucket_of(F.col("cik"), settings)),
+                    f"{work}/arrived")
+    # At most `company_folders` numbers reach the driver, to choose buckets; companies stay a join.
+    folders = sorted(row["bucket"] for row in arrived.select("bucket").distinct().collect())
     if not folders:
         return
-    facts = (stored.filter((F.col("batch") <= batch_id) & F.col("bucket").isin(folders))
-             .join(touched.select("cik"), "cik", "left_semi").select(*FACTS.fieldNames()))
+    touched = arrived.select("cik").distinct()
+
+    # facts: the touched buckets as they were, plus what arrived, as their new version
+    store = facts_store(spark, root)
+    merged = (store.read(folders, batch_id).withColumn("bucket", bucket_of(F.col("cik"), settings))
+              .unionByName(arrived.select(*FACTS.fieldNames(), "bucket")).dropDuplicates())
+    store.commit(batch_id, merged.sortWithinPartitions("bucket", "cik", "concept"), "bucket", folders)
+    facts = store.read(folders, batch_id + 1).join(touched, "cik", "left_semi")
 
-    work = f"{root}/work/batch={batch_id}"
     wb = Workbook(facts, settings)
     lines = stage(wb.statement_lines.select(*LINES.fieldNames()), f"{work}/lines")
     wb = wb.override(statement_lines=lines)
     passing = stage(wb.company_gate, f"{work}/gate").filter("passed").select("cik")
     published = lines.join(passing, "cik", "left_semi")
 
-    before = current_lines(spark, root, batch_id, folders).join(passing, "cik", "left_semi")
+    before = current_lines(spark, root, batch_id, folders)
     changed = revisions.detect_revisions(
-        revisions.cell_snapshot(before), revisions.cell_snapshot(published), run_date, settings)
+        revisions.cell_snapshot(before.join(passing, "cik", "left_semi")), revisions.cell_snapshot(published),
+        run_date, settings)
     changed.select(*REVISIONS.fieldNames()).write.mode("overwrite").parquet(
         f"{root}/revisions/batch={batch_id}")
-    (published.withColumn("bucket", bucket_of(F.col("cik"), settings)).hint("rebalance", "bucket")
-     .write.mode("overwrite").partitionBy("bucket").parquet(f"{root}/lines/batch={batch_id}"))
+    # lines: companies that passed replace theirs; the others of these buckets keep what they had
+    kept = before.join(passing, "cik", "left_anti")
+    lines_store(spark, root).commit(
+        batch_id, kept.unionByName(published).withColumn("bucket", bucket_of(F.col("cik"), settings)),
+        "bucket", folders)
 
 
 def _run(writer: DataStreamWriter, checkpoint: str, handle: Callable[[DataFrame, int], None]) -> None:

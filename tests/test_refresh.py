@@ -170,8 +170,11 @@ def test_incremental_refresh_touches_only_companies_that_filed(spark, tmp_path):
     assert lines.count() == len(before)
     log = dicts(incremental.revision_log(spark, root))
     assert [(r["cik"], r["key"]) for r in log] == [("0000000000", "income|Operating Income|FY2000")]
-    batches = spark.read.parquet(f"{root}/lines").select("cik", "batch").distinct().collect()
-    assert sorted((r["batch"], r["cik"]) for r in batches if r["batch"] == 1) == [(1, "0000000000")]
+    # batch 1 rewrote the bucket of the one company that filed, and nothing else
+    store = incremental.lines_store(spark, root)
+    moved = {b for b, v in store.manifest().items() if v == 1}
+    assert len(moved) == 1 and all(f"/v=1/bucket=" in p for p in store.paths(moved))
+    assert {r["cik"] for r in store.read(moved).collect()} >= {"0000000000"}
     incremental.refresh_available(spark, landing, root, "2003-01-01")
     assert incremental.current_lines(spark, root).count() == len(before)
 
