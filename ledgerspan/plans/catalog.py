@@ -189,6 +189,11 @@ def incremental_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
     return incremental.current_lines(spark, _two_drops(spark, sf_dir))
 
 
+def incremental_quarterly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quarterly lines kept up to date by the same two drops, only for the companies each touches."""
+    return incremental.current_quarterly(spark, _two_drops(spark, sf_dir))
+
+
 def incremental_revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The restatements that the second drop brings to what the first one published."""
     log = incremental.revision_log(spark, _two_drops(spark, sf_dir))
@@ -323,6 +328,7 @@ QUERIES: dict[str, Query] = {
     "export_payload": export_payload,
     "export_entries": export_entries,
     "incremental_refresh": incremental_refresh,
+    "incremental_quarterly": incremental_quarterly,
     "incremental_revisions": incremental_revisions,
     "latest_filed_stream": latest_filed_stream,
 }

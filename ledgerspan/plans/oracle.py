@@ -689,6 +689,8 @@ FINAL: dict[str, str] = {
     "revision_log": "SELECT * FROM history",
     "incremental_refresh": """SELECT * FROM lines WHERE cik NOT IN (
         SELECT cik FROM verdicts WHERE status = 'fail')""",
+    "incremental_quarterly": """SELECT * FROM quarter_lines WHERE cik NOT IN (
+        SELECT cik FROM verdicts WHERE status = 'fail')""",
     "latest_filed_stream": "SELECT cik, concept, unit, period_start, period_end, value, filed, accn FROM ("
         + DEDUP + ")",
 }

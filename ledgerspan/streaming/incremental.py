@@ -61,6 +61,18 @@ def lines_store(spark: SparkSession, root: str) -> BucketStore:
     return BucketStore(spark, f"{root}/lines", LINES)
 
 
+def quarterly_store(spark: SparkSession, root: str, settings: Settings = Settings()) -> BucketStore:
+    """Quarterly lines; their columns are those of the workbook's, taken from an empty plan."""
+    schema = Workbook(spark.createDataFrame([], FACTS), settings).quarterly_statement_lines.schema
+    return BucketStore(spark, f"{root}/quarterly", schema)
+
+
+def current_quarterly(spark: SparkSession, root: str, before_batch: int | None = None,
+                      folders: list[int] | None = None) -> DataFrame:
+    """The published quarterly lines, per company those of its last published batch."""
+    return quarterly_store(spark, root).read(folders, before_batch)
+
+
 def current_lines(spark: SparkSession, root: str, before_batch: int | None = None,
                   folders: list[int] | None = None) -> DataFrame:
     """The published annual lines: per company those of its last published batch.
@@ -110,6 +122,12 @@ def _process(batch: DataFrame, batch_id: int, root: str, run_date: str, settings
     lines_store(spark, root).commit(
         batch_id, kept.unionByName(published).withColumn("bucket", bucket_of(F.col("cik"), settings)),
         "bucket", folders)
+    # marts that depend on the lines follow in the same buckets: the quarterly lines of the companies that passed
+    quarters = quarterly_store(spark, root, settings)
+    fresh = wb.quarterly_statement_lines.join(passing, "cik", "left_semi")
+    stale = quarters.read(folders, batch_id).join(passing, "cik", "left_anti")
+    quarters.commit(batch_id, stale.unionByName(fresh.select(*quarters.schema.fieldNames()))
+                    .withColumn("bucket", bucket_of(F.col("cik"), settings)), "bucket", folders)
 
 
 def _run(writer: DataStreamWriter, checkpoint: str, handle: Callable[[DataFrame, int], None]) -> None:
