@@ -153,20 +153,34 @@ def latest_filed(stream: DataFrame) -> DataFrame:
     return stream.groupBy(*KEYS).agg(chosen.alias("chosen")).select(*KEYS, "chosen.*")
 
 
+def _merge_changes(batch: DataFrame, batch_id: int, store: BucketStore, work: str, settings: Settings) -> None:
+    """The changed keys of a micro-batch replace theirs in the buckets they fall in; other keys stay."""
+    changes = batch.withColumn("bucket", bucket_of(F.col("cik"), settings))
+    staged = stage(changes, f"{work}/batch={batch_id}")
+    folders = sorted(row["bucket"] for row in staged.select("bucket").distinct().collect())
+    if not folders:
+        return
+    old = store.read(folders, batch_id).withColumn("bucket", bucket_of(F.col("cik"), settings))
+    same = F.lit(True)
+    for key in KEYS:
+        same = same & old[key].eqNullSafe(staged[key])
+    kept = old.join(staged, same, "left_anti")
+    store.commit(batch_id, kept.unionByName(staged.select(*store.schema.fieldNames(), "bucket")), "bucket", folders)
+
+
 def latest_filed_available(spark: SparkSession, landing: str, root: str,
-                           files_per_batch: int | None = None) -> DataFrame:
+                           files_per_batch: int | None = None, settings: Settings = Settings()) -> DataFrame:
     """Run the stream over all new fact files and return the last filed row of every key.
 
-    Each micro-batch writes the keys it changed; the newest batch of a key is its current row.
+    Each micro-batch merges the keys it changed into a bucket store of current rows, so a read costs one
+    folder per bucket however many batches ran.
     """
     reader = spark.readStream.schema(FACTS)
     if files_per_batch is not None:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     stream = reader.parquet(landing)
-    _run(latest_filed(stream).writeStream.outputMode("update"), f"{root}/checkpoint",
-         lambda batch, batch_id: batch.write.mode("overwrite").parquet(
-             f"{root}/changes/batch={batch_id}"))
     row = T.StructType([FACTS[name] for name in [*KEYS, "value", "filed", "accn"]])
-    changes = _stored(spark, f"{root}/changes", row, "batch")
-    newest = F.max_by(F.struct("value", "filed", "accn"), "batch")
-    return changes.groupBy(*KEYS).agg(newest.alias("newest")).select(*KEYS, "newest.*")
+    store = BucketStore(spark, f"{root}/current", row)
+    _run(latest_filed(stream).writeStream.outputMode("update"), f"{root}/checkpoint",
+         lambda batch, batch_id: _merge_changes(batch, batch_id, store, f"{root}/work", settings))
+    return store.read()
