@@ -45,6 +45,16 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def staged_bytes(staged: DataFrame) -> int:
+    """Bytes on disk of a staged table: a measured size, on which a broadcast may be decided."""
+    jvm, conf = staged.sparkSession._jvm, staged.sparkSession._jsc.hadoopConfiguration()
+    total = 0
+    for name in staged.inputFiles():
+        path = jvm.org.apache.hadoop.fs.Path(name)
+        total += path.getFileSystem(conf).getFileStatus(path).getLen()
+    return total
+
+
 def discard(staged: DataFrame) -> None:
     """Removes the files of a staged table that nothing reads any more."""
     jvm, conf = staged.sparkSession._jvm, staged.sparkSession._jsc.hadoopConfiguration()

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerspan.llm.common import SPACE, kind_of, stage
+from ledgerspan.llm.common import SPACE, kind_of, stage, staged_bytes
 from ledgerspan.llm.repeats import Hashes
 
 #: Tokens of a window; shorter items are matched as a whole, down to LEAST_TOKENS, below which nothing is said.
@@ -31,7 +31,9 @@ RUN, RUN_LITERALS = 13, 7
 #: Bits of the filter of benchmark windows that tasks get; its size is fixed, whatever the benchmark's.
 FILTER_BITS = 1 << 23
 #: Words kept per Python worker before the memory is emptied, and characters of text looked at side by side.
-REMEMBERED, TEXT_AT_ONCE = 500_000, 1 << 21
+REMEMBERED, TEXT_AT_ONCE = 65_536, 1 << 19
+#: Leaked ids, as written, up to which their table is broadcast to the anti join; beyond it both sides shuffle.
+BROADCAST_BYTES = 64 << 20
 
 NUM, NAME, UNIT = "<num>", "<name>", "<unit>"
 #: Fixed words: numbers and units (English, with the signs and abbreviations used everywhere).
@@ -355,7 +357,15 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverag
     return gathered.mapInArrow(judge, schema).where((F.col("coverage") >= coverage) | F.col("excerpt")).drop("excerpt")
 
 
-def without_leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """Drops every document that holds a benchmark item; columns as they came. Rows without a doc_id stay."""
-    leaked = matches(docs, benchmark, **options).select("doc_id").distinct()
+def without_leaks(docs: DataFrame, benchmark: DataFrame, broadcast_bytes: int = BROADCAST_BYTES,
+                  **options) -> DataFrame:
+    """Drops every document that holds a benchmark item; columns as they came. Rows without a doc_id stay.
+
+    The leaked ids are written first, so their size is measured, not guessed: up to `broadcast_bytes` they go to every
+    task and the texts stay where they are; a larger set is joined by shuffling both sides.
+    """
+    leaked = stage(matches(docs, benchmark, **options).select("doc_id").where(F.col("doc_id").isNotNull()).distinct(),
+                   "leaked-ids")
+    if staged_bytes(leaked) <= broadcast_bytes:
+        leaked = F.broadcast(leaked)
     return docs.join(leaked, "doc_id", "left_anti").select(*docs.columns)
