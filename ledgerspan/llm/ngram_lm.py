@@ -181,7 +181,7 @@ class Block:
         """One row per part and order: the block's hashes there and how often its training texts have them."""
         bits, rows = parts.bit_length() - 1, []
         for order, hashes, place in ((1, self.words, self.token), (2, self.pairs, self.pair)):
-            counts = np.bincount(place[self.train], minlength=len(hashes)).astype(np.uint32)
+            counts = np.bincount(place[self.train], minlength=len(hashes)).astype(np.uint64)
             part = (hashes >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(hashes), np.int64)
             edges = np.searchsorted(part, np.arange(parts + 1))
             keys = pack_keys(hashes, bits, KEY_BYTES[order])
@@ -206,12 +206,13 @@ def unpack_keys(data: bytes, size: int) -> np.ndarray:
 
 
 def planes(counts: np.ndarray) -> bytes:
-    """The counts' lowest bytes, then the next ones, and so on: most are zero and take no room when compressed."""
-    return counts.astype(np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes()
+    """The counts' lowest bytes, then the next ones, and so on: most are zero and take no room when compressed.
+    Counts are 64 bits wide, so no word is frequent enough to be cut."""
+    return counts.astype(np.uint64).view(np.uint8).reshape(-1, 8).T.tobytes()
 
 
 def from_planes(data: bytes) -> np.ndarray:
-    return np.frombuffer(data, np.uint8).reshape(4, -1).T.copy().view(np.uint32).ravel()
+    return np.frombuffer(data, np.uint8).reshape(8, -1).T.copy().view(np.uint64).ravel()
 
 
 def answer(requests: pd.DataFrame) -> pd.DataFrame:
@@ -220,7 +221,9 @@ def answer(requests: pd.DataFrame) -> pd.DataFrame:
     keys = [unpack_keys(x, size) for x in requests["hashes"]]
     counts = np.concatenate([from_planes(x) for x in requests["counts"]])
     distinct, place = np.unique(np.concatenate(keys), return_inverse=True)
-    sums = np.minimum(np.bincount(place, counts, len(distinct)), 2**32 - 1).astype(np.uint32)[place]
+    # summed in 64-bit integers: a float sum would round beyond 2^53
+    order = np.argsort(place, kind="stable")
+    sums = np.add.reduceat(counts[order], np.searchsorted(place[order], np.arange(len(distinct))))[place]
     edges = np.cumsum([0] + [len(k) for k in keys])
     replies = [planes(sums[a:b]) for a, b in zip(edges, edges[1:])]
     return pd.DataFrame({"block": requests["block"], "part": requests["part"], "counts": replies})

@@ -8,6 +8,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 
@@ -294,3 +295,16 @@ def test_decontamination_of_long_excerpts(spark):
 def test_folds_of_null_keys(spark):
     frame = spark.createDataFrame([(None,), (5,)], "k long")
     assert [r[0] for r in frame.select(crc_fold(frame["k"], 10)).collect()] == [0, zlib.crc32(b"5") % 10]
+
+
+def test_lm_counts_are_not_cut_at_32_bits():
+    """Two blocks that each saw a word four billion times hear back eight billion, not 2^32 - 1."""
+    size = ngram_lm.KEY_BYTES[1]
+    hashes = np.array([0x1234_5678_9ABC_DEF0, 0xFEDC_BA98_7654_3210], np.uint64)
+    keys = ngram_lm.pack_keys(hashes, 0, size).tobytes()
+    requests = pd.DataFrame({"part": [0, 0], "block": [1, 2], "hashes": [keys, keys],
+                             "counts": [ngram_lm.planes(np.array([4_000_000_000, 3], np.uint64)),
+                                        ngram_lm.planes(np.array([4_000_000_000, 2**40], np.uint64))]})
+    replies = ngram_lm.answer(requests)
+    for data in replies["counts"]:
+        assert ngram_lm.from_planes(data).tolist() == [8_000_000_000, 2**40 + 3]
