@@ -13,13 +13,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerspan.llm.common import ascii_lower, stage
+from ledgerspan.llm.common import ascii_lower, stage, staged_bytes
 
 ORDERS = 6
 #: Weight of the shorter context in a smoothed probability, and the size of the alphabet below all contexts.
 PRIOR, ALPHABET = 2.0, 256
-#: Places of the model's table: it never has more entries, whatever the corpus, so it may go to every task.
-SLOTS = 1 << 17
+#: Gram values, as written, up to which they go to every task; beyond it positions and grams meet in a shuffle.
+BROADCAST_BYTES = 64 << 20
 #: One labelled URL in so many is held out of training for the threshold.
 CALIBRATION_FOLD = 5
 #: Scores per character are counted in bins of 1 / BINS for the threshold, within -LIMIT to LIMIT.
@@ -61,6 +61,12 @@ def gram_counts(labelled: DataFrame, orders: int = ORDERS) -> DataFrame:
         F.sum("accepted").alias("na"), F.sum(1 - F.col("accepted")).alias("nr")).withColumn("order", F.length("gram"))
 
 
+def context_totals(counts: DataFrame) -> DataFrame:
+    """(context, ta, tr): how often accepted and rejected URLs hold each context, the empty one included."""
+    context = F.substring("gram", 1, F.col("order") - 1)
+    return counts.groupBy(context.alias("context")).agg(F.sum("na").alias("ta"), F.sum("nr").alias("tr"))
+
+
 def smoothed(counts: DataFrame, orders: int = ORDERS) -> DataFrame:
     """(gram, order, seen, llr): log ratio of the smoothed probabilities of a gram's last character after the others.
 
@@ -68,8 +74,7 @@ def smoothed(counts: DataFrame, orders: int = ORDERS) -> DataFrame:
     distribution over ALPHABET characters.
     """
     context = F.substring("gram", 1, F.col("order") - 1)
-    totals = counts.groupBy(context.alias("context"), "order").agg(F.sum("na").alias("ta"), F.sum("nr").alias("tr"))
-    all_ = counts.withColumn("context", context).join(totals, ["context", "order"])
+    all_ = counts.withColumn("context", context).join(context_totals(counts), "context")
 
     def with_lower(level: DataFrame, lower_a: Column, lower_r: Column) -> DataFrame:
         return level.select(
@@ -87,49 +92,40 @@ def smoothed(counts: DataFrame, orders: int = ORDERS) -> DataFrame:
     return reduce(DataFrame.unionByName, levels).select("gram", "order", "seen", F.log(F.col("pa") / F.col("pr")).alias("llr"))
 
 
-def _slot(gram: Column, slots: int) -> Column:
-    return F.pmod(F.xxhash64(gram), F.lit(slots)).cast("int")
-
-
-def _check(gram: Column) -> Column:
-    return F.shiftrightunsigned(F.xxhash64(gram), 32)
-
-
-def model_table(model: DataFrame, slots: int = SLOTS) -> DataFrame:
-    """One row, `model`: an array of `slots` longs, in each the check bits and the log ratio (in 2^-16) of a gram.
+def gram_values(ends: DataFrame, model: DataFrame, totals: DataFrame, orders: int = ORDERS) -> DataFrame:
+    """(g, value) for each distinct g of ends: the log ratio of both models for g's last character after the rest.
 
-    Of grams that fall into one place the most frequent stays; a URL then uses the shorter context instead.
+    Every gram of the model is there, none is dropped. Seen grams are closed under suffixes, so the longest seen
+    suffix of g gives the smoothed ratio, and each longer suffix that neither model has multiplies both probabilities
+    by PRIOR / (n(its context) + PRIOR), which is 1 for an unseen context. A character unseen in both models backs
+    off from the uniform distribution, whose ratio is 0.
     """
-    packed = F.shiftleft(_check("gram"), 32).bitwiseOR(
-        F.round(F.col("llr") * 65536).cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))
-    best = model.groupBy(_slot(F.col("gram"), slots).alias("slot")).agg(
-        F.max_by(packed, F.struct("seen", "gram")).alias("packed"))
-    every = model.sparkSession.range(slots).select(F.col("id").cast("int").alias("slot"))
-    rows = every.join(best, "slot", "left").select(F.struct("slot", F.coalesce("packed", F.lit(0)).alias("v")).alias("x"))
-    return rows.agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["v"]).alias("model"))
-
-
-def score(s: Column, model: Column, slots: int = SLOTS, orders: int = ORDERS) -> Column:
-    """Mean log ratio per character; at each place the longest context that the model has is taken."""
-    def at(i: Column) -> Column:
-        found = []
-        for order in range(orders, 0, -1):
-            gram = F.substring(s, i - (order - 1), F.lit(order))
-            entry = F.get(model, _slot(gram, slots))
-            hit = (i >= order) & (F.shiftrightunsigned(entry, 32) == _check(gram))
-            value = F.shiftright(F.shiftleft(entry, 32), 32) / F.lit(65536.0)
-            found.append(F.when(hit, value))
-        return F.coalesce(*found, F.lit(0.0))
-
-    places = F.when(F.length(s) >= 2, F.sequence(F.lit(2), F.length(s))).otherwise(F.array().cast("array<int>"))
-    total = F.aggregate(places, F.lit(0.0), lambda acc, i: acc + at(i))
-    return total / F.greatest(F.length(s) - 1, F.lit(1))
-
-
-def with_score(urls: DataFrame, table: DataFrame, slots: int = SLOTS, orders: int = ORDERS) -> DataFrame:
-    """urls (s, ...) with `score`; the model comes as the value of a scalar subquery."""
-    return urls.withColumn("__model", table.scalar()).withColumn(
-        "score", score(F.col("s"), F.col("__model"), slots, orders)).drop("__model")
+    grams = ends.select("g").distinct()
+    suffixes = grams.select("g", F.explode(F.sequence(F.lit(1), F.length("g"))).alias("order")).withColumn(
+        "gram", F.expr("substring(g, length(g) - order + 1, order)")).withColumn(
+        "context", F.expr("substring(gram, 1, order - 1)"))
+    found = suffixes.join(model.select("gram", "llr"), "gram", "left").join(totals, "context", "left")
+    hit = F.col("llr").isNotNull()
+    weight = F.log((F.coalesce("tr", F.lit(0)) + PRIOR) / (F.coalesce("ta", F.lit(0)) + PRIOR))
+    return found.groupBy("g").agg(
+        (F.coalesce(F.max_by(F.when(hit, F.col("llr")), F.when(hit, F.col("order"))), F.lit(0.0))
+         + F.coalesce(F.sum(F.when(~hit, weight)), F.lit(0.0))).alias("value"))
+
+
+def with_score(urls: DataFrame, model: DataFrame, totals: DataFrame, orders: int = ORDERS,
+               broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """urls (s, ...) with `score`: the mean log ratio per character after the first, each character read after up to
+    orders - 1 characters before it. The distinct grams of the URLs are valued once, against the whole model."""
+    keyed = stage(urls.withColumn("__row", F.monotonically_increasing_id()), "url-rows")
+    place = F.explode(F.when(F.length("s") >= 2, F.sequence(F.lit(2), F.length("s"))).otherwise(F.array().cast("array<int>")))
+    ends = keyed.select("__row", "s", place.alias("i")).select(
+        "__row", F.expr(f"substring(s, greatest(1, i - {orders - 1}), least(i, {orders}))").alias("g"))
+    values = stage(gram_values(ends, model, totals, orders), "url-gram-values")
+    if staged_bytes(values) <= broadcast_bytes:
+        values = F.broadcast(values)
+    sums = ends.join(values, "g").groupBy("__row").agg(F.sum("value").alias("__total"))
+    per_char = F.coalesce(F.col("__total"), F.lit(0.0)) / F.greatest(F.length("s") - 1, F.lit(1))
+    return keyed.join(sums, "__row", "left").withColumn("score", per_char).drop("__row", "__total")
 
 
 def threshold_of(scored: DataFrame) -> DataFrame:
@@ -151,12 +147,12 @@ def threshold_of(scored: DataFrame) -> DataFrame:
     return best.select(F.coalesce("t", F.lit(0.0)).alias("threshold"))
 
 
-def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str]], orders: int = ORDERS, slots: int = SLOTS) -> DataFrame:
+def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str]], orders: int = ORDERS) -> DataFrame:
     """page_id, host, path, rule, verdict and score of every row of pages (page_id, url).
 
     The rules are a short list of the caller's. Training counts grams in a partial aggregate, so a host with a
-    third of all rows costs no more than others; the trained table has a fixed size and goes to every task as the
-    value of a scalar subquery. A null or empty URL has neither rule nor likelihood and is blocked. Repeated
+    third of all rows costs no more than others; the whole model is kept, and each distinct gram of the URLs is
+    valued once in a join with it. A null or empty URL has neither rule nor likelihood and is blocked. Repeated
     rows each get a row. Without labelled URLs of both kinds the threshold is 0, and a score of 0 allows.
     """
     url = F.col("url")
@@ -166,10 +162,11 @@ def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str]], orders: int =
         "s", (F.col("found.verdict") == "allow").cast("long").alias("accepted"),
         (F.pmod(F.xxhash64("s"), F.lit(CALIBRATION_FOLD)) == 0).alias("held"))
     counts = stage(gram_counts(labelled.where(~F.col("held")), orders), "url-grams")
-    table = stage(model_table(smoothed(counts, orders), slots), "url-model")
-    rated = with_score(labelled.where("held").select("accepted", "s"), table, slots, orders)
+    model = stage(smoothed(counts, orders), "url-model")
+    totals = stage(context_totals(counts), "url-contexts")
+    rated = with_score(labelled.where("held").select("accepted", "s"), model, totals, orders)
     threshold = stage(threshold_of(rated), "url-threshold")
-    scored = with_score(read, table, slots, orders)
+    scored = with_score(read, model, totals, orders)
     allowed = (F.length("s") > 1) & (F.col("score") >= threshold.scalar())
     verdict = F.coalesce(F.col("found.verdict"), F.when(allowed, "allow").otherwise("block"))
     return scored.select("page_id", "host", "path", F.col("found.rule").alias("rule"), verdict.alias("verdict"), "score")

@@ -55,17 +55,17 @@ def test_hosts_paths_and_rules(spark):
         "http://c.net?d=/es/": ("c.net", "", None, None), "http://e.net#/fr/": ("e.net", "", None, None)}
     pages = spark.createDataFrame([(k, u, "h") for k, u in enumerate([*cases, None, *cases])],
                                   "page_id long, url string, host string")
-    got = url_filter.judge_urls(pages, URL_RULES, orders=3, slots=1 << 10).collect()
+    got = url_filter.judge_urls(pages, URL_RULES, orders=3).collect()
     assert len(got) == 2 * len(cases) + 1
     urls = [*cases, None, *cases]
     for r in got:
         host, path, rule, verdict = cases.get(urls[r["page_id"]], ("", "", None, "block"))
         assert (r["host"], r["path"], r["rule"]) == (host, path, rule)
         assert r["verdict"] in ("allow", "block") and (verdict is None or r["verdict"] == verdict)
-    assert url_filter.judge_urls(pages.limit(0), URL_RULES, orders=2, slots=1 << 10).count() == 0
+    assert url_filter.judge_urls(pages.limit(0), URL_RULES, orders=2).count() == 0
 
 
-def test_scores_equal_a_plain_markov_model(spark):
+def test_scores_equal_the_likelihood_ratio_of_two_markov_models(spark):
     rows = [("^good.site/a", 1), ("^good.site/b", 1), ("^bad.site/x", 0), ("^bad.site/yy", 0), ("^bad.site/x", 0)]
     orders, table = 3, {}
     for s, y in rows:
@@ -82,18 +82,17 @@ def test_scores_equal_a_plain_markov_model(spark):
     def score(s):
         total = 0.0
         for i in range(1, len(s)):
-            for o in range(min(orders, i + 1), 0, -1):
-                if (gram := s[i - o + 1:i + 1]) in table:
-                    total += math.log(probability(gram, 0) / probability(gram, 1))
-                    break
+            gram = s[max(0, i - orders + 1):i + 1]
+            total += math.log(probability(gram, 0) / probability(gram, 1))
         return total / max(len(s) - 1, 1)
 
     counts = url_filter.gram_counts(spark.createDataFrame(rows, "s string, accepted long"), orders)
-    model = url_filter.model_table(url_filter.smoothed(counts, orders), 1 << 12)
-    asked = ["^good.site/b", "^bad.site/zz", "^", "", "^new", "^" + "good" * 300]
-    frame = spark.createDataFrame([(k, s) for k, s in enumerate(asked)], "k int, s string")
-    got = {r["k"]: r["score"] for r in url_filter.with_score(frame, model, 1 << 12, orders).collect()}
-    assert [got[k] for k in range(len(asked))] == pytest.approx([score(s) for s in asked], abs=1e-4)
+    model, totals = url_filter.smoothed(counts, orders), url_filter.context_totals(counts)
+    asked = ["^good.site/b", "^bad.site/zz", "^", "", "^new", "^" + "good" * 300, "^goox", "^bad.site/x"]
+    frame = spark.createDataFrame([(k, s) for k, s in enumerate(asked * 2)], "k int, s string")
+    got = {r["k"]: r["score"] for r in url_filter.with_score(frame, model, totals, orders).collect()}
+    assert len(got) == 2 * len(asked)
+    assert [got[k] for k in range(2 * len(asked))] == pytest.approx([score(s) for s in asked * 2], abs=1e-9)
 
 
 def test_threshold_parts_the_classes(spark):
