@@ -51,8 +51,8 @@ CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 SIGMA = 1.0
 #: Lines whose smoothed ratio is above this share of the standard deviation are content.
 THRESHOLD = 1.0
-#: The region is the smallest element with so much of the content lines' text.
-REGION_SHARE = 0.8
+#: Inline elements, which never stand as a region of their own.
+INLINE = frozenset("p b i em strong span a font u small sup sub code q cite abbr mark".split())
 
 
 class Lines(HTMLParser):
@@ -181,21 +181,22 @@ def main_text(html: str | None, sigma: float = SIGMA, threshold: float = THRESHO
 
 
 def smallest_region(lines: list[tuple], names: dict[int, str]) -> int | None:
-    """The smallest element with REGION_SHARE of these lines' text, or the article around it; None: the whole page."""
-    weight: dict[int, int] = {}
-    depth: dict[int, tuple[int, ...]] = {}
-    for text, _, _, _, path in lines:
-        for k, element in enumerate(path):
-            weight[element] = weight.get(element, 0) + len(text)
-            depth[element] = path[: k + 1]
-    total = sum(len(line[0]) for line in lines)
-    fit = [e for e, w in weight.items() if w >= REGION_SHARE * total and names[e] not in ("p", "b", "i", "em", "strong", "span",
-                                                                                     "a", "font", "u")]
-    if not fit:
+    """The smallest block element that holds every one of these lines, or the article or main around it;
+    None: the whole page. All content lines lie inside it, so no part of the article is cut away."""
+    if not lines:
         return None
-    best = max(fit, key=lambda e: len(depth[e]))
-    around = [e for e in depth[best] if names[e] in ("article", "main")]
-    return around[-1] if around else best
+    common = list(lines[0][4])
+    for line in lines[1:]:
+        path = line[4]
+        n = 0
+        while n < len(common) and n < len(path) and common[n] == path[n]:
+            n += 1
+        del common[n:]
+    blocks = [e for e in common if names[e] not in INLINE]
+    if not blocks:
+        return None
+    around = [e for e in blocks if names[e] in ("article", "main")]
+    return around[-1] if around else blocks[-1]
 
 
 def extract_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

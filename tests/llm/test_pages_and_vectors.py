@@ -176,3 +176,16 @@ def test_pipeline_stages_keep_the_columns_of_documents(spark):
     nothing = docs.limit(0)
     for _, function in corpus_pipeline.STAGES:
         assert function(spark, nothing, sf).count() == 0
+
+
+def test_html_region_keeps_title_lead_end_and_every_article():
+    body = "".join(f"<p>Paragraph {k} of the story goes on with plenty of words in it.</p>" for k in range(30))
+    page = ("<html><body><nav><a href='/'>Home</a></nav><div class='post'><h1>The Title</h1><p>A short lead.</p>"
+            f"<div class='body'>{body}</div><p>The end.</p></div><footer>(c) site</footer></body></html>")
+    text = html_text.main_text(page)
+    assert text.startswith("The Title A short lead. Paragraph 0") and text.endswith("Paragraph 29 of the story goes on "
+                                                                                     "with plenty of words in it. The end.")
+    assert "Home" not in text and "(c) site" not in text
+    two = ("<body><article><p>" + "Long first article text here. " * 40 + "</p></article>"
+           "<article><p>Second, short article.</p></article></body>")
+    assert html_text.main_text(two).endswith("Second, short article.")
