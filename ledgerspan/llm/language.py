@@ -6,7 +6,8 @@ character n-grams, from the longest length at which any is known to shorter ones
 
 from __future__ import annotations
 
-import re
+
+import regex
 from collections import Counter
 from collections.abc import Iterator
 from itertools import islice
@@ -15,20 +16,23 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ledgerspan.llm.common import crc_fold, kind_of
 
-#: Documented bounds of the training sample (documents per language, on average, and languages) and of the model.
-SAMPLE_PER_LANGUAGE, LANGUAGES = 4000, 500
-WORDS, GRAMS = 80_000, 40_000
+#: Documented bounds of the training sample (documents per language, on average) and of the model: the most
+#: frequent words, and n-grams of each length, of every language. No language is left out.
+SAMPLE_PER_LANGUAGE = 4000
+WORDS, GRAMS = 20_000, 10_000
 LONGEST_GRAM = 4
 SMOOTHING = 0.5
 #: A text's log-likelihoods are scaled to so many words for the score, or it would be 1 for every longer text.
 EVIDENCE_WORDS = 20
 #: Scores of words kept per Python worker before the memory is emptied.
 REMEMBERED = 200_000
-RUN = re.compile(r"[^\W\d_]+")
+#: Words: a letter, then letters and combining marks; numbers such as ½, ² or Ⅷ are no letters.
+RUN = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 
 
 class Model(NamedTuple):
@@ -72,11 +76,12 @@ def train(labelled: DataFrame, sample: int = SAMPLE_PER_LANGUAGE, words: int = W
     """Fits the model on a sample of labelled rows (doc_id, text, lang), whole texts.
 
     Of each language a hash of doc_id and text picks `sample` documents on average, whatever the size of the
-    corpus; the most frequent `words` words and `grams` n-grams of each length are kept. These bounds, and that
-    of LANGUAGES (the most frequent ones), are what makes the model small enough for every task.
+    corpus; the most frequent `words` words and `grams` n-grams of each length of every language are kept, ranked
+    within each language, so a small language keeps its own words however many others come. The model grows with
+    the number of languages only.
     """
     rows = labelled.where("lang is not null and text is not null")
-    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()  # one row per language
     if not sizes:
         return EMPTY
     share = F.element_at(F.create_map(*[x for r in sizes for x in (F.lit(r["lang"]), F.lit(sample / r["n"]))]), F.col("lang"))
@@ -84,7 +89,10 @@ def train(labelled: DataFrame, sample: int = SAMPLE_PER_LANGUAGE, words: int = W
     chosen = rows.where(draw < share).select("lang", "text")
     counts = chosen.mapInArrow(count_units, "lang string, kind int, unit string, n long").groupBy(
         "kind", "unit", "lang").agg(F.sum("n").alias("n"))
-    units = counts.groupBy("kind", "unit").agg(F.sum("n").alias("total"), F.map_from_entries(
+    ranked = counts.withColumn("rank", F.row_number().over(
+        Window.partitionBy("kind", "lang").orderBy(F.desc("n"), "unit")))
+    kept = ranked.where(F.col("rank") <= F.when(F.col("kind") == 0, words).otherwise(grams)).select("kind", "unit").distinct()
+    units = counts.join(kept, ["kind", "unit"]).groupBy("kind", "unit").agg(F.sum("n").alias("total"), F.map_from_entries(
         F.collect_list(F.struct("lang", "n"))).alias("by"))  # one entry per language
     units = units.persist()
     totals = {r["lang"]: r["n"] for r in counts.where("kind = 0").groupBy("lang").agg(F.sum("n").alias("n")).collect()}
@@ -96,8 +104,8 @@ def train(labelled: DataFrame, sample: int = SAMPLE_PER_LANGUAGE, words: int = W
     names: list[list[str]] = [[], []]
     logs: list[list[np.ndarray]] = [[], []]
     for kind in range(LONGEST_GRAM + 1):
-        top = units.where(F.col("kind") == kind).orderBy(F.desc("total"), "unit").limit(
-            words if kind == 0 else grams).select("unit", in_order.alias("n")).collect()
+        top = units.where(F.col("kind") == kind).orderBy(F.desc("total"), "unit").select(
+            "unit", in_order.alias("n")).collect()
         raw = np.array([r["n"] for r in top], dtype=float).reshape(len(top), len(languages))
         logs[kind > 0].append(np.log((raw + SMOOTHING) / (raw.sum(0) + SMOOTHING * (len(top) + 1))).astype(np.float32))
         names[kind > 0] += [r["unit"] for r in top]

@@ -308,3 +308,8 @@ def test_lm_counts_are_not_cut_at_32_bits():
     replies = ngram_lm.answer(requests)
     for data in replies["counts"]:
         assert ngram_lm.from_planes(data).tolist() == [8_000_000_000, 2**40 + 3]
+
+
+def test_language_words_are_letters_and_marks():
+    assert language.RUN.findall("½ ² Ⅷ 42") == []
+    assert language.RUN.findall("नमस्ते café") == ["नमस्ते", "café"]
