@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import importlib.metadata
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -15,8 +16,14 @@ TEXTS_AT_ONCE = 128
 
 
 def tokenizer_digest(path: str) -> str:
+    """SHA-256 of the vocabulary file and of the name and version of the library that reads it: a new release of
+    the library may split texts otherwise, so its counts are kept apart."""
+    library = "sentencepiece" if path.endswith(".model") else "tokenizers"
+    digest = hashlib.sha256(f"{library} {importlib.metadata.version(library)}\n".encode())
     with open(path, "rb") as file:
-        return hashlib.file_digest(file, "sha256").hexdigest()
+        for chunk in iter(lambda: file.read(1 << 20), b""):
+            digest.update(chunk)
+    return digest.hexdigest()
 
 
 def counter(path: str) -> Callable[[list[str]], list[int]]:
