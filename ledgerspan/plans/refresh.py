@@ -20,7 +20,7 @@ from ledgerspan.sources.notes import read_notes
 from ledgerspan.sources.snapshots import SnapshotStore
 from ledgerspan.sources.tables import load_facts, scratch_path, stage
 
-SILVER = ("statement_lines", "annual_facts", "flow_standalone", "quarter_spine",
+SILVER = ("annual_facts", "statement_lines", "flow_standalone", "quarter_spine",
           "quarterly_statement_lines", "cash_anchor")
 
 GOLD = ("metrics", "ratios", "common_size", "variance_yoy", "balance_check", "cash_reconciliation",

@@ -156,6 +156,7 @@ class Settings:
     visible_quarters: int = 12
     high_roe: float = 1.5
     company_folders: int = 64                # folders of the incremental facts table
+    bucket_slices: int = 8                   # parts in which one folder's facts are merged
 
     @property
     def mapped_concepts(self) -> list[str]:

@@ -72,11 +72,14 @@ class BucketStore:
             return self.spark.createDataFrame([], self.schema)
         return self.spark.read.schema(self.schema).parquet(*paths)
 
-    def commit(self, batch: int, rows: DataFrame, bucket: str, touched: list[int]) -> dict[int, int]:
+    def commit(self, batch: int, rows: DataFrame, bucket: str, touched: list[int],
+               balance: bool = True) -> dict[int, int]:
         """Writes `rows` (column `bucket` names each row's bucket) as the new content of the `touched` buckets and
-        commits. A touched bucket without rows becomes empty. Returns the new manifest."""
+        commits. A touched bucket without rows becomes empty. Returns the new manifest. Rows that are already dealt
+        by bucket, as after a merge, are written as they lie with `balance=False`, without another shuffle."""
         folder = f"{self.root}/v={batch}"
-        rows.select(*self.schema.fieldNames(), bucket).hint("rebalance", bucket) \
+        rows = rows.select(*self.schema.fieldNames(), bucket)
+        (rows.hint("rebalance", bucket) if balance else rows) \
             .write.mode("overwrite").partitionBy(bucket).parquet(folder)
         written = set()
         if self._fs.exists(self._path(folder)):

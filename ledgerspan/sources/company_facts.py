@@ -70,18 +70,25 @@ def companies_from(documents: DataFrame, tickers: DataFrame | None = None) -> Da
 
 
 def to_documents(facts: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """Facts back to document text, one document per filing so that no document is unbounded."""
+    """Facts back to document text, one document per filing so that no document is unbounded.
+
+    Facts are dealt once by filing; tags and documents are then put together where they lie. A tag has few units.
+    """
     point = F.struct(
         F.date_format("period_start", "yyyy-MM-dd").alias("start"),
         F.date_format("period_end", "yyyy-MM-dd").alias("end"),
         F.col("value").alias("val"), "accn", F.col("fiscal_year").alias("fy"),
         F.col("fiscal_period").alias("fp"), "form",
         F.date_format("filed", "yyyy-MM-dd").alias("filed"), "frame")
-    by_unit = (facts.groupBy("cik", "accn", "concept", "unit")
-               .agg(F.collect_list(point).alias("points")))
-    by_concept = (by_unit.groupBy("cik", "accn", "concept")
-                  .agg(F.map_from_entries(F.collect_list(F.struct("unit", "points")))
-                       .alias("units")))
+    by_concept = (facts.repartition("cik", "accn").groupBy("cik", "accn", "concept")
+                  .agg(F.collect_list(F.struct("unit", point.alias("point"))).alias("entries")))
+
+    def points(unit: Column) -> Column:
+        own = F.filter("entries", lambda entry: entry["unit"] == unit)
+        return F.struct(unit.alias("unit"), F.transform(own, lambda entry: entry["point"]).alias("points"))
+
+    units = F.map_from_entries(F.transform(F.array_distinct(F.col("entries.unit")), points))
+    by_concept = by_concept.select("cik", "accn", "concept", units.alias("units"))
     by_filing = (by_concept.groupBy("cik", "accn")
                  .agg(F.map_from_entries(F.collect_list(
                      F.struct("concept", F.struct("units")))).alias("concepts")))

@@ -18,6 +18,7 @@ from pyspark.sql.streaming import DataStreamWriter
 
 from ledgerspan.functions.pick import version_order
 from ledgerspan.operators import revisions
+from ledgerspan.plans.refresh import with_silver
 from ledgerspan.plans.workbook import Workbook
 from ledgerspan.schemas import COMPANY_FACTS, FACTS, REVISIONS
 from ledgerspan.settings import Settings
@@ -87,27 +88,41 @@ def revision_log(spark: SparkSession, root: str) -> DataFrame:
     return _stored(spark, f"{root}/revisions", REVISIONS, "batch").withColumnRenamed("batch", "seq")
 
 
+def _dealt(rows: DataFrame, settings: Settings) -> DataFrame:
+    """Distinct facts, dealt by bucket and slice: one shuffle serves the comparison of whole rows and the write, as
+    equal rows share tag and filing and so their slice."""
+    part = F.pmod(F.xxhash64("concept", "accn"), F.lit(settings.bucket_slices)).alias("slice")
+    return (rows.select(*FACTS.fieldNames(), "bucket", part).repartition("bucket", "slice").dropDuplicates().drop("slice")
+            .sortWithinPartitions("bucket", "concept", "cik"))
+
+
 def _process(batch: DataFrame, batch_id: int, root: str, run_date: str, settings: Settings) -> None:
     spark = batch.sparkSession
     work = f"{root}/work/batch={batch_id}"
-    arrived = stage(facts_from(batch, settings).withColumn("bucket", bucket_of(F.col("cik"), settings)),
-                    f"{work}/arrived")
-    # At most `company_folders` numbers reach the driver, to choose buckets; companies stay a join.
-    folders = sorted(row["bucket"] for row in arrived.select("bucket").distinct().collect())
+    store = facts_store(spark, root)
+    rows = facts_from(batch, settings).withColumn("bucket", bucket_of(F.col("cik"), settings))
+    if not store.manifest(batch_id):
+        # nothing to merge with: what arrived is the first version of its buckets and is written once
+        folders = sorted(store.commit(batch_id, _dealt(rows, settings), "bucket", [], balance=False))
+        arrived = store.read(folders, batch_id + 1)
+    else:
+        arrived = stage(rows, f"{work}/arrived")
+        # At most `company_folders` numbers reach the driver, to choose buckets; companies stay a join.
+        folders = sorted(row["bucket"] for row in arrived.select("bucket").distinct().collect())
+        if folders:
+            # facts: the touched buckets as they were, plus what arrived, as their new version
+            old = store.read(folders, batch_id).withColumn("bucket", bucket_of(F.col("cik"), settings))
+            merged = old.unionByName(arrived.select(*FACTS.fieldNames(), "bucket"))
+            store.commit(batch_id, _dealt(merged, settings), "bucket", folders, balance=False)
     if not folders:
         return
-    touched = arrived.select("cik").distinct()
-
-    # facts: the touched buckets as they were, plus what arrived, as their new version
-    store = facts_store(spark, root)
-    merged = (store.read(folders, batch_id).withColumn("bucket", bucket_of(F.col("cik"), settings))
-              .unionByName(arrived.select(*FACTS.fieldNames(), "bucket")).dropDuplicates())
-    store.commit(batch_id, merged.sortWithinPartitions("bucket", "cik", "concept"), "bucket", folders)
+    # a small table of its own, so that its measured size decides the joins and no join reads what arrived again
+    touched = stage(arrived.select("cik").distinct(), f"{work}/touched")
     facts = store.read(folders, batch_id + 1).join(touched, "cik", "left_semi")
 
-    wb = Workbook(facts, settings)
-    lines = stage(wb.statement_lines.select(*LINES.fieldNames()), f"{work}/lines")
-    wb = wb.override(statement_lines=lines)
+    # the relations that lines, gate and quarters share are written once, as the full job does
+    wb = with_silver(Workbook(facts, settings), f"{work}/silver")
+    lines = wb.statement_lines.select(*LINES.fieldNames())
     passing = stage(wb.company_gate, f"{work}/gate").filter("passed").select("cik")
     published = lines.join(passing, "cik", "left_semi")
 
