@@ -204,9 +204,11 @@ def latest_filed_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The facts table replayed as a stream of files; state keeps the last filed value per key."""
     facts = base_facts(spark, sf_dir)
     landed = tables.scratch_path(spark, "replay")
-    facts.repartition(4, "accn").write.parquet(landed)
+    # two micro-batches whatever the size; their files grow in number with the table's, so that no task writes a share of it
+    files = 2 * max(2, len(facts.inputFiles()))
+    facts.repartition(files, "accn").write.parquet(landed)
     return incremental.latest_filed_available(
-        spark, landed, tables.scratch_path(spark, "latest"), files_per_batch=2)
+        spark, landed, tables.scratch_path(spark, "latest"), files_per_batch=files // 2)
 
 
 def _of(name: str, *ratio_columns: str) -> Query:

@@ -171,6 +171,10 @@ def latest_filed(stream: DataFrame) -> DataFrame:
 def _merge_changes(batch: DataFrame, batch_id: int, store: BucketStore, work: str, settings: Settings) -> None:
     """The changed keys of a micro-batch replace theirs in the buckets they fall in; other keys stay."""
     changes = batch.withColumn("bucket", bucket_of(F.col("cik"), settings))
+    if not store.manifest(batch_id):
+        # nothing to merge with: the batch is written once, as the first version of its buckets
+        store.commit(batch_id, changes, "bucket", [])
+        return
     staged = stage(changes, f"{work}/batch={batch_id}")
     folders = sorted(row["bucket"] for row in staged.select("bucket").distinct().collect())
     if not folders:

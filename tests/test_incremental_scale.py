@@ -42,3 +42,23 @@ def test_a_batch_writes_shared_relations_once_and_the_first_one_its_facts_once(s
     incremental.refresh_available(spark, landing, root, "2002-01-01")
     assert stored.read().count() == facts.distinct().count() + 2
 
+
+def test_the_replay_grows_in_files_and_its_first_batch_is_written_once(spark, monkeypatch, tmp_path):
+    base_facts(spark, SF).repartition(5).write.parquet(str(tmp_path / "five"))
+    facts = spark.read.parquet(str(tmp_path / "five"))
+    seen = {}
+
+    def latest(spark, landed, root, files_per_batch):
+        seen.update(landed=landed, files=files_per_batch, root=root)
+        return available(spark, landed, root, files_per_batch)
+
+    available = incremental.latest_filed_available
+    monkeypatch.setattr(catalog, "base_facts", lambda *_: facts)
+    monkeypatch.setattr(incremental, "latest_filed_available", latest)
+    got = catalog.latest_filed_stream(spark, SF)
+    assert seen["files"] == 5 and len(spark.read.parquet(seen["landed"]).inputFiles()) > 4
+    assert not os.path.exists(f"{seen['root']}/work/batch=0")
+    want = latest_filed(facts, incremental.KEYS, ["value", "filed", "accn"], missing_date_wins=True)
+    columns = [*incremental.KEYS, "value", "filed", "accn"]
+    assert sorted(map(str, dicts(got.select(*columns)))) == sorted(map(str, dicts(want.select(*columns))))
+    assert got.where(F.col("cik").isNull()).count() == 0
