@@ -3,8 +3,12 @@
 Nodes are runs of three words, edges the four-word runs that join two overlapping nodes; only the edges are
 counted from the text. The count of a shorter run is the flow out of its node plus the runs that end a piece
 (piece-end corrections): f(w1..wk) = sum of f(w1..wk w) over all w, plus the pieces that end in w1..wk. So the
-text is read once, as one edge per word position and three tails per piece, and every count is exact. The text
-is shuffled once; only the frequent longer runs and the partial sums of one- and two-word runs move again.
+text is read once, as one edge per word position and three tails per piece, and every count is exact.
+
+The list only needs runs of `LEAST` or more, and a run is no more frequent than any pair of neighbours in it. So
+words are counted first, then pairs of frequent words, both as partial sums in the tasks that read the text, and
+only the edges and tails whose pairs are all frequent travel; the others cannot reach the floor. The frequent words
+and pairs are staged and broadcast below a measured size; beyond it the same joins shuffle.
 
 Unary paths (a node with one edge in and one edge out, of equal weight) are compacted: such a node's three-word
 run only ever occurs inside one longer run, so it is marked; `unitigs` returns the compacted paths of the
@@ -16,12 +20,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerspan.llm.common import ascii_lower, stage
+from ledgerspan.llm.common import LOWER, UPPER, stage, staged_bytes
 
-#: Fixed values of the contract: piece and word separators, the floor of a candidate, the score's scale, the
+#: Fixed values of the contract: piece separators (words: blank and tab), the floor of a candidate, the score's scale, the
 #: share of a longer candidate that makes a shorter one go, and the size of each language's list.
-PIECE_SPLIT = r"[.,;:!?\x0A-\x0D]"
-WORD_SPLIT = r"[\x20\x09]+"
+PIECE_MARKS = ".,;:!?\n\x0B\x0C\r"
 LEAST = 30
 SCALE = 2_000_000
 COVERED_PERCENT = 80
@@ -31,15 +34,17 @@ RANK_PARTS = 64
 LONGEST = 4
 #: Parts per pair of first words: runs with the same two first words are dealt by a hash of their third.
 SALTS = 8
+#: Staged bytes of frequent words or pairs up to which they are broadcast.
+BROADCAST_BYTES = 64 << 20
 
 
 def _pieces(docs: DataFrame, text: str, lang: str) -> DataFrame:
     """(lang, w): the words of each piece; null lang is 'und', null text has no piece with words."""
-    body = ascii_lower(F.coalesce(F.col(text), F.lit("")))
+    # one translation lower-cases A-Z and makes all separators of a kind one character, so that the splits need no pattern
+    body = F.translate(F.coalesce(F.col(text), F.lit("")), UPPER + PIECE_MARKS + "\t", LOWER + "\n" * len(PIECE_MARKS) + " ")
     pieces = docs.select(F.coalesce(F.col(lang), F.lit("und")).alias("lang"),
-                         F.explode(F.split(body, PIECE_SPLIT)).alias("piece"))
-    return pieces.select("lang", F.filter(F.split("piece", WORD_SPLIT), lambda w: w != "").alias("w")) \
-        .where(F.size("w") > 0)
+                         F.explode(F.split(body, "\n")).alias("piece")).where(F.col("piece") != "")
+    return pieces.select("lang", F.array_remove(F.split("piece", " "), "").alias("w")).where(F.size("w") > 0)
 
 
 def _run(w: Column, start: Column, length: int) -> Column:
@@ -57,13 +62,62 @@ def _events(docs: DataFrame, text: str, lang: str) -> DataFrame:
     return pieces.select("lang", F.explode(F.concat(edges, tails)).alias("e")).select("lang", "e.k", "e.g")
 
 
-def graph(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
+def _small(runs: DataFrame, broadcast_bytes: int) -> DataFrame:
+    return F.broadcast(runs) if staged_bytes(runs) <= broadcast_bytes else runs
+
+
+def _ahead(w: str, count: int) -> Column:
+    """For each place of `w` the words w1..w<count> from there on, null behind the end of the piece."""
+    shifted = [F.col(w) if k == 1 else F.slice(w, F.lit(k), F.size(w)) for k in range(1, count + 1)]
+    return F.explode(F.arrays_zip(*[x.alias(f"w{k}") for k, x in enumerate(shifted, start=1)])).alias("x")
+
+
+def frequent_words(docs: DataFrame, text: str, lang: str, least: int) -> tuple[DataFrame, DataFrame]:
+    """(lang, g, c) of the words from `least` on, and (lang, n) with all word occurrences."""
+    pieces = _pieces(docs, text, lang)
+    words = pieces.select("lang", F.explode("w").alias("g")).groupBy("lang", "g").agg(F.count(F.lit(1)).alias("c"))
+    rest = F.when(F.col("c") >= least, F.col("g"))
+    # the words below the floor are summed up in one row a language, so one pass gives both tables
+    words = stage(words.groupBy("lang", rest.alias("g")).agg(F.sum("c").alias("c")), "collocation-words")
+    return words.where(F.col("g").isNotNull()), words.groupBy("lang").agg(F.sum("c").alias("n"))
+
+
+def frequent_pairs(docs: DataFrame, words: DataFrame, text: str, lang: str, least: int,
+                   broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """(lang, g, c) of the pairs from `least` on, counted among pairs of frequent words only."""
+    known = _small(words, broadcast_bytes).select("lang", "g")
+    pairs = _pieces(docs, text, lang).select("lang", _ahead("w", 2)).select("lang", "x.*").where(F.col("w2").isNotNull())
+    for name in ("w1", "w2"):
+        pairs = pairs.join(known.withColumnRenamed("g", name), ["lang", name])
+    counted = pairs.groupBy("lang", F.concat_ws(" ", "w1", "w2").alias("g")).agg(F.count(F.lit(1)).alias("c"))
+    return stage(counted.where(F.col("c") >= least), "collocation-pairs")
+
+
+def _frequent_events(docs: DataFrame, pairs: DataFrame, text: str, lang: str, broadcast_bytes: int) -> DataFrame:
+    """(lang, g): for each place the longest run of three or four words whose pairs are all frequent."""
+    known = _small(pairs, broadcast_bytes).select("lang", "g")
+    places = _pieces(docs, text, lang).select("lang", _ahead("w", LONGEST)).select("lang", "x.*").where(F.col("w3").isNotNull())
+    places = places.withColumns({f"p{k}": F.concat_ws(" ", f"w{k}", f"w{k + 1}") for k in (1, 2)}).withColumn(
+        "p3", F.when(F.col("w4").isNotNull(), F.concat_ws(" ", "w3", "w4")))
+    for name in ("p1", "p2"):
+        places = places.join(known.withColumnRenamed("g", name), ["lang", name])
+    last = known.withColumnRenamed("g", "p3").withColumn("goes_on", F.lit(True))
+    places = places.join(last, ["lang", "p3"], "left")
+    return places.select("lang", F.concat_ws(" ", "p1", F.when(F.col("goes_on"), F.col("p3")).otherwise(F.col("w3"))).alias("g"))
+
+
+def graph(docs: DataFrame, text: str = "text", lang: str = "lang", pairs: DataFrame | None = None,
+          broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """(lang, p2, s, k, g, c): the weighted edges (k = 4) and piece tails (k < 4) with their counts.
 
+    With `pairs` (lang, g), the frequent ones, only edges of frequent pairs and the ends of such chains are there, from
+    which the counts of runs of three and four words follow.
+
     The one exchange of the text deals rows by their first two words and a hash of the third (SALTS parts), so
     an edge, and every node of three words with all edges leaving it, meet in one task. Only (lang, g) travel:
     the part and k are computed from g on both sides."""
-    events = _events(docs, text, lang).select("lang", "g")
+    events = _events(docs, text, lang).select("lang", "g") if pairs is None \
+        else _frequent_events(docs, pairs, text, lang, broadcast_bytes)
     p2 = F.substring_index("g", " ", 2)
     part = F.pmod(F.xxhash64(F.coalesce(F.try_element_at(F.split("g", " "), F.lit(3)), F.lit(""))), F.lit(SALTS))
     counted = events.repartition("lang", p2, part).groupBy("lang", p2, part, "g").agg(F.count(F.lit(1)).alias("c"))
@@ -85,7 +139,8 @@ def run_counts(edges: DataFrame, least: int = 1) -> DataFrame:
         "lang", F.col("m").cast("int").alias("m"), "g", F.col("c").cast("long").alias("c"))
 
 
-def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = LEAST, top: int = TOP) -> DataFrame:
+def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = LEAST, top: int = TOP,
+                 broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Each language's `top` phrases of 2 to 4 words by the score of their weakest cut.
 
     a = f(phrase) >= least; a cut after k words scores floor(SCALE * a / (f(left) + f(right))), exactly (decimal
@@ -96,10 +151,12 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least:
     count each time; equal scores are ordered by a, then phrase in UTF-8 byte order; only the text and lang
     columns are read, so other columns of any name are ignored. An empty table gives an empty result.
     """
-    # the frequent runs and every word: one small table, staged so that the text is dealt once
-    counts = stage(run_counts(graph(docs, text, lang), least), "collocation-counts")
-    words = counts.where(F.col("m") == 1).groupBy("lang").agg(F.sum("c").alias("n"))
-    frequent = counts.where(F.col("c") >= least)
+    # the frequent runs: one small table, staged so that the text is dealt once
+    known, words = frequent_words(docs, text, lang, least)
+    pairs = frequent_pairs(docs, known, text, lang, least, broadcast_bytes)
+    longer = run_counts(graph(docs, text, lang, pairs, broadcast_bytes), least).where(F.col("m") >= 3)
+    shorter = known.withColumn("m", F.lit(1)).unionByName(pairs.withColumn("m", F.lit(2)))
+    frequent = stage(shorter.unionByName(longer).select("lang", "m", "g", "c"), "collocation-counts")
     candidates = frequent.where(F.col("m") >= 2).select("lang", "m", F.col("g").alias("phrase"), F.col("c").alias("a"))
 
     cuts = candidates.select("*", F.explode(F.sequence(F.lit(1), F.col("m") - 1)).alias("k"))

@@ -71,3 +71,16 @@ def test_sub_runs_of_a_frequent_longer_run_go(spark):
     # "alpha beta" has 80 occurrences, the 4-word run 40: 100*40 < 80*80, so it stays; the inner runs of 40 go
     assert set(got.phrase) == {"alpha beta gamma delta", "alpha beta"}
     same(got, oracle(data, 30, 2000))
+
+
+def test_rare_edges_do_not_travel_and_every_join_way_agrees(spark):
+    data = rows() + [(100 + k, f"alpha beta gamma delta. u{k} v{k} alpha beta x{k} y{k}", "en", None) for k in range(40)]
+    docs = frame(spark, data)
+    known, total = collocations.frequent_words(docs, "text", "lang", 30)
+    pairs = collocations.frequent_pairs(docs, known, "text", "lang", 30)
+    assert {(r.lang, r.g): r.c for r in pairs.collect() if r.lang == "en"} == {
+        ("en", "alpha beta"): 80, ("en", "beta gamma"): 40, ("en", "gamma delta"): 40}
+    edges = [r for r in collocations.graph(docs, pairs=pairs).collect() if r.lang == "en"]
+    assert sorted((r.g, r.c) for r in edges) == [("alpha beta gamma delta", 40), ("beta gamma delta", 40)]
+    for room in (1 << 20, 0):
+        same(collocations.collocations(docs, broadcast_bytes=room).toPandas(), oracle(data, 30, 2000))
