@@ -114,25 +114,35 @@ class Templates:
         self.lit, self.form = np.zeros((room, 2), np.uint64), np.zeros((room, 2), np.uint64)
         self.count, self.ends = np.zeros(room, np.int64), np.zeros(room, bool)
 
-    def _remember(self, key: int, word: bytes) -> int:
-        row = self.rows[key] = len(self.rows)
-        text = word.decode()
-        self.ends[row] = text[-1] in ENDS
-        plain = text if text.isalnum() else text[:-1]
-        if plain.isalpha() and text[-1] != "_" and (low := plain.lower()) not in SPECIAL:
-            # most words: letters, perhaps one mark behind
-            named = plain[1:].islower() and plain[0].isupper()
-            if named or plain.islower():
-                self.lit[row, 0] = _hash(low)
-                self.form[row, 0] = NAME_HASH if named else self.lit[row, 0]
-                self.count[row] = 1
-                return row
-        forms = canonical(text)
-        self.count[row] = len(forms)
-        for k, (form, value) in enumerate(forms):
-            self.form[row, k] = _hash(form)
-            self.lit[row, k] = _hash(value) if form == NAME else self.form[row, k]
-        return row
+    def _remember(self, first: int, words: list[bytes]) -> None:
+        """Rows first, first + 1, ... for these words, put into the arrays side by side."""
+        lit, form, count, ends, others = [], [], [], [], []
+        for row, word in enumerate(words, start=first):
+            text = word.decode()
+            ends.append(text[-1] in ENDS)
+            plain = text if text.isalnum() else text[:-1]
+            if plain.isalpha() and text[-1] != "_" and (low := plain.lower()) not in SPECIAL:
+                # most words: letters, perhaps one mark behind
+                named = not (lower := plain.islower()) and plain[1:].islower() and plain[0].isupper()
+                if lower or named:
+                    value = _hash(low)
+                    lit.append(value)
+                    form.append(NAME_HASH if named else value)
+                    count.append(1)
+                    continue
+            lit.append(0)
+            form.append(0)
+            count.append(0)
+            others.append((row, text))
+        rows = slice(first, first + len(words))
+        self.lit[rows, 0], self.form[rows, 0] = np.array(lit, np.uint64), np.array(form, np.uint64)
+        self.count[rows], self.ends[rows] = count, ends
+        for row, text in others:
+            forms = canonical(text)
+            self.count[row] = len(forms)
+            for k, (form_k, value) in enumerate(forms):
+                self.form[row, k] = _hash(form_k)
+                self.lit[row, k] = _hash(value) if form_k == NAME else self.form[row, k]
 
     def tokens(self, texts: list) -> Tokens:
         raw = [(text or "").encode() for text in texts]
@@ -145,9 +155,13 @@ class Templates:
         distinct, first, place = np.unique(Hashes(data, 1).between(begin, end, 0), return_index=True, return_inverse=True)
         if len(self.rows) + len(distinct) > self.room:
             self.__init__(max(self.room, 2 * len(distinct)))
-        known = self.rows
-        rows = np.fromiter((known[key] if key in known else self._remember(key, data[begin[k]:end[k]])
-                            for key, k in zip(distinct.tolist(), first.tolist())), np.int64, len(distinct))[place]
+        known, keys = self.rows, distinct.tolist()
+        fresh = [k for k, key in enumerate(keys) if key not in known]
+        if fresh:
+            row, at = len(known), first[fresh]
+            known.update(zip([keys[k] for k in fresh], range(row, row + len(fresh))))
+            self._remember(row, [data[b:e] for b, e in zip(begin[at].tolist(), end[at].tolist())])
+        rows = np.fromiter(map(known.__getitem__, keys), np.int64, len(keys))[place]
         start = np.ones(len(rows), bool)
         start[1:] = (text[1:] != text[:-1]) | self.ends[rows[:-1]]
         word = np.repeat(np.arange(len(rows)), self.count[rows])
