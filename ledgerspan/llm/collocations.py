@@ -3,12 +3,14 @@
 Nodes are runs of three words, edges the four-word runs that join two overlapping nodes; only the edges are
 counted from the text. The count of a shorter run is the flow out of its node plus the runs that end a piece
 (piece-end corrections): f(w1..wk) = sum of f(w1..wk w) over all w, plus the pieces that end in w1..wk. So the
-text is read once, as one edge per word position and three tails per piece, and every count is exact.
+text is read as one edge per word position and three tails per piece, and every count is exact.
 
 The list only needs runs of `LEAST` or more, and a run is no more frequent than any pair of neighbours in it. So
-words are counted first, then pairs of frequent words, both as partial sums in the tasks that read the text, and
-only the edges and tails whose pairs are all frequent travel; the others cannot reach the floor. The frequent words
-and pairs are staged and broadcast below a measured size; beyond it the same joins shuffle.
+words are counted first, then pairs of frequent words, both as partial sums in the tasks that read them, and
+only the edges and tails whose pairs are all frequent travel; the others cannot reach the floor. Frequent words get
+numbers, and the text is written once more as places: the numbers of a word and the three behind it. Pairs and edges are counted
+from these numbers, and words are put back into what reaches the floor. The frequent words and pairs are staged
+and broadcast below a measured size; beyond it the same joins shuffle.
 
 Unary paths (a node with one edge in and one edge out, of equal weight) are compacted: such a node's three-word
 run only ever occurs inside one longer run, so it is marked; `unitigs` returns the compacted paths of the
@@ -20,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerspan.llm.common import LOWER, UPPER, stage, staged_bytes
+from ledgerspan.llm.common import LOWER, UPPER, discard, stage, staged_bytes
 
 #: Fixed values of the contract: piece separators (words: blank and tab), the floor of a candidate, the score's scale, the
 #: share of a longer candidate that makes a shorter one go, and the size of each language's list.
@@ -34,17 +36,21 @@ RANK_PARTS = 64
 LONGEST = 4
 #: Parts per pair of first words: runs with the same two first words are dealt by a hash of their third.
 SALTS = 8
+#: Frequent words are numbered within this many hashed parts, so that no window holds all; a part has room for 2^31 / ID_PARTS.
+ID_PARTS = 1024
 #: Staged bytes of frequent words or pairs up to which they are broadcast.
 BROADCAST_BYTES = 64 << 20
 
 
 def _pieces(docs: DataFrame, text: str, lang: str) -> DataFrame:
-    """(lang, w): the words of each piece; null lang is 'und', null text has no piece with words."""
-    # one translation lower-cases A-Z and makes all separators of a kind one character, so that the splits need no pattern
-    body = F.translate(F.coalesce(F.col(text), F.lit("")), UPPER + PIECE_MARKS + "\t", LOWER + "\n" * len(PIECE_MARKS) + " ")
+    """(lang, w): the words of each piece, none for a blank one; null lang is 'und', null text has no piece."""
+    # a text of ASCII alone has no other capitals than A-Z; a translation goes through its characters one by one
+    body = F.coalesce(F.col(text), F.lit(""))
+    body = F.when(F.octet_length(body) == F.char_length(body), F.lower(body)).otherwise(F.translate(body, UPPER, LOWER))
+    body = F.replace(body, F.lit("\t"), F.lit(" "))
     pieces = docs.select(F.coalesce(F.col(lang), F.lit("und")).alias("lang"),
-                         F.explode(F.split(body, "\n")).alias("piece")).where(F.col("piece") != "")
-    return pieces.select("lang", F.array_remove(F.split("piece", " "), "").alias("w")).where(F.size("w") > 0)
+                         F.explode(F.split(body, f"[{PIECE_MARKS}]")).alias("piece")).where(F.col("piece") != "")
+    return pieces.select("lang", F.array_remove(F.split("piece", " "), "").alias("w"))
 
 
 def _run(w: Column, start: Column, length: int) -> Column:
@@ -73,54 +79,100 @@ def _ahead(w: str, count: int) -> Column:
 
 
 def frequent_words(docs: DataFrame, text: str, lang: str, least: int) -> tuple[DataFrame, DataFrame]:
-    """(lang, g, c) of the words from `least` on, and (lang, n) with all word occurrences."""
+    """(lang, g, c, id) of the words from `least` on, id a number of its own for each, and (lang, n) with all word occurrences."""
     pieces = _pieces(docs, text, lang)
     words = pieces.select("lang", F.explode("w").alias("g")).groupBy("lang", "g").agg(F.count(F.lit(1)).alias("c"))
     rest = F.when(F.col("c") >= least, F.col("g"))
     # the words below the floor are summed up in one row a language, so one pass gives both tables
-    words = stage(words.groupBy("lang", rest.alias("g")).agg(F.sum("c").alias("c")), "collocation-words")
+    words = words.groupBy("lang", rest.alias("g")).agg(F.sum("c").alias("c")) \
+        .withColumn("part", F.pmod(F.xxhash64("lang", "g"), F.lit(ID_PARTS)).cast("int"))
+    place = F.row_number().over(Window.partitionBy("part").orderBy("lang", "g")) - 1
+    words = words.withColumn("place", place).select("lang", "g", "c", F.when(
+        F.col("place") < (1 << 31) // ID_PARTS, F.col("place") * ID_PARTS + F.col("part")).otherwise(
+        F.raise_error(F.lit("more frequent words than numbers")).cast("int")).alias("id"))
+    words = stage(words, "collocation-words")
     return words.where(F.col("g").isNotNull()), words.groupBy("lang").agg(F.sum("c").alias("n"))
 
 
+def numbered_places(docs: DataFrame, words: DataFrame, text: str, lang: str, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """(i1, i2, i3, i4): for each place in the text that begins with two of `words` (lang, g, id) the numbers of the four
+    words from there on; null for i3 and i4 that are none of them or behind the end of the piece. Numbers differ by language.
+
+    Words meet by 64 bits of their hash, which is a much faster key than two strings, and are then compared themselves (as
+    ranges, since an equality would become part of the key), so words with the same hash are told apart."""
+    known = _small(words, broadcast_bytes)
+    places = _pieces(docs, text, lang).select("lang", _ahead("w", LONGEST)).select("lang", "x.*").where(F.col("w2").isNotNull())
+    for k in range(1, LONGEST + 1):
+        numbers = known.select(F.xxhash64("lang", "g").alias(f"h{k}"), F.col("lang").alias(f"l{k}"), F.col("g").alias(f"g{k}"),
+                               F.col("id").alias(f"i{k}"))
+        same = (F.xxhash64("lang", f"w{k}") == F.col(f"h{k}")) & F.col(f"w{k}").between(F.col(f"g{k}"), F.col(f"g{k}")) \
+            & F.col("lang").between(F.col(f"l{k}"), F.col(f"l{k}"))
+        places = places.join(numbers, same, "inner" if k <= 2 else "left")
+    return stage(places.select(*[f"i{k}" for k in range(1, LONGEST + 1)]), "collocation-places")
+
+
 def frequent_pairs(docs: DataFrame, words: DataFrame, text: str, lang: str, least: int,
-                   broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """(lang, g, c) of the pairs from `least` on, counted among pairs of frequent words only."""
-    known = _small(words, broadcast_bytes).select("lang", "g")
-    pairs = _pieces(docs, text, lang).select("lang", _ahead("w", 2)).select("lang", "x.*").where(F.col("w2").isNotNull())
-    for name in ("w1", "w2"):
-        pairs = pairs.join(known.withColumnRenamed("g", name), ["lang", name])
-    counted = pairs.groupBy("lang", F.concat_ws(" ", "w1", "w2").alias("g")).agg(F.count(F.lit(1)).alias("c"))
-    return stage(counted.where(F.col("c") >= least), "collocation-pairs")
-
-
-def _frequent_events(docs: DataFrame, pairs: DataFrame, text: str, lang: str, broadcast_bytes: int) -> DataFrame:
-    """(lang, g): for each place the longest run of three or four words whose pairs are all frequent."""
-    known = _small(pairs, broadcast_bytes).select("lang", "g")
-    places = _pieces(docs, text, lang).select("lang", _ahead("w", LONGEST)).select("lang", "x.*").where(F.col("w3").isNotNull())
-    places = places.withColumns({f"p{k}": F.concat_ws(" ", f"w{k}", f"w{k + 1}") for k in (1, 2)}).withColumn(
-        "p3", F.when(F.col("w4").isNotNull(), F.concat_ws(" ", "w3", "w4")))
-    for name in ("p1", "p2"):
-        places = places.join(known.withColumnRenamed("g", name), ["lang", name])
-    last = known.withColumnRenamed("g", "p3").withColumn("goes_on", F.lit(True))
-    places = places.join(last, ["lang", "p3"], "left")
-    return places.select("lang", F.concat_ws(" ", "p1", F.when(F.col("goes_on"), F.col("p3")).otherwise(F.col("w3"))).alias("g"))
+                   broadcast_bytes: int = BROADCAST_BYTES, places: DataFrame | None = None) -> DataFrame:
+    """(lang, g, c, i1, i2) of the pairs from `least` on, counted among pairs of frequent words only; i1, i2: their numbers.
+    `places` are the numbered places of docs, if they are there already."""
+    if places is None:
+        places = numbered_places(docs, words, text, lang, broadcast_bytes)
+    counted = places.groupBy("i1", "i2").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= least)
+    first = words.select("lang", F.col("g").alias("w1"), F.col("id").alias("i1"))
+    second = words.select(F.col("g").alias("w2"), F.col("id").alias("i2"))
+    named = counted.join(first, "i1").join(second, "i2")
+    return stage(named.select("lang", F.concat_ws(" ", "w1", "w2").alias("g"), "c", "i1", "i2"), "collocation-pairs")
+
+
+def _frequent_edges(places: DataFrame, pairs: DataFrame, broadcast_bytes: int) -> DataFrame:
+    """(i1, i2, i3, i4, c): the longest run of three (null i4) or four words whose pairs are all frequent, from each place on.
+    Dealt by node (three words), so that it meets all edges leaving it in one task."""
+    known = _small(pairs, broadcast_bytes).select("i1", "i2")
+    chains = places.where(F.col("i3").isNotNull()).join(known, ["i1", "i2"]).join(known.toDF("i2", "i3"), ["i2", "i3"]) \
+        .join(known.toDF("i3", "i4").withColumn("goes_on", F.lit(True)), ["i3", "i4"], "left")
+    return chains.select("i1", "i2", "i3", F.when(F.col("goes_on"), F.col("i4")).alias("i4")) \
+        .repartition("i1", "i2", "i3").groupBy("i1", "i2", "i3", "i4").agg(F.count(F.lit(1)).alias("c"))
+
+
+def _named(runs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(lang, g, c): the runs of three or four numbers as words, put together from their pairs."""
+    named = runs.join(pairs.select("lang", F.col("g").alias("p1"), "i1", "i2"), ["i1", "i2"])
+    for k in (2, 3):
+        ahead = pairs.select(F.substring_index("g", " ", -1).alias(f"w{k + 1}"), F.col("i1").alias(f"i{k}"),
+                             F.col("i2").alias(f"i{k + 1}"))
+        named = named.join(ahead, [f"i{k}", f"i{k + 1}"], "inner" if k == 2 else "left")
+    return named.select("lang", F.concat_ws(" ", "p1", "w3", "w4").alias("g"), "c")
+
+
+def frequent_runs(places: DataFrame, pairs: DataFrame, least: int, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """(lang, m, g, c) for the runs of m = 3 or 4 words from `least` on, as run_counts gives them: a node's count is the flow
+    of the edges leaving it plus the chains ending in it. Both are summed by number; only what reaches `least` gets words."""
+    edges = _frequent_edges(places, pairs, broadcast_bytes)
+    nodes = edges.groupBy("i1", "i2", "i3").agg(F.sum("c").alias("c")).withColumn("i4", F.lit(None).cast("int"))
+    runs = nodes.unionByName(edges.where(F.col("i4").isNotNull())).where(F.col("c") >= least)
+    return _named(runs, pairs).select("lang", F.size(F.split("g", " ")).alias("m"), "g", "c")
 
 
 def graph(docs: DataFrame, text: str = "text", lang: str = "lang", pairs: DataFrame | None = None,
           broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """(lang, p2, s, k, g, c): the weighted edges (k = 4) and piece tails (k < 4) with their counts.
 
-    With `pairs` (lang, g), the frequent ones, only edges of frequent pairs and the ends of such chains are there, from
+    With `pairs` (lang, g, i1, i2), the frequent ones, only edges of frequent pairs and the ends of such chains are there, from
     which the counts of runs of three and four words follow.
 
-    The one exchange of the text deals rows by their first two words and a hash of the third (SALTS parts), so
-    an edge, and every node of three words with all edges leaving it, meet in one task. Only (lang, g) travel:
+    Without pairs, the one exchange of the text deals rows by their first two words and a hash of the third (SALTS parts),
+    so an edge, and every node of three words with all edges leaving it, meet in one task. Only (lang, g) travel:
     the part and k are computed from g on both sides."""
-    events = _events(docs, text, lang).select("lang", "g") if pairs is None \
-        else _frequent_events(docs, pairs, text, lang, broadcast_bytes)
     p2 = F.substring_index("g", " ", 2)
     part = F.pmod(F.xxhash64(F.coalesce(F.try_element_at(F.split("g", " "), F.lit(3)), F.lit(""))), F.lit(SALTS))
-    counted = events.repartition("lang", p2, part).groupBy("lang", p2, part, "g").agg(F.count(F.lit(1)).alias("c"))
+    if pairs is None:
+        events = _events(docs, text, lang).select("lang", "g")
+        counted = events.repartition("lang", p2, part).groupBy("lang", p2, part, "g").agg(F.count(F.lit(1)).alias("c"))
+    else:
+        ends = [pairs.select("lang", F.substring_index("g", " ", at).alias("g"), F.col(number).alias("id"))
+                for at, number in ((1, "i1"), (-1, "i2"))]
+        places = numbered_places(docs, ends[0].union(ends[1]).distinct(), text, lang, broadcast_bytes)
+        counted = _named(_frequent_edges(places, pairs, broadcast_bytes), pairs).select("lang", p2, part, "g", "c")
     return counted.toDF("lang", "p2", "s", "g", "c").withColumn("k", F.size(F.split("g", " ")))
 
 
@@ -153,10 +205,12 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least:
     """
     # the frequent runs: one small table, staged so that the text is dealt once
     known, words = frequent_words(docs, text, lang, least)
-    pairs = frequent_pairs(docs, known, text, lang, least, broadcast_bytes)
-    longer = run_counts(graph(docs, text, lang, pairs, broadcast_bytes), least).where(F.col("m") >= 3)
-    shorter = known.withColumn("m", F.lit(1)).unionByName(pairs.withColumn("m", F.lit(2)))
-    frequent = stage(shorter.unionByName(longer).select("lang", "m", "g", "c"), "collocation-counts")
+    places = numbered_places(docs, known, text, lang, broadcast_bytes)
+    pairs = frequent_pairs(docs, known, text, lang, least, broadcast_bytes, places)
+    longer = frequent_runs(places, pairs, least, broadcast_bytes)
+    shorter = [runs.select("lang", F.lit(m).alias("m"), "g", "c") for m, runs in ((1, known), (2, pairs))]
+    frequent = stage(shorter[0].unionByName(shorter[1]).unionByName(longer), "collocation-counts")
+    discard(places)
     candidates = frequent.where(F.col("m") >= 2).select("lang", "m", F.col("g").alias("phrase"), F.col("c").alias("a"))
 
     cuts = candidates.select("*", F.explode(F.sequence(F.lit(1), F.col("m") - 1)).alias("k"))
