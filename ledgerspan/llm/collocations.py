@@ -9,7 +9,7 @@ The list only needs runs of `LEAST` or more, and a run is no more frequent than
 words are counted first, then pairs of frequent words, both as partial sums in the tasks that read them, and
 only the edges and tails whose pairs are all frequent travel; the others cannot reach the floor. Frequent words get
 numbers, and the text is written once more as places: the numbers of a word and the three behind it. Pairs and edges are counted
-from these numbers, and words are put back into what reaches the floor. The frequent words and pairs are staged
+from these numbers as partial sums too, and words are put back into what reaches the floor. The frequent words and pairs are staged
 and broadcast below a measured size; beyond it the same joins shuffle.
 
 Unary paths (a node with one edge in and one edge out, of equal weight) are compacted: such a node's three-word
@@ -38,6 +38,8 @@ LONGEST = 4
 SALTS = 8
 #: Frequent words are numbered within this many hashed parts, so that no window holds all; a part has room for 2^31 / ID_PARTS.
 ID_PARTS = 1024
+#: Bits of such a number; two of them are one positive long.
+NUMBER_BITS = 31
 #: Staged bytes of frequent words or pairs up to which they are broadcast.
 BROADCAST_BYTES = 64 << 20
 
@@ -108,7 +110,17 @@ def numbered_places(docs: DataFrame, words: DataFrame, text: str, lang: str, bro
         same = (F.xxhash64("lang", f"w{k}") == F.col(f"h{k}")) & F.col(f"w{k}").between(F.col(f"g{k}"), F.col(f"g{k}")) \
             & F.col("lang").between(F.col(f"l{k}"), F.col(f"l{k}"))
         places = places.join(numbers, same, "inner" if k <= 2 else "left")
-    return stage(places.select(*[f"i{k}" for k in range(1, LONGEST + 1)]), "collocation-places")
+    return stage(places.select(*[f"i{k}" for k in range(1, LONGEST + 1)]), "collocation-places", compression="zstd")
+
+
+def _pair(first: str, second: str) -> Column:
+    """Two numbers of words as one long, which is a shorter key to count and to deal than two integers."""
+    return F.shiftleft(F.col(first).cast("long"), NUMBER_BITS).bitwiseOR(F.col(second).cast("long"))
+
+
+def _unpaired(pair: str, first: str, second: str) -> list[Column]:
+    low = F.col(pair).bitwiseAND(F.lit((1 << NUMBER_BITS) - 1))
+    return [F.shiftright(pair, NUMBER_BITS).cast("int").alias(first), low.cast("int").alias(second)]
 
 
 def frequent_pairs(docs: DataFrame, words: DataFrame, text: str, lang: str, least: int,
@@ -117,7 +129,8 @@ def frequent_pairs(docs: DataFrame, words: DataFrame, text: str, lang: str, leas
     `places` are the numbered places of docs, if they are there already."""
     if places is None:
         places = numbered_places(docs, words, text, lang, broadcast_bytes)
-    counted = places.groupBy("i1", "i2").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= least)
+    counted = places.groupBy(_pair("i1", "i2").alias("p")).agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= least) \
+        .select(*_unpaired("p", "i1", "i2"), "c")
     first = words.select("lang", F.col("g").alias("w1"), F.col("id").alias("i1"))
     second = words.select(F.col("g").alias("w2"), F.col("id").alias("i2"))
     named = counted.join(first, "i1").join(second, "i2")
@@ -125,18 +138,19 @@ def frequent_pairs(docs: DataFrame, words: DataFrame, text: str, lang: str, leas
 
 
 def _frequent_edges(places: DataFrame, pairs: DataFrame, broadcast_bytes: int) -> DataFrame:
-    """(i1, i2, i3, i4, c): the longest run of three (null i4) or four words whose pairs are all frequent, from each place on.
-    Dealt by node (three words), so that it meets all edges leaving it in one task."""
+    """(p, i3, i4, c), p the first two as one long: the longest run of three (null i4) or four words whose pairs are all
+    frequent, from each place on. Counted in the tasks that read the places, so a run that comes again there travels once."""
     known = _small(pairs, broadcast_bytes).select("i1", "i2")
     chains = places.where(F.col("i3").isNotNull()).join(known, ["i1", "i2"]).join(known.toDF("i2", "i3"), ["i2", "i3"]) \
         .join(known.toDF("i3", "i4").withColumn("goes_on", F.lit(True)), ["i3", "i4"], "left")
-    return chains.select("i1", "i2", "i3", F.when(F.col("goes_on"), F.col("i4")).alias("i4")) \
-        .repartition("i1", "i2", "i3").groupBy("i1", "i2", "i3", "i4").agg(F.count(F.lit(1)).alias("c"))
+    return chains.select(_pair("i1", "i2").alias("p"), "i3", F.when(F.col("goes_on"), F.col("i4")).alias("i4")) \
+        .groupBy("p", "i3", "i4").agg(F.count(F.lit(1)).alias("c"))
 
 
 def _named(runs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(lang, g, c): the runs of three or four numbers as words, put together from their pairs."""
-    named = runs.join(pairs.select("lang", F.col("g").alias("p1"), "i1", "i2"), ["i1", "i2"])
+    """(lang, g, c): runs of three or four numbers (p, i3, i4, c) as words, put together from their pairs."""
+    named = runs.select(*_unpaired("p", "i1", "i2"), "i3", "i4", "c") \
+        .join(pairs.select("lang", F.col("g").alias("p1"), "i1", "i2"), ["i1", "i2"])
     for k in (2, 3):
         ahead = pairs.select(F.substring_index("g", " ", -1).alias(f"w{k + 1}"), F.col("i1").alias(f"i{k}"),
                              F.col("i2").alias(f"i{k + 1}"))
@@ -148,8 +162,11 @@ def frequent_runs(places: DataFrame, pairs: DataFrame, least: int, broadcast_byt
     """(lang, m, g, c) for the runs of m = 3 or 4 words from `least` on, as run_counts gives them: a node's count is the flow
     of the edges leaving it plus the chains ending in it. Both are summed by number; only what reaches `least` gets words."""
     edges = _frequent_edges(places, pairs, broadcast_bytes)
-    nodes = edges.groupBy("i1", "i2", "i3").agg(F.sum("c").alias("c")).withColumn("i4", F.lit(None).cast("int"))
-    runs = nodes.unionByName(edges.where(F.col("i4").isNotNull())).where(F.col("c") >= least)
+    nodes = edges.groupBy("p", "i3").agg(F.sum("c").alias("c")).withColumn("i4", F.lit(None).cast("int")).where(F.col("c") >= least)
+    # one condition on both columns: a test of i4 alone would be moved below the count, which would then differ from the
+    # nodes' count, and the places would be read and dealt twice
+    fours = edges.where(F.when(F.col("i4").isNotNull(), F.col("c")).otherwise(F.lit(0)) >= F.greatest(F.lit(least), F.lit(1)))
+    runs = nodes.unionByName(fours)
     return _named(runs, pairs).select("lang", F.size(F.split("g", " ")).alias("m"), "g", "c")
 
 
