@@ -4,19 +4,26 @@ Distinct vectors are dealt into shards by a hash. Each shard is a graph of sever
 vector searches every shard. What the search reaches is verified by the cosine in double precision. The beam is
 widened until an audit against brute force finds the recall asked for; where no beam passes, all pairs are compared.
 Components are the union of all links.
+
+A graph travels as a row per vector, so no row and no batch grows with a shard; what a task holds is bounded by the
+bytes of two shards, however many links they have.
 """
 
 from __future__ import annotations
 
+import math
+import tempfile
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from ledgerspan.llm.common import discard, stage
-from ledgerspan.llm.components import connected_components, forest
+from ledgerspan.llm.components import connected_components
 
 LINKS, BEAM, BUILD_BEAM = 16, 32, 48
 #: Shards at least, and bytes of vectors of a shard at most (on average): a task holds one shard.
@@ -29,6 +36,10 @@ AUDIT, LINKED, GROWTH = 256, 128, 4
 RECALL, WIDENINGS = 0.99, 5
 #: Similarity below the threshold through which a search still walks from link to link.
 MARGIN = 0.05
+#: Vectors that a comparison takes at once, and bytes of a batch that leaves a task.
+COMPARED, BATCH_BYTES = 4096, 4_000_000
+#: Links that wait, cells of a block of rows, and bytes of links that a task holds in memory; more go to a temporary file.
+WAITING, BLOCK_CELLS, HELD = 1 << 20, 1 << 23, 32_000_000
 
 
 def _top(scores: np.ndarray, count: int) -> np.ndarray:
@@ -48,7 +59,7 @@ def _choose(base: np.ndarray, vectors: np.ndarray, candidates: np.ndarray, score
     order = np.argsort(-scores, axis=1, kind="stable")
     candidates, scores = np.take_along_axis(candidates, order, 1), np.take_along_axis(scores, order, 1)
     points = vectors[candidates]
-    between = np.einsum("rkd,rld->rkl", points, points)
+    between = points @ points.transpose(0, 2, 1)
     valid = candidates >= 0
     chosen = np.zeros(candidates.shape, bool)
     for k in range(candidates.shape[1]):
@@ -63,7 +74,10 @@ def _choose(base: np.ndarray, vectors: np.ndarray, candidates: np.ndarray, score
 
 
 class Graph:
-    """Vectors of unit length and, for each level, the neighbours of its members (-1: none)."""
+    """Vectors of unit length and, for each level, the neighbours of its members (-1: none).
+
+    The table of a level ends with its last member, so it is small where vectors come by falling level.
+    """
 
     def __init__(self, vectors: np.ndarray, levels: np.ndarray, neighbours: list[np.ndarray], entry: int) -> None:
         self.vectors, self.levels, self.neighbours, self.entry = vectors, levels, neighbours, entry
@@ -72,7 +86,7 @@ class Graph:
     def beam(self, queries: np.ndarray, starts: np.ndarray, level: int, width: int) -> tuple[np.ndarray, np.ndarray]:
         """(places, scores) of the `width` nearest members of the level that a best-first search reaches, per query."""
         links, count = self.neighbours[level], len(queries)
-        seen = np.zeros((count, len(self.vectors) + 1), bool)
+        seen = np.zeros((count, len(links) + 1), bool)
         rows = np.arange(count)
         found = np.full((count, width), -1, np.int64)
         scores = np.full((count, width), -np.inf, np.float32)
@@ -121,17 +135,16 @@ class Graph:
             at = self.beam(queries, at, level, 4)[0][:, 0]
         return at
 
-    def within(self, queries: np.ndarray, threshold: float, width: int) -> list[np.ndarray]:
+    def within(self, queries: np.ndarray, threshold: float, width: int) -> Iterator[np.ndarray]:
         """Places with a score of at least `threshold`, per query: the beam's, and all that links lead to from these.
 
         The walk goes on through places down to threshold - MARGIN, so a group of copies larger than the beam is found whole.
         """
         found, scores = self.beam(queries, self.descend(queries, 0), 0, width)
-        out = []
         for query, own, score in zip(queries, found, scores):
             near = own[score >= threshold - MARGIN]
             if len(near) < width // 2:
-                out.append(own[score >= threshold])
+                yield own[score >= threshold]
                 continue
             seen = np.zeros(len(self.vectors) + 1, bool)
             seen[-1] = True
@@ -144,21 +157,26 @@ class Graph:
                 values = self.vectors[reached] @ query
                 hits.append(reached[values >= threshold])
                 front = reached[values >= threshold - MARGIN]
-            out.append(np.concatenate(hits))
-        return out
+            yield np.concatenate(hits)
 
     # -- building
+    @staticmethod
+    def levels_of(seed: np.ndarray, links: int = LINKS) -> np.ndarray:
+        """The highest level of each vector, from a hash of it."""
+        uniform = (seed.astype(np.uint64) >> np.uint64(11)).astype(np.float64) / 2.0**53
+        return np.minimum(np.floor(-np.log(np.maximum(uniform, 1e-12)) / np.log(links)), 8).astype(np.int64)
+
     @staticmethod
     def build(vectors: np.ndarray, seed: np.ndarray, links: int = LINKS, width: int = BUILD_BEAM) -> "Graph":
         """Inserts the vectors (unit length) in rounds that at most double the graph; seed: a hash of each, for its level."""
         count = len(vectors)
-        uniform = (seed.astype(np.uint64) >> np.uint64(11)).astype(np.float64) / 2.0**53
-        levels = np.minimum(np.floor(-np.log(np.maximum(uniform, 1e-12)) / np.log(links)), 8).astype(np.int64)
+        levels = Graph.levels_of(seed, links)
         order = np.argsort(-levels, kind="stable")[:1].tolist()
         rest = np.setdiff1d(np.arange(count), order)
         order = np.concatenate([order, rest[np.argsort(seed[rest], kind="stable")]]).astype(np.int64)
         top = int(levels[order[0]])
-        neighbours = [np.full((count, 2 * links if level == 0 else links), -1, np.int32) for level in range(top + 1)]
+        neighbours = [np.full((int(np.flatnonzero(levels >= level)[-1]) + 1, 2 * links if level == 0 else links), -1, np.int32)
+                      for level in range(top + 1)]
         graph = Graph(vectors, levels, neighbours, int(order[0]))
         done = 1
         while done < count:
@@ -218,19 +236,9 @@ class Graph:
             table[own] = _choose(self.vectors[own], self.vectors, candidates, scores, limit)
 
     # -- storage
-    def pack(self) -> tuple[bytes, bytes]:
-        levels = np.array([len(self.neighbours), self.entry, *[x.shape[1] for x in self.neighbours]], np.int64)
-        return levels.tobytes(), b"".join(x.tobytes() for x in self.neighbours)
-
-    @staticmethod
-    def unpack(vectors: np.ndarray, shape: bytes, data: bytes) -> "Graph":
-        head = np.frombuffer(shape, np.int64)
-        tables, at = [], 0
-        for width in head[2:]:
-            size = len(vectors) * int(width)
-            tables.append(np.frombuffer(data, np.int32, size, at).reshape(-1, width))
-            at += 4 * size
-        return Graph(vectors, np.zeros(0), tables, int(head[1]))
+    def above(self, place: int) -> bytes | None:
+        """The neighbours of a member on all levels but the lowest."""
+        return b"".join(x[place].tobytes() for x in self.neighbours[1:self.levels[place] + 1]) or None
 
 
 def unit(raw: np.ndarray) -> np.ndarray:
@@ -240,6 +248,14 @@ def unit(raw: np.ndarray) -> np.ndarray:
     return wide / np.linalg.norm(wide, axis=1, keepdims=True)
 
 
+def units(raw: np.ndarray, kind: type = np.float64) -> np.ndarray:
+    """The same for many vectors, some at a time."""
+    out = np.empty(raw.shape, kind)
+    for begin in range(0, len(raw), COMPARED):
+        out[begin:begin + COMPARED] = unit(raw[begin:begin + COMPARED])
+    return out
+
+
 def scramble(ids: np.ndarray) -> np.ndarray:
     x = ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0x1234567)
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -253,15 +269,22 @@ def drawn(ids: np.ndarray) -> np.ndarray:
 
 def verified(vectors: np.ndarray, places: np.ndarray, query: np.ndarray, threshold: float) -> np.ndarray:
     """Those places whose cosine is at least `threshold`; the sum has the same order from either end of a pair."""
-    return places[np.einsum("kd,kd->k", vectors[places], np.broadcast_to(query, (len(places), len(query)))) >= threshold]
+    good = [part[np.einsum("kd,kd->k", vectors[part], np.broadcast_to(query, (len(part), len(query)))) >= threshold]
+            for part in (places[begin:begin + COMPARED] for begin in range(0, len(places), COMPARED))]
+    return np.concatenate(good) if good else places
 
 
 def compared(vectors: np.ndarray, queries: np.ndarray, threshold: float) -> Iterator[np.ndarray]:
     """For each query the places of all vectors that it links with, by brute force."""
-    for begin in range(0, len(queries), SIDE_BY_SIDE):
-        part = queries[begin:begin + SIDE_BY_SIDE]
-        for query, scores in zip(part, part @ vectors.T):
-            yield verified(vectors, np.flatnonzero(scores >= threshold - 1e-9), query, threshold)
+    for begin in range(0, len(queries), SIDE_BY_SIDE // 4):
+        part = queries[begin:begin + SIDE_BY_SIDE // 4]
+        found: list[list[np.ndarray]] = [[] for _ in part]
+        for first in range(0, len(vectors), COMPARED):
+            row, place = np.nonzero(part @ vectors[first:first + COMPARED].T >= threshold - 1e-9)
+            some, starts = np.unique(row, return_index=True)
+            for k, places in zip(some.tolist(), np.split(first + place, starts[1:])):
+                found[k].append(verified(vectors, places, part[k], threshold).astype(np.int32))
+        yield from (np.concatenate(x) if x else np.zeros(0, np.int32) for x in found)
 
 
 def reached(net: Graph, vectors: np.ndarray, queries: np.ndarray, threshold: float, width: int) -> Iterator[np.ndarray]:
@@ -273,38 +296,140 @@ def reached(net: Graph, vectors: np.ndarray, queries: np.ndarray, threshold: flo
 
 
 class Pairs:
-    """Which members of two shards (or of one) are linked: a bit each, set from either end; bits that are never set cost
-    no memory."""
+    """Which members of two shards (or of one) are linked: each pair once, whichever end sets it and how often.
+
+    Links wait in a list and are then put away by blocks of rows: as their places, or as the bits of the rectangle
+    they span where these are fewer. What exceeds HELD bytes goes to a temporary file, and one block at a time comes back.
+    """
 
     def __init__(self, count: int, other: int, same: bool) -> None:
-        self.bits, self.other, self.same = np.zeros((count, -(-other // 8)), np.uint8), other, same
-        self.rows = np.zeros(count, bool)
+        self.other, self.same = other, same
+        self.height = max(1, min(count, BLOCK_CELLS // max(other, 1)))
+        self.fresh, self.waiting, self.held, self.file = [], 0, 0, None
+        self.runs: dict[int, list[tuple]] = defaultdict(list)
 
     def add(self, row: int, places: np.ndarray) -> None:
         if len(places):
-            line = np.zeros(self.other, bool)
-            line[places] = True
-            self.bits[row] |= np.packbits(line)
-            self.rows[row] = True
+            self._gather(row * self.other + places.astype(np.int64))
             if self.same:
                 self.add_back(row, places)
 
     def add_back(self, place: int, rows: np.ndarray) -> None:
-        self.bits[rows, place >> 3] |= np.uint8(128 >> (place & 7))
-        self.rows[rows] = True
+        if len(rows):
+            self._gather(rows.astype(np.int64) * self.other + place)
+
+    def _gather(self, cells: np.ndarray) -> None:
+        self.fresh.append(cells)
+        self.waiting += len(cells) + 16  # an array costs as much besides its cells
+        if self.waiting >= WAITING:
+            self._put_away()
+
+    def _put_away(self) -> None:
+        if not self.fresh:
+            return
+        rows, places = np.divmod(np.unique(np.concatenate(self.fresh)), self.other)
+        self.fresh, self.waiting = [], 0
+        blocks, starts = np.unique(rows // self.height, return_index=True)
+        for block, y, x in zip(blocks.tolist(), np.split(rows, starts[1:]), np.split(places, starts[1:])):
+            y = y - block * self.height
+            top, left = int(y.min()), int(x.min())
+            tall, wide = int(y.max()) - top + 1, int(x.max()) - left + 1
+            if tall * wide < 32 * len(y):
+                area = np.zeros((tall, wide), bool)
+                area[y - top, x - left] = True
+                self._keep(block, (top, left, tall, wide), np.packbits(area))
+            else:
+                self._keep(block, None, (y * self.other + x).astype(np.uint32))
+
+    def _keep(self, block: int, rectangle: tuple | None, data: np.ndarray) -> None:
+        if self.held + data.nbytes <= HELD:
+            self.held += data.nbytes
+            self.runs[block].append((rectangle, data, 0, 0))
+            return
+        self.file = self.file or tempfile.TemporaryFile()
+        at = self.file.seek(0, 2)
+        self.file.write(data.tobytes())
+        self.runs[block].append((rectangle, None, at, data.nbytes))
+
+    def _read(self, at: int, size: int) -> bytes:
+        self.file.seek(at)
+        return self.file.read(size)
 
     def __iter__(self) -> Iterator[tuple[int, np.ndarray]]:
         """(row, places) of every row with a link; a row never links with itself."""
-        for row in np.flatnonzero(self.rows).tolist():
-            places = np.flatnonzero(np.unpackbits(self.bits[row], count=self.other))
-            if self.same:
-                places = places[places != row]
-            if len(places):
-                yield row, places
-
-
-def _matrix(column: pd.Series) -> np.ndarray:
-    return np.stack([np.asarray(x, np.float64) for x in column])
+        self._put_away()
+        for block in sorted(self.runs):
+            area = np.zeros((self.height, self.other), bool)
+            for rectangle, data, at, size in self.runs[block]:
+                if data is None:
+                    data = np.frombuffer(self._read(at, size), np.uint8 if rectangle else np.uint32)
+                if rectangle:
+                    top, left, tall, wide = rectangle
+                    area[top:top + tall, left:left + wide] |= np.unpackbits(data, count=tall * wide).reshape(tall, wide).view(bool)
+                else:
+                    area.reshape(-1)[data] = True
+            for k in np.flatnonzero(area.any(1)).tolist():
+                row, places = block * self.height + k, np.flatnonzero(area[k])
+                if self.same:
+                    places = places[places != row]
+                if len(places):
+                    yield row, places
+
+
+class Trees:
+    """A spanning forest of links between numbered members, as it grows."""
+
+    def __init__(self, count: int) -> None:
+        self.parent = np.arange(count)
+
+    def join(self, members: np.ndarray) -> np.ndarray:
+        """Links all members; returns the roots of the trees that became one, if more than one, else nothing."""
+        roots = self.parent[members]
+        while (roots != (above := self.parent[roots])).any():
+            roots = above
+        self.parent[members] = roots
+        roots = np.unique(roots)
+        self.parent[roots] = roots[0]
+        return roots if len(roots) > 1 else roots[:0]
+
+
+def _binary(rows: np.ndarray) -> pa.Array:
+    """Each row of a matrix as bytes."""
+    ends = np.arange(len(rows) + 1, dtype=np.int32) * np.int32(rows.shape[1] * rows.itemsize)
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(rows))])
+
+
+def _matrix(column: pa.Array, kind: type) -> np.ndarray:
+    """The rows that `_binary` made bytes of."""
+    column = column.cast(pa.binary())
+    ends = np.frombuffer(column.buffers()[1], np.int32, len(column) + 1, 4 * column.offset)
+    return np.frombuffer(column.buffers()[2], np.uint8)[ends[0]:ends[-1]].view(kind).reshape(len(column), -1)
+
+
+class Shard:
+    """The members of a shard, put in their places as rows bring them."""
+
+    def __init__(self, size: int, dim: int) -> None:
+        self.ids, self.weights = np.empty(size, np.int64), np.empty(size, np.int64)
+        self.vectors, self.links, self.above = np.empty((size, dim)), np.empty((size, 2 * LINKS), np.int32), {}
+
+    def add(self, rows: pa.RecordBatch, kind: type) -> None:
+        places = rows.column("place").to_numpy()
+        self.ids[places], self.weights[places] = rows.column("cid").to_numpy(), rows.column("n").to_numpy()
+        self.vectors[places] = unit(_matrix(rows.column("vector"), kind))
+        self.links[places] = _matrix(rows.column("links"), np.int32)
+        above = rows.column("above")
+        some = np.flatnonzero(above.is_valid().to_numpy(zero_copy_only=False))
+        self.above |= {int(places[k]): np.frombuffer(above[k].as_py(), np.int32).reshape(-1, LINKS) for k in some.tolist()}
+
+    def graph(self) -> Graph:
+        """The graph; its first member is one of the highest level."""
+        neighbours = [self.links]
+        for level in range(max(map(len, self.above.values()), default=0)):
+            members = [k for k, x in self.above.items() if len(x) > level]
+            neighbours.append(np.full((max(members) + 1, LINKS), -1, np.int32))
+            neighbours[-1][members] = [self.above[k][level] for k in members]
+        return Graph(self.vectors.astype(np.float32), np.zeros(0), neighbours, 0)
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.9, beam: int = BEAM, shard_bytes: int = SHARD_BYTES,
@@ -315,10 +440,10 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, beam: int = BEAM
     Equal vectors are one member of a graph with their number as weight (a partial aggregate), so thousands of copies cost as
     one. All members are indexed; each searches all shards. A task holds two shards and searches each from the other, so
     a pair that one end finds counts for both. It reports how many vectors each member links with, and of the links
-    themselves a spanning forest, which has the same components.
+    themselves a spanning forest, which has the same components. Vectors travel in the precision they came in.
 
     The audit compares links with those of brute force over all members, each pair of members as one link whatever
-    its copies. It begins with about `audit` members, picked by a hash, and grows until `linked` of them have a link or it holds
+    its copies. Those asked go to all shards, in groups of two shards' size at most (on average). It begins with about `audit` members, picked by a hash, and grows until `linked` of them have a link or it holds
     all members. Both the share of all their links and the mean share of a member must reach `recall`; otherwise the
     beam doubles, `widenings` times at most, and then all pairs are compared.
 
@@ -338,80 +463,115 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, beam: int = BEAM
     dealt = members.select("cid", "n", "v", F.size("v").alias("dim"),
                            F.pmod(F.xxhash64("cid"), F.lit(shards)).cast("int").alias("shard"))
 
-    def index(group: pd.DataFrame) -> pd.DataFrame:
-        raw = _matrix(group["v"])
-        ids = group["cid"].to_numpy(np.int64)
-        shape, data = Graph.build(unit(raw).astype(np.float32), scramble(ids)).pack()
-        return pd.DataFrame([(group["dim"].iloc[0], group["shard"].iloc[0], ids.tobytes(),
-                              group["n"].to_numpy(np.int64).tobytes(), raw.tobytes(), shape, data)],
-                            columns=["dim", "shard", "ids", "weights", "vectors", "shape", "graph"])
-
-    indexed = stage(dealt.groupBy("dim", "shard").applyInPandas(
-        index, "dim int, shard int, ids binary, weights binary, vectors binary, shape binary, graph binary"), "hnsw-graphs")
-    with_each = indexed.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)).cast("array<int>")))
+    element = vectors.schema["embedding"].dataType
+    single = isinstance(element, ArrayType) and isinstance(element.elementType, FloatType)
+    kind = np.float32 if single else np.float64
+    shard_type = ("dim int, shard int, size int, place int, cid long, n long, drawn double, vector binary, links binary, "
+                  "above binary")
+
+    def index(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        dim, shard = (x.as_py() for x in key)
+        columns = [(x.column("cid").to_numpy(), x.column("n").to_numpy(),
+                    x.column("v").flatten().to_numpy().reshape(-1, dim).astype(kind)) for x in batches]
+        ids, weights, raw = (np.concatenate(x) for x in zip(*columns))
+        del columns
+        order = np.argsort(-Graph.levels_of(scramble(ids)), kind="stable")
+        ids, weights, raw = ids[order], weights[order], raw[order]
+        graph, count = Graph.build(units(raw, np.float32), scramble(ids)), len(ids)
+        step = max(1, BATCH_BYTES // (raw.itemsize * dim))
+        for begin in range(0, count, step):
+            part = np.arange(begin, min(count, begin + step), dtype=np.int32)
+            same = [pa.array(np.full(len(part), x, np.int32)) for x in (dim, shard, count)]
+            yield pa.RecordBatch.from_arrays(
+                [*same, pa.array(part), pa.array(ids[part]), pa.array(weights[part]), pa.array(drawn(ids[part])), _binary(raw[part]),
+                 _binary(graph.neighbours[0][part]), pa.array([graph.above(k) for k in part.tolist()], pa.binary())],
+                ["dim", "shard", "size", "place", "cid", "n", "drawn", "vector", "links", "above"])
+
+    indexed = stage(dealt.groupBy("dim", "shard").applyInArrow(index, shard_type), "hnsw-graphs")
+    with_each = indexed.drop("drawn").withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)).cast("array<int>")))
     pairs_of_shards = with_each.withColumns(
         {"low": F.least("shard", "other"), "high": F.greatest("shard", "other")}).drop("other").groupBy("dim", "low", "high")
 
-    def opened(group: pd.DataFrame) -> tuple[pd.DataFrame, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
-        """The one or two shards of a task: rows, and (ids, weights, vectors of unit length) of each."""
-        group = group.sort_values("shard")
-        return group, [(np.frombuffer(x.ids, np.int64), np.frombuffer(x.weights, np.int64),
-                        unit(np.frombuffer(x.vectors, np.float64).reshape(-1, x.dim))) for x in group.itertuples()]
+    def opened(dim: int, batches: Iterator[pa.RecordBatch]) -> list[Shard]:
+        """The one or two shards of a task."""
+        found: dict[int, Shard] = {}
+        for batch in batches:
+            numbers = batch.column("shard").to_numpy()
+            for number in np.unique(numbers).tolist():
+                rows = batch.filter(pa.array(numbers == number))
+                if number not in found:
+                    found[number] = Shard(rows.column("size")[0].as_py(), dim)
+                found[number].add(rows, kind)
+        return [found[x] for x in sorted(found)]
 
     def found_with(width: int | None) -> DataFrame:
         """Links by searches with a beam of `width`; None: by comparing all pairs.
 
         a, -1, n, m: rows and members that member a links with, by task; a, b: links that make up a spanning forest.
         """
-        def search(group: pd.DataFrame) -> pd.DataFrame:
-            low, high = int(group["low"].iloc[0]), int(group["high"].iloc[0])
-            group, parts = opened(group)
+        def search(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            dim, low, high = (x.as_py() for x in key)
+            parts = opened(dim, batches)
             if len(parts) < (1 if low == high else 2):
-                return pd.DataFrame({"a": [], "b": [], "n": [], "m": []}).astype("int64")
-            (ids, weights, outer), (other_ids, other_weights, inner) = parts[0], parts[-1]
-            pairs = Pairs(len(ids), len(other_ids), low == high)
+                return
+            one, two = parts[0], parts[-1]
+            pairs = Pairs(len(one.ids), len(two.ids), low == high)
             if width is None:
-                for row, places in enumerate(compared(inner, outer, threshold)):
+                for row, places in enumerate(compared(two.vectors, one.vectors, threshold)):
                     pairs.add(row, places)
             else:
-                nets = [Graph.unpack(v.astype(np.float32), x.shape_, x.graph)
-                        for x, (_, _, v) in zip(group.rename(columns={"shape": "shape_"}).itertuples(), parts)]
-                for row, places in enumerate(reached(nets[-1], inner, outer, threshold, width)):
+                for row, places in enumerate(reached(two.graph(), two.vectors, one.vectors, threshold, width)):
                     pairs.add(row, places)
                 if low != high:
-                    for place, own in enumerate(reached(nets[0], outer, inner, threshold, width)):
+                    for place, own in enumerate(reached(one.graph(), one.vectors, two.vectors, threshold, width)):
                         pairs.add_back(place, own)
-            n, m, links, parent = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64), [], {}
-            other_n, other_m = np.zeros(len(other_ids), np.int64), np.zeros(len(other_ids), np.int64)
+            # members are numbered through both shards
+            first = 0 if low == high else len(one.ids)
+            ids = one.ids if low == high else np.concatenate([one.ids, two.ids])
+            n, m, trees, a, b = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64), Trees(len(ids)), [], []
             for row, places in pairs:
-                n[row], m[row] = other_weights[places].sum(), len(places)
-                other_n[places] += weights[row]
-                other_m[places] += 1
-                links += forest([int(ids[row])] * len(places), other_ids[places].tolist(), parent)
-            if low != high:
-                ids, n, m = np.concatenate([ids, other_ids]), np.concatenate([n, other_n]), np.concatenate([m, other_m])
-            some, none = np.flatnonzero(m), np.zeros(len(links), np.int64)
-            a = np.concatenate([ids[some], np.array([x for x, _ in links], np.int64)])
-            b = np.concatenate([np.full(len(some), -1), np.array([y for _, y in links], np.int64)])
-            return pd.DataFrame({"a": a, "b": b, "n": np.concatenate([n[some], none]), "m": np.concatenate([m[some], none])})
-
-        return stage(pairs_of_shards.applyInPandas(search, "a long, b long, n long, m long"), "hnsw-found")
+                n[row] += two.weights[places].sum()
+                m[row] += len(places)
+                if low != high:
+                    n[first + places] += one.weights[row]
+                    m[first + places] += 1
+                if len(roots := trees.join(np.append(first + places, row))):
+                    a.append(np.full(len(roots) - 1, ids[roots[0]]))
+                    b.append(ids[roots[1:]])
+            some = np.flatnonzero(m)
+            none = np.zeros(sum(map(len, a)), np.int64)
+            columns = {"a": [ids[some], *a], "b": [np.full(len(some), -1), *b], "n": [n[some], none], "m": [m[some], none]}
+            yield pa.RecordBatch.from_pydict({x: pa.array(np.concatenate(y)) for x, y in columns.items()})
+
+        return stage(pairs_of_shards.applyInArrow(search, "a long, b long, n long, m long"), "hnsw-found")
 
     def links_of(least: float, most: float) -> DataFrame:
         """a, m: by brute force, how many members each member drawn between the two shares links with, by task."""
-        def count_links(group: pd.DataFrame) -> pd.DataFrame:
-            low, high = int(group["low"].iloc[0]), int(group["high"].iloc[0])
-            _, parts = opened(group)
-            found = []
-            for (ids, _, outer), (_, _, inner) in ([(parts[0], parts[0])] if low == high else
-                                                   [(parts[0], parts[1]), (parts[1], parts[0])] if len(parts) == 2 else []):
-                number = drawn(ids)
-                asked = np.flatnonzero((number >= least) & (number < most))
-                sizes_ = [len(x) - (low == high) for x in compared(inner, outer[asked], threshold)]
-                found += [(a, m) for a, m in zip(ids[asked].tolist(), sizes_) if m]
-            return pd.DataFrame(found, columns=["a", "m"]).astype("int64")
-
-        return pairs_of_shards.applyInPandas(count_links, "a long, m long")
+        groups = max(1, math.ceil((min(most, 1.0) - least) * shards / 2))
+        sent = indexed.where((F.col("drawn") >= least) & (F.col("drawn") < most)).select(
+            "dim", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)).cast("array<int>")).alias("shard"),
+            F.pmod(F.xxhash64("cid", F.lit(1)), F.lit(groups)).cast("int").alias("part"), "cid", "vector", F.lit(True).alias("asked"))
+        there = indexed.select(
+            "dim", "shard", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)).cast("array<int>")).alias("part"), "cid", "vector",
+            F.lit(False).alias("asked"))
+
+        def count_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids, raw = {True: [], False: []}, {True: [], False: []}
+            for batch in batches:
+                asked = batch.column("asked").to_numpy(zero_copy_only=False)
+                for side in (True, False):
+                    if (asked == side).any():
+                        rows = batch.filter(pa.array(asked == side))
+                        ids[side].append(rows.column("cid").to_numpy())
+                        raw[side].append(_matrix(rows.column("vector"), kind))
+            if not (ids[True] and ids[False]):
+                return
+            (outer_ids, outer), (inner_ids, inner) = (
+                (np.concatenate(ids[side]), units(np.concatenate(raw.pop(side)))) for side in (True, False))
+            m = np.array([(inner_ids[x] != own).sum() for own, x in zip(outer_ids, compared(inner, outer, threshold))], np.int64)
+            yield pa.RecordBatch.from_pydict({"a": pa.array(outer_ids[m > 0]), "m": pa.array(m[m > 0])})
+
+        return sent.unionByName(there).groupBy("dim", "shard", "part").applyInArrow(count_links, "a long, m long")
 
     truth, share, last = None, min(1.0, audit / max(count, 1)), 0.0
     while True:
